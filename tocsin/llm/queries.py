@@ -50,6 +50,18 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE), end_id=2)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(PIECE_BPE), limit=4096)
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kn
+
+    return kn.score(table(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -61,6 +73,8 @@ QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_token_file": op4_token_file,
+    "op5_token_counts": op5_token_counts,
+    "op6_language_model": op6_language_model,
     "op9_media": op9_media,
 }
 ORACLE_SQL: dict[str, str] = {}
