@@ -68,6 +68,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -76,5 +82,6 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op6_language_model": op6_language_model,
     "op9_media": op9_media,
+    "op10_ngram_join": op10_ngram_join,
 }
 ORACLE_SQL: dict[str, str] = {}
