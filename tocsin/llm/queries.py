@@ -62,6 +62,12 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn.score(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexicon
+
+    return lexicon.round_trip(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op4_token_file": op4_token_file,
     "op5_token_counts": op5_token_counts,
     "op6_language_model": op6_language_model,
+    "op7_bpe": op7_bpe,
     "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
 }
