@@ -68,6 +68,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.round_trip(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op6_language_model": op6_language_model,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
 }

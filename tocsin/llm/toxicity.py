@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
 The kernel of two words sums over their common subsequences of ``LENGTH`` letters, each
-gap damped by ``DECAY``; normalised and squared, it is close to 1 for an insult and the
+gap damped by ``DECAY``; normalised and raised to a power, it is close to 1 for an insult and the
 same insult with inserted or missing letters. The kernel of two sentences sums over
 their distinct words. Nyström landmarks (words of the labelled sample) turn it into features in
 which a linear machine is trained on labelled sentences: the toxic ones of toxic
@@ -28,8 +28,8 @@ from .common import hash_mod, id_and_text, rows, texts, tune
 
 #: Letters of a subsequence, and the damping of each letter that it spans.
 LENGTH, DECAY = 3, 0.9
-#: Landmarks: words of toxic documents, and of any.
-TOXIC_LANDMARKS, OTHER_LANDMARKS = 44, 20
+#: Landmarks: words of toxic documents, and the words of clean ones most like them.
+TOXIC_LANDMARKS, OTHER_LANDMARKS = 56, 20
 #: Longest landmark; longer words are read as overlapping windows of this size.
 WINDOW = 20
 #: Words of a sentence at most; longer ones are read in runs of this size.
@@ -41,7 +41,6 @@ MEMO = 700_000
 
 _EDGES = "#*$%&|<>!?.,;:\"'()[]{}-_/\\=+~^`«»„“”…@0123456789"
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
-_DASHED = re.compile(r"(?:\w[-._*+~]+){2,}\w")
 _SPACED = re.compile(r"(?<!\S)(?:\w[ \t]){2,}\w(?!\S)")
 
 
@@ -102,10 +101,10 @@ def _recurrence(grid: np.ndarray, letters: np.ndarray) -> np.ndarray:
 
 
 def likeness(words: list[str], landmarks: list[str], own: np.ndarray | None = None) -> np.ndarray:
-    """Normalised squared kernels: 1 for equal words, 0 for words of under LENGTH letters."""
+    """Normalised kernels to the fourth power: 1 for equal words, 0 for words without a common subsequence."""
     own = self_kernel(landmarks) if own is None else own
     norm = np.sqrt(np.maximum(self_kernel(words)[:, None] * own[None, :], 1e-12))
-    return np.square(subsequence_kernel(words, landmarks) / norm)
+    return np.square(np.square(subsequence_kernel(words, landmarks) / norm))
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -121,21 +120,23 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def core(raw: str) -> str:
-    """A word without marks and digits around it, and without the marks of a word spelled out with them."""
+    """The letters and digits of a word: marks around it or between its letters go."""
     word = raw.strip(_EDGES)
-    return "".join(filter(str.isalnum, word)) if _DASHED.fullmatch(word) else word
+    return word if word.isalnum() else "".join(filter(str.isalnum, word))
 
 
 def windows(word: str) -> list[str]:
+    """What the kernel reads of a word: all of it between marks of its start and end, or overlapping windows of that."""
+    word = f"^{word}$"
     return [word] if len(word) <= WINDOW else [word[k : k + WINDOW] for k in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-def pooled(decisions: list[float], bias: float) -> list[float]:
-    """What a document's score is a function of: its highest decisions, and how many are positive."""
+def pooled(decisions: list[float], strong: int, words: int, bias: float) -> list[float]:
+    """What a document's score is a function of: its highest decisions, how many are positive, and its share of words that make a sentence toxic alone."""
     top = sorted(decisions, reverse=True)[:3] + [bias] * 3
     positive = sum(d > 0 for d in decisions)
     clip = lambda x: max(-4.0, min(4.0, x))
-    return [clip(top[0]), sum(map(clip, top[:3])) / 3, math.log1p(positive), positive / max(len(decisions), 1)]
+    return [clip(top[0]), sum(map(clip, top[:3])) / 3, math.log1p(positive), positive / max(len(decisions), 1), min(100 * strong / max(words, 1), 4.0)]
 
 
 @dataclass(frozen=True)
@@ -161,7 +162,7 @@ class Machine:
 
 
 #: Without toxic or without clean training rows, every score is 0.
-NOTHING = Machine((), (), (), -1.0, (-30.0, 0.0, 0.0, 0.0, 0.0))
+NOTHING = Machine((), (), (), -1.0, (-30.0, 0.0, 0.0, 0.0, 0.0, 0.0))
 
 
 class Scorer:
@@ -183,7 +184,12 @@ class Scorer:
         self._core.update(zip(unknown, self.machine.parts(unknown), strict=True))
         self._raw.update((w, self._core[c]) for w, c in cores.items())
         get, bias = self._raw.__getitem__, self.machine.bias
-        return [pooled([sum(map(get, s)) + bias for s in c], bias) for c in cuts]
+        out = []
+        for c in cuts:
+            parts = [list(map(get, s)) for s in c]
+            strong = sum(x + bias > 0 for p in parts if p and max(p) + bias > 0 for x in p)
+            out.append(pooled([sum(p) + bias for p in parts], strong, sum(map(len, parts)), bias))
+        return out
 
     def scores(self, docs: list[str]) -> list[float]:
         return [self.machine.score(f) for f in self.features(docs)]
@@ -235,18 +241,21 @@ def fit(docs: list[str], toxic: list[bool]) -> Machine:
         p = (a[w] + b[w]) / (na + nb)
         return (a[w] / na - b[w] / nb) / math.sqrt(p * (1 - p) * (1 / na + 1 / nb) + 1e-12)
 
-    fitting = [w for w in a if LENGTH <= len(w) <= WINDOW and a[w] > 2]
+    fitting = [w for w in a if LENGTH <= len(w) <= WINDOW - 2 and a[w] > 2]
     z = {w: surprise(w) for w in fitting}
     lead = sorted((w for w in fitting if z[w] > 3), key=lambda w: (-z[w], w))[: 4 * TOXIC_LANDMARKS]
-    common = sorted((w for w in b if 4 <= len(w) <= WINDOW and w not in z), key=lambda w: (-b[w], w))[: 8 * OTHER_LANDMARKS : 8]
     if not lead:
         return NOTHING
-    near = likeness(lead, lead)
+    marked = [f"^{w}$" for w in lead]
+    near = likeness(marked, marked)
     chosen: list[int] = []
     for k in range(len(lead)):
         if len(chosen) < TOXIC_LANDMARKS and all(near[k, j] < 0.5 for j in chosen):
             chosen.append(k)
-    landmarks = [lead[k] for k in chosen] + common
+    landmarks = [marked[k] for k in chosen]
+    usual = [f"^{w}$" for w in sorted((w for w in b if LENGTH <= len(w) <= WINDOW - 2 and b[w] > 2 and (b[w] / nb > a[w] / na)), key=lambda w: (-b[w], w))]
+    alike = likeness(usual, landmarks).max(axis=1) if usual else np.empty(0)
+    landmarks += [usual[k] for k in np.argsort(-alike, kind="stable")[:OTHER_LANDMARKS].tolist()]
     own = self_kernel(landmarks)
     value, vectors = np.linalg.eigh(likeness(landmarks, landmarks, own).astype(np.float64))
     good = value > 1e-6
@@ -280,7 +289,7 @@ def fit(docs: list[str], toxic: list[bool]) -> Machine:
         w = _newton(x[some], target, weight, 1e-4, logistic=False)
         strength = x @ w[1:] + w[0]
     alpha = root @ w[1:]
-    machine = Machine(tuple(landmarks), tuple(own.tolist()), tuple(alpha.tolist()), float(w[0]), (0.0,) * 5)
+    machine = Machine(tuple(landmarks), tuple(own.tolist()), tuple(alpha.tolist()), float(w[0]), (0.0,) * 6)
     f = np.array(Scorer(machine).features(docs))
     out = _newton(f, np.where(y, 1.0, -1.0), np.ones(len(y)), 0.1, logistic=True)
     return Machine(machine.landmarks, machine.own, machine.weights, machine.bias, tuple(out.tolist()))
