@@ -10,7 +10,7 @@ expression, so applying it needs no Python.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_mod, id_and_text, rows, texts, tune
+from .common import hash_mod, id_and_text, rows, texts, tune, unused, widened
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -98,9 +98,9 @@ class Condition:
     above: bool
     at: float
 
-    def column(self) -> Column:
+    def column(self, col: Callable[[str], Column] = F.col) -> Column:
         up, down = next((a, b) for n, a, b in RATES if n == self.rate)
-        x = F.col(up).cast("double") if down is None else F.col(up) / F.greatest(F.col(down), F.lit(1))
+        x = col(up).cast("double") if down is None else col(up) / F.greatest(col(down), F.lit(1))
         return x >= F.lit(self.at) if self.above else x < F.lit(self.at)
 
     def holds(self, x: np.ndarray) -> np.ndarray:
@@ -191,17 +191,36 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
     return learn(rates_of(got[list(COUNTS)].to_numpy()), got["quality"].to_numpy() == 0) if len(got) else []
 
 
-def verdict(rules: list[Rule]) -> Column:
+def failed(col: Callable[[str], Column] = F.col) -> Column:
+    """The base test: too few words, or too many in repeated windows."""
+    return (col("n_words") < 10) | (100 * col("n_repeat_words") > 20 * col("n_words"))
+
+
+def verdict(rules: list[Rule], col: Callable[[str], Column] = F.col) -> Column:
     """The list as one ordered conditional expression: 0 where no rule holds, else the rule's number."""
     out = F
     for k, rule in enumerate(rules, 1):
-        c = rule[0].column()
+        c = rule[0].column(col)
         for more in rule[1:]:
-            c = c & more.column()
+            c = c & more.column(col)
         out = out.when(c, F.lit(k))
     return out.otherwise(F.lit(0)) if rules else F.lit(0)
 
 
+def _struct(values: list[str]) -> pa.Array:
+    got = [counts(t) for t in values]
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else [[]] * len(COUNTS))], COUNTS)
+
+
+def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, whole, that the base test and the learned list keep; nothing is shuffled."""
+    tune(docs.sparkSession)
+    rules, name = train(docs, labels, sample), unused(docs, "counts")
+    inside = lambda c: F.col(f"{name}.{c}")
+    with_counts = widened(docs, name, f"struct<{', '.join(f'{c}: bigint' for c in COUNTS)}>", _struct)
+    return with_counts.where(~failed(inside) & (verdict(rules, inside) == 0)).select(docs.columns)
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the counts, base_failed, kept, rule (0: none).
 
@@ -209,6 +228,5 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     row by row; a null doc_id stays null. Without labels only the base test rejects.
     """
     rules = train(docs, labels, sample)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = statistics(docs).withColumn("base_failed", failed).withColumn("rule", verdict(rules))
+    out = statistics(docs).withColumn("base_failed", failed()).withColumn("rule", verdict(rules))
     return out.select("doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), *COUNTS[5:], "rule")

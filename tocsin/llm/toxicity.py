@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_mod, id_and_text, rows, texts, tune
+from .common import hash_mod, id_and_text, rows, texts, tune, unused, widened
 
 #: Letters of a subsequence, and the damping of each letter that it spans.
 LENGTH, DECAY = 3, 0.9
@@ -326,3 +326,11 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
     machine = train(docs, labels, parts, held)
     out = id_and_text(docs).mapInArrow(_score(machine), "doc_id bigint, score double")
     return out.select("doc_id", F.coalesce(hash_mod("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
+    """The rows of ``docs``, whole, that are not predicted toxic; nothing is shuffled."""
+    tune(docs.sparkSession)
+    machine, name = train(docs, labels, parts, held), unused(docs, "score")
+    scored = widened(docs, name, "double", lambda t: pa.array(scorer(machine).scores(t), pa.float64()))
+    return scored.where(F.col(name) < 0.5).select(docs.columns)
