@@ -1,0 +1,201 @@
+"""Messages into typed events by ladders of patterns.
+
+All captures of a message are columns of one projection; their distinct values are
+resolved once; priorities are a coalesce over the resolved places.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tocsin.functions import geo, text
+from tocsin.operators.resolve import resolve_best_effort
+from tocsin.plans.settings import HINTS, PHRASE_INTENTS, WEAPON_ALIASES, WEAPON_PATTERNS, Settings
+
+_I = "(?iu)"
+# Patterns of the messages' language.
+_END = "(?:[⚠💥,]|$)"
+_END_LIST = "(?:[⚠💥]|$)"
+_NAME = "[A-Za-zА-Яа-яІіЇїЄєЁё'’`.-]{2,}"
+PATTERNS = {
+    "via": (f"через\\s+(.+?)\\s+на\\s+(.+?){_END}", 2),
+    "between": (f"между\\s+(.+?)\\s+и\\s+(.+?){_END}", 2),
+    "blast": (f"взрыв[ыа]?\\s+в\\s+район[еу]?\\s+(.+?){_END}", 1),
+    "range": ("в\\s+район[еу]?\\s+(.+?)\\s*[-–]\\s*(.+?)(?:[,⚠💥]|$)", 2),
+    "area": ("в\\s+район[еу]?\\s+(.+?)(?:[,⚠💥]|$)", 1),
+    "course": (f"курсо?м?\\s+(?:сейчас\\s+)?на\\s+(.+?){_END}", 1),
+    "direction": (f"направлени[еия]\\s+(?:на\\s+)?(.+?){_END}", 1),
+    "onward": (f"(?:лет(?:ит|ят)\\s+дальше|далее|далі|дальше|свернул(?:[аи]?)|сменил(?:[аи]?)\\s+курс)\\s+(?:на\\s+)?(.+?){_END}", 1),
+    "toward": (f"(?:подлета(?:ет|ют)|лет(?:ит|ят)|двига(?:ется|ются)|бер[её]т?\\s+курс)\\s+к\\s+(.+?){_END}", 1),
+    "to": (f"(?:^|\\s)к\\s+(.+?){_END}", 1),
+    "enter": (f"залетают\\s+(?:на|в)\\s+(.+?){_END_LIST}", 1),
+    "slash": (f"({_NAME}(?:\\s+{_NAME})?\\s*/\\s*{_NAME}(?:\\s+{_NAME})?)", 1),
+    "on": (f"(?:^|\\s)на\\s+(.+?){_END}", 1),
+}
+FOLLOW_UP = "(?:^|\\s)(?:далее|дальше|далі|уже\\s+возле|вже\\s+біля|еще|ещё|ще)(?:$|\\s|[,.!?:;])"
+ONE_MORE = "(?:^|\\s)\\+1(?![A-Za-z0-9_])"
+COUNTS = ("(?:^|[\\s,🔴⚠])(\\d+)\\s+(?:Ударн\\S+\\s+)?(?:БпЛА|Шахед|ракет|дрон)", "(?:^|[\\s,])(\\d+)\\s+залетают", "(?:^|[\\s,])(\\d+)\\s+берут")
+# End of the fixed values.
+
+
+def longest_alias(texts: Column, aliases: dict[str, tuple[str, ...]], short: int = 3) -> Column:
+    """The key whose longest alias occurs in the text (the earlier key on ties); short aliases must stand alone."""
+    low, found = F.lower(texts), []
+    order = 0
+    for key, names in aliases.items():
+        for a in dict.fromkeys(n.lower() for n in names):
+            if len(a) < 2:
+                continue
+            hit = low.rlike(f"{_I}(?:^|[^\\p{{L}}\\p{{N}}])\\Q{a}\\E(?:$|[^\\p{{L}}\\p{{N}}])") if len(a) <= short else low.contains(a)
+            found.append((len(a), -order, key, hit))
+            order += 1
+    out = F
+    for _, _, key, hit in sorted(found, key=lambda x: (-x[0], -x[1])):
+        out = out.when(hit, F.lit(key))
+    return out.otherwise(F.lit(None).cast("string"))
+
+
+def weapon(texts: Column) -> Column:
+    """Weapon type by alias, else by pattern, else unknown."""
+    out = F
+    for key, p in WEAPON_PATTERNS:
+        out = out.when(texts.rlike(_I + p), key)
+    return F.coalesce(longest_alias(texts, WEAPON_ALIASES), out.otherwise("unknown"))
+
+
+def intents(texts: Column, patterns: tuple[tuple[str, str], ...] = PHRASE_INTENTS) -> Column:
+    """All intents whose pattern is found, in the order of the patterns."""
+    return F.array_compact(F.array(*(F.when(texts.rlike(_I + p), F.lit(k)) for k, p in patterns)))
+
+
+def hints(phrase_intents: Column, correction: Column, followup: Column, delta: Column) -> Column:
+    """The intents and flags that bear on correlation, each once."""
+    own = F.filter(phrase_intents, lambda x: x.isin(*HINTS))
+    flags = F.array_compact(F.array(F.when(correction, F.lit("correction")), F.when(followup, F.lit("continuation")), F.when(delta > 0, F.lit("additional_unit"))))
+    return F.array_union(own, flags)
+
+
+def flags(clean: Column) -> dict[str, Column]:
+    """Flags, event type, weapon, count and count delta of a text with plain spaces."""
+    correction = clean.rlike(_I + "^Уточнение")
+    kind = (
+        F.when(clean.rlike(_I + "взрыв[ыа]?\\s|💥") | clean.rlike(_I + "упал[иа]?"), "impact")
+        .when(clean.rlike(_I + "отбой|чисто|відбій"), "all_clear").when(correction, "correction").otherwise("tracking")
+    )
+    detected = weapon(clean)
+    number = F.coalesce(*(F.regexp_extract(clean, _I + p, 1).try_cast("int") for p in COUNTS), F.lit(1))
+    return {
+        "event_type": kind,
+        "weapon_type": F.when((detected == "unknown") & clean.rlike(_I + "залетают"), "bpla").otherwise(detected),
+        "weapon_count": number,
+        "is_preliminary": clean.rlike(_I + "^Предварительно"),
+        "is_correction": correction,
+        "is_followup": clean.rlike(_I + FOLLOW_UP),
+        "count_delta": F.when(clean.rlike(_I + ONE_MORE), 1).otherwise(0),
+        "phrase_intents": intents(clean),
+    }
+
+
+def capture(clean: Column, name: str, group: int = 1) -> Column:
+    """A pattern's capture, trimmed; null if it doesn't match."""
+    x = F.trim(F.regexp_extract(clean, _I + PATTERNS[name][0], group))
+    return F.when(x != "", x)
+
+
+def parse(messages: DataFrame, gazetteer: DataFrame, ambiguous: dict[str, str] | None = None, settings: Settings = Settings()) -> DataFrame:
+    """Events of messages (id, channel_name, text, timestamp); those without any signal have null event_type.
+
+    Messages of id 0 or less, or without text, go. ``filtered_out`` marks messages that
+    must not be published; they are parsed and kept apart by the caller.
+    """
+    clean = text.plain_spaces(F.col("text"))
+    base = messages.where("id > 0 AND text IS NOT NULL AND trim(text) <> ''").withColumn("clean", clean)
+    base = base.withColumns({"filtered_out": text.contains_any(F.col("text"), settings.keywords), **flags(F.col("clean"))})
+    c = F.col("clean")
+    course, enter = F.split(capture(c, "course"), ",\\s*"), F.split(capture(c, "enter"), ",\\s*")
+    bare = F.trim(F.regexp_replace(c, "[⚠💥!.,;:]+", ""))
+    asked = {
+        "via1": capture(c, "via", 1), "via2": capture(c, "via", 2), "between1": capture(c, "between", 1), "between2": capture(c, "between", 2),
+        "blast": F.when(F.col("event_type") == "impact", capture(c, "blast")), "range1": capture(c, "range", 1), "range2": capture(c, "range", 2), "area": capture(c, "area"),
+        "course1": F.trim(F.try_element_at(course, F.lit(1))), "direction": capture(c, "direction"), "onward": capture(c, "onward"), "toward": F.coalesce(capture(c, "toward"), capture(c, "to")),
+        "enter1": F.trim(F.try_element_at(enter, F.lit(1))), "enter2": F.when(F.size(enter) > 1, F.trim(F.try_element_at(enter, F.lit(-1)))), "slash": capture(c, "slash"), "on": capture(c, "on"),
+        "bare": F.when((F.length(bare) >= 3) & (F.size(F.split(bare, "\\s+")) <= 3), bare),
+    }
+    loose = ("onward", "toward", "slash", "on", "bare")
+    base = base.withColumn("asked", F.map_filter(F.map_from_arrays(F.array(*map(F.lit, asked)), F.array(*asked.values())), lambda k, v: v.isNotNull()))
+    pairs = base.select("id", F.explode("asked").alias("slot", "raw"))
+    places = resolve_best_effort(pairs.select("raw"), gazetteer, ambiguous, settings)
+    # only loose slots may be put together from parts
+    whole = (F.col("place.type") != "composite") & ((F.col("place.confidence") >= 0.55) & F.col("place.confidence").isin(0.95, 0.8, 0.75, 0.7, 0.55))
+    usable = F.when(F.col("slot").isin(*loose) | whole, F.col("place"))
+    by_slot = pairs.join(places, "raw").withColumn("place", usable).where("place IS NOT NULL").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "place"))).alias("places"))
+    out = base.join(by_slot, "id", "left")
+    p = lambda slot: F.try_element_at(F.col("places"), F.lit(slot))
+    has_via = F.col("asked")["via1"].isNotNull()
+    a, b = p("between1"), p("between2")
+    middle = F.struct(
+        F.concat_ws(" — ", F.col("asked")["between1"], F.col("asked")["between2"]).alias("raw_name"), F.concat_ws(" — ", a["canonical_name"], b["canonical_name"]).alias("canonical_name"),
+        ((a["lat"] + b["lat"]) / 2).alias("lat"), ((a["lng"] + b["lng"]) / 2).alias("lng"), F.lit("composite").alias("type"), F.lit(None).cast("string").alias("parent"),
+        F.lit("alias").alias("match_type"), (F.least(a["confidence"], b["confidence"]) * 0.9).alias("confidence"),
+    )
+    between = F.when(a.isNotNull() & b.isNotNull(), middle).otherwise(F.coalesce(a, b))
+    placed = F.coalesce(between, p("blast"), p("range1"), p("area"))
+    ranged = F.when(F.coalesce(between, p("blast")).isNull(), p("range2"))
+    heading = F.coalesce(p("via2"), ranged, F.when(~has_via, F.coalesce(p("course1"), p("direction"), p("onward"), p("toward"))))
+    entered = F.when(placed.isNull(), p("enter2"))
+    out = out.withColumns({"via": p("via1"), "location": F.coalesce(placed, p("enter1"), p("slash")), "heading": F.coalesce(heading, entered)})
+    nothing = F.col("location").isNull() & F.col("heading").isNull()
+    out = out.withColumn("heading", F.when(nothing, p("on")).otherwise(F.col("heading")))
+    nothing = F.col("location").isNull() & F.col("heading").isNull()
+    out = out.withColumn("location", F.when(nothing, p("bare")).otherwise(F.col("location")))
+    placed_at, headed = F.col("location").isNotNull(), F.col("heading").isNotNull()
+    part = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    confidence = part(F.col("weapon_type") != "unknown", 0.3) + part((F.col("event_type") != "tracking") | placed_at | headed, 0.2) + part(placed_at, 0.2) + part(headed, 0.1)
+    signal = (F.col("weapon_type") != "unknown") | placed_at | headed | (F.col("event_type") != "tracking")
+    return out.withColumns({
+        "confidence": F.least(F.lit(0.95), confidence * F.when(F.col("is_preliminary"), 0.8).otherwise(1.0)),
+        "event_type": F.when(signal, F.col("event_type")), "event_id": F.sha2(F.concat_ws(":", F.lit("event"), "id"), 256),
+    }).drop("asked", "places", "clean")
+
+
+def routed(events: DataFrame, tracked: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Published events by way: those of tracked weapons to the correlator, the others, without all-clears, to districts."""
+    public = events.where("event_type IS NOT NULL AND NOT filtered_out")
+    return public.where(F.col("weapon_type").isin(*tracked)), public.where(~F.col("weapon_type").isin(*tracked) & (F.col("event_type") != "all_clear"))
+
+
+MODEL_SCHEMA = "event_type string, weapon_type string, weapon_count int, location string, heading string, via string, is_preliminary boolean, is_correction boolean, confidence double, continues_incident_id string, continuation_confidence double, is_followup boolean, count_delta int"
+
+
+def model_events(answers: DataFrame, active: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Events out of a model's JSON ``answer``: fences stripped, values checked, links kept only to active incidents.
+
+    ``reason`` names what is wrong with an answer that can't be used.
+    """
+    body = F.regexp_replace(F.trim("answer"), "^```(?:json)?\\s*|\\s*```$", "")
+    e = answers.withColumn("e", F.from_json(body, MODEL_SCHEMA))
+    weapons = F.col("e.weapon_type").isin(*WEAPON_ALIASES, "iskander", "unknown")
+    reason = F.when(F.col("answer").isNull() | (F.trim("answer") == ""), "empty").when(F.col("e").isNull() | F.col("e.event_type").isNull(), "invalid_json").when(~F.col("e.event_type").isin("tracking", "impact", "correction", "all_clear") | ~weapons | ~F.col("e.confidence").between(0, 1), "invalid_schema")
+    ids = active.select(F.col("id").alias("continues_incident_id"), F.lit(True).alias("live")).distinct()
+    out = e.withColumn("reason", reason).select(*[c for c in answers.columns if c != "answer"], "reason", "e.*").join(ids, "continues_incident_id", "left")
+    linked = F.coalesce("live", F.lit(False))
+    return out.withColumns({
+        "continues_incident_id": F.when(linked, F.col("continues_incident_id")), "continuation_confidence": F.when(linked, F.coalesce("continuation_confidence", F.lit(0.0))).otherwise(0.0),
+        "weapon_count": F.greatest(F.coalesce("weapon_count", F.lit(1)), F.lit(1)), "count_delta": F.coalesce("count_delta", F.lit(0)), "confidence": F.col("confidence") * 0.9,
+        **{f: F.coalesce(f, F.lit(False)) for f in ("is_preliminary", "is_correction", "is_followup")},
+    }).drop("live")
+
+
+def channel_fallback(events: DataFrame, incidents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """For events without a place: the newest incident of the channel within its window, as ``fallback_id``."""
+    i = incidents.select(F.col("id").alias("fallback_id"), F.explode("source_channels").alias("channel_name"), "last_updated_at")
+    close = events.where("location IS NULL AND heading IS NULL AND via IS NULL").select("event_id", "channel_name", "timestamp").join(i, "channel_name").where(F.col("timestamp") - F.col("last_updated_at") <= settings.channel_window)
+    newest = close.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("last_updated_at"), "fallback_id"))).where("k = 1")
+    return events.join(newest.select("event_id", "fallback_id"), "event_id", "left")
+
+
+def approach_point(lat1, lng1, lat2, lng2) -> Column:
+    """A point short of the first place, on the side of the second: 1.1 spans away, 6 to 14 km."""
+    km = F.least(F.lit(14.0), F.greatest(F.lit(6.0), geo.haversine_km(lat1, lng1, lat2, lng2) * 1.1))
+    return geo.destination(lat1, lng1, geo.bearing(lat1, lng1, lat2, lng2), km)
