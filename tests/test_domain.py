@@ -1,0 +1,220 @@
+"""Domain operators on small made-up tables."""
+
+import json
+import math
+import random
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tocsin.functions import geo, text
+from tocsin.operators import correlate, lexicon, parse, resolve, risk, serve
+from tocsin.plans.queries import correlator_events
+from tocsin.plans.settings import Settings
+from tocsin.sources import readers
+from tocsin.streaming import jobs
+
+PLACES = [
+    (1, "Верхнє", 50.10, 36.20, "village", "Харківська область", ["верхнее", "верхнего"]),
+    (2, "Довга Долина", 50.00, 36.40, "village", "Довжанська громада", ["долгая долина", "долгую долину"]),
+    (3, "Ставки", 49.95, 36.25, "district", "Харків", ["ставки", "ставков", "ставкам"]),
+    (4, "Ставки Нові", 49.50, 36.90, "village", None, ["новые ставки"]),
+    (5, "Лозове", 49.80, 36.10, "city", None, ["лозовое", "лозовому"]),
+]
+
+
+@pytest.fixture(scope="module")
+def gazetteer(spark):
+    return spark.createDataFrame(PLACES, "id bigint, canonical string, lat double, lng double, type string, parent string, aliases array<string>")
+
+
+def resolved(spark, gazetteer, names, f=resolve.resolve):
+    out = f(spark.createDataFrame([(n,) for n in names], "raw string"), gazetteer).collect()
+    return {r.raw: r.place for r in out}
+
+
+def test_resolve(spark, gazetteer):
+    got = resolved(spark, gazetteer, ["ВЕРХНЄ ⚠", "верхнего", "долгую", "верхние", "ставки", "Лозовое!", "нигде", "лоозвое"])
+    assert (got["ВЕРХНЄ ⚠"].canonical_name, got["ВЕРХНЄ ⚠"].match_type, got["ВЕРХНЄ ⚠"].confidence) == ("Верхнє", "exact", 0.95)
+    assert got["верхнего"].match_type == "alias" and got["долгую"].canonical_name == "Довга Долина" and got["долгую"].confidence == 0.8
+    assert got["ставки"].canonical_name == "Ставки" and got["Лозовое!"].confidence == 0.8
+    assert got["верхние"].match_type == "fuzzy" and got["верхние"].confidence == 0.7 and got["лоозвое"].match_type == "fuzzy" and got["нигде"] is None
+    assert [r.name for r in resolve.unmatched(spark.createDataFrame([("x", None), ("y", "p")], "raw string, place string")).collect()] == ["x"]
+
+
+def test_resolve_parts(spark, gazetteer):
+    got = resolved(spark, gazetteer, ["верхние/лоозвое", "верхние, ннигдее", "верхнее"], resolve.resolve_best_effort)
+    both = got["верхние/лоозвое"]
+    assert both.type == "composite" and both.canonical_name == "Верхнє / Лозове" and math.isclose(both.lat, 49.95) and math.isclose(both.confidence, 0.56)
+    assert math.isclose(got["верхние, ннигдее"].confidence, 0.7 * 0.85) and got["верхнее"].confidence == 0.95
+
+
+@given(st.text("абвab", max_size=7), st.text("абвab", max_size=7))
+def test_osa(a, b):
+    d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if not i or not j:
+                d[i][j] = i + j
+                continue
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    assert text.osa(a, b) == d[-1][-1] == text.osa(b, a)
+
+
+def test_parse(spark, gazetteer):
+    rows = [
+        (1, "Шахед курсом на Лозовое", "shahed", "tracking", None, "Лозове"), (2, "2 БпЛА через верхнее на ставки", "bpla", "tracking", None, "Ставки"),
+        (3, "Взрывы в районе ставков", "unknown", "impact", "Ставки", None), (4, "Залетают на верхнее, лозовое", "bpla", "tracking", "Верхнє", "Лозове"),
+        (5, "верхнего", "unknown", "tracking", "Верхнє", None), (6, "что-то непонятное совсем без места тут", None, None, None, None), (7, "ПВО сбили Шахед", "shahed", "tracking", None, None),
+        (8, "еще +1 Молния дальше на верхнее", "molniya", "tracking", None, "Верхнє"), (9, "между верхнее и лозовое", "unknown", "tracking", "Верхнє — Лозове", None), (10, "КР на верхнее", "missile", "tracking", None, "Верхнє"), (0, "Шахед", None, None, None, None),
+    ]
+    m = spark.createDataFrame([(i, "c", t, 100 + i) for i, t, *_ in rows], "id bigint, channel_name string, text string, timestamp bigint")
+    got = {r.id: r for r in parse.parse(m, gazetteer).collect()}
+    assert 0 not in got
+    for i, _, weapon, kind, location, heading in rows[:-1]:
+        r = got[i]
+        assert r.event_type == kind and (kind is None or r.weapon_type == weapon), r
+        assert (r.location and r.location.canonical_name) == location and (r.heading and r.heading.canonical_name) == heading, r
+    assert got[2].weapon_count == 2 and got[2].via.canonical_name == "Верхнє" and got[7].filtered_out and not got[1].filtered_out
+    assert got[8].count_delta == 1 and got[8].is_followup and math.isclose(got[1].confidence, 0.6) and math.isclose(got[9].location.lat, 49.95)
+    tracked, other = parse.routed(parse.parse(m, gazetteer), ("shahed", "bpla", "unknown", "molniya"))
+    assert 7 not in {r.id for r in tracked.collect()} and {r.id for r in other.collect()} == {10}
+
+
+def event(k, t, **more):
+    base = {"event_id": f"e{k}", "message_id": k, "reply_to": None, "channel": "c", "timestamp": t, "event_type": "tracking", "weapon_type": "shahed", "weapon_count": 1, "confidence": 0.8, "location": None, "via": None, "heading": None, "is_correction": False, "is_followup": False, "count_delta": 0, "phrase_intents": [], "continues_incident_id": None, "continuation_confidence": 0.0}
+    return base | more
+
+
+def at(lat, lng, name="p"):
+    return {"lat": lat, "lng": lng, "name": name}
+
+
+def test_correlator_track():
+    out = list(correlate.Correlator().run([
+        event(1, 0, location=at(50.10, 36.20)), event(2, 120, location=at(50.08, 36.21)), event(3, 200, heading=at(50.0, 36.25), is_followup=True),
+        event(4, 260, location=at(50.05, 36.22), event_type="impact"), event(5, 300), event(6, 5000, location=at(50.05, 36.22)),
+    ]))
+    assert [d["action"] for d in out] == ["new", "update", "update", "update", "new"]  # the impact stays, but is too old to go on
+    last = out[3]["incident"]
+    assert last["status"] == "impact" and len(last["trajectory"]) == 3 and last["eta_seconds"] is not None
+    assert len(out[2]["incident"]["trajectory"]) == 2 and out[2]["incident"]["heading"]["lat"] == 50.0
+
+
+def test_correlator_rules():
+    c = correlate.Correlator()
+    first = c.apply(event(1, 0, location=at(50.1, 36.2)))["incident"]
+    split = c.apply(event(2, 60, location=at(50.1, 36.2), count_delta=1))
+    assert split["action"] == "new" and split["reason"].startswith("count_delta") and split["threshold"] == math.inf
+    more = c.apply(event(3, 90, heading=at(50.0, 36.2), count_delta=1, is_followup=True))
+    assert more["action"] == "update" and more["incident"]["weapon_count"] == 2 and len(more["incident"]["trajectory"]) == 1
+    reply = c.apply(event(4, 100, weapon_type="fpv", location=at(48.0, 30.0), reply_to=1))
+    assert reply["reason"] == "reply_link" and reply["best"] == 1.2 and reply["incident"]["id"] == first["id"]
+    origin = correlate.Correlator().apply(event(5, 200, weapon_type="kab", heading=at(50.2, 36.3), channel="z"))["incident"]
+    assert 27 < correlate.haversine(origin["trajectory"][0], at(50.2, 36.3)) < 29
+    gone = c.expire(100 + 1801)
+    assert {g["id"] for g in gone} >= {first["id"]} and all(g["status"] == "expired" for g in gone)
+    assert correlate.Correlator.load(c.dump(), Settings()).dump() == c.dump()
+
+
+@pytest.mark.parametrize("cuts", [1, 3])
+def test_stream_equals_batch(spark, tmp_path, cuts):
+    e = correlator_events(spark, "/root/testdata/sf0.001").where("scope IN ('1', '2')").cache()
+    batch = {(r.scope, r.seq): (r.event_id, r.action, r.incident.id) for r in correlate.correlate(e).collect()}
+    e.repartitionByRange(cuts, "timestamp").write.parquet(f"{tmp_path}/in")
+    times = sorted((min(r.timestamp for r in spark.read.parquet(f).collect()), f) for f in map(str, (tmp_path / "in").glob("*.parquet")))
+    for k, (_, f) in enumerate(times):
+        spark.read.parquet(f).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ordered/k={k}")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ordered/*")
+    got = {(r.scope, r.seq): (r.event_id, r.action, r.incident.id) for r in jobs.drained(jobs.correlated(stream), str(tmp_path / "run")).collect()}
+    assert got == batch and len(batch) > 20
+
+
+def test_geometry(spark):
+    rng = random.Random(3)
+    rows = [(rng.uniform(48, 51), rng.uniform(35, 38), rng.uniform(0, 359), rng.uniform(1, 50)) for _ in range(50)]
+    df = spark.createDataFrame(rows, "lat double, lng double, b double, km double").withColumn("d", geo.destination(F.col("lat"), F.col("lng"), F.col("b"), F.col("km")))
+    for r in df.select("*", geo.haversine_km(F.col("lat"), F.col("lng"), F.col("d.lat"), F.col("d.lng")).alias("back"), geo.bearing(F.col("lat"), F.col("lng"), F.col("d.lat"), F.col("d.lng")).alias("turn")).collect():
+        assert math.isclose(r.back, r.km, rel_tol=1e-6) and abs((r.turn - r.b + 180) % 360 - 180) < 1e-4
+        p = correlate.destination(at(r.lat, r.lng), r.b, r.km)
+        assert math.isclose(p["lat"], r.d.lat, abs_tol=1e-9) and math.isclose(p["lng"], r.d.lng, abs_tol=1e-9)
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("lng"), F.lit(float(y)).alias("lat")) for x, y in ((36, 50), (37, 50), (37, 51), (36, 51), (36, 50))))
+    one = spark.range(1).select(geo.in_ring(36.5, 50.5, ring).alias("i"), geo.in_ring(35.5, 50.5, ring).alias("o"), geo.ring_distance_km(50.5, 37.5, ring).alias("d"), geo.centroid(ring).alias("c"), geo.segment_enters(50.5, 35.0, 50.5, 38.0, ring).alias("s"), geo.midpoint(0, 0, 2, 4)["lng"].alias("m")).first()
+    assert one.i and not one.o and abs(one.d - 0.5 * 111.32 * math.cos(math.radians(50.5))) < 1e-6 and one.c.lat == 50.5 and one.s and one.m == 2
+
+
+def test_risk(spark):
+    ring = [{"lng": x, "lat": y} for x, y in ((36.0, 50.0), (36.1, 50.0), (36.1, 50.1), (36.0, 50.1))]
+    d = spark.createDataFrame([("a", 0, ring)], "id string, ordinal int, ring array<struct<lng: double, lat: double>>")
+
+    def rank(lat, lng, b=None, v=None, eta=None, h=(None, None)):
+        i = spark.createDataFrame([("active", lat, lng, b, v, eta, *h)], "status string, lat double, lng double, bearing_deg double, speed_kmh double, eta_seconds bigint, heading_lat double, heading_lng double")
+        return risk.threats(i, d).first()["rank"]
+
+    assert rank(50.05, 36.05) == 2 and rank(50.05, 36.13) == 1 and rank(50.05, 36.5) == 0
+    assert rank(50.05, 36.18, 270.0, 180.0) == 2 and rank(50.05, 36.21, 270.0, 180.0) == 1 and rank(50.05, 36.19, 270.0, 100.0, 100, (50.05, 36.05)) == 1
+    ticks = spark.createDataFrame([("a", t * 1000, r) for t, r in ((0, 2), (60, 0), (200, 0), (360, 0), (400, 1), (500, 0))], "id string, at_ms bigint, rank int")
+    assert [r.level for r in risk.cooled(ticks).orderBy("at_ms").collect()] == ["red", "green", "green", None, "orange", "green"]
+    marks = spark.createDataFrame([("a", 0, True), ("a", 500, False), ("b", 9, False)], "id string, at_ms bigint, is_impact boolean")
+    assert {tuple(r) for r in risk.merge_overrides(marks).collect()} == {("a", 2, 600_500), ("b", 1, 600_009)}
+
+
+def test_serving(spark):
+    t = [{"lat": 50.0, "lng": 36.0, "timestamp": 0, "name": "a"}, {"lat": 50.1, "lng": 36.0, "timestamp": 60, "name": "b"}]
+    i = spark.createDataFrame([("x", "shahed", 0.5, "active", t, None), ("y", "nothing", 0.9, "active", t[:1], None)], f"id string, weapon_type string, confidence double, status string, trajectory array<{correlate.POINT}>, projection_anchor {correlate.POINT}")
+    x, y = serve.position_at(serve.live(i), 120).orderBy("id").collect()
+    assert (x.label, x.speed_kmh, x.flags, round(x.bearing_deg), x.eta_seconds) == ("Шахед-136", 180.0, ["low_confidence"], 0, 240) and x.now_at.lat > 50.1
+    assert (y.label, y.color, y.bearing_deg, y.flags, y.now_at.lat) == ("nothing", "#888", None, [], 50.0)
+    j = spark.createDataFrame([('{"lat": 1, "lng": 2, "timestamp": 3}',), ("{broken",), (None,)], "j string").select(serve.anchor(F.col("j")).alias("a")).collect()
+    assert [r.a is not None for r in j] == [True, False, False]
+
+
+def test_sources(spark, tmp_path):
+    geojson = {"features": [{"properties": {"name": "A"}, "geometry": {"type": "Polygon", "coordinates": [[[36, 50], [37, 50], [37, 51], [36, 50]]]}}, {"properties": {"name": "B"}, "geometry": {"type": "Polygon", "coordinates": [[[1, 2]]]}}]}
+    (tmp_path / "d.geojson").write_text(json.dumps(geojson))
+    got = readers.rings(spark, str(tmp_path / "d.geojson"), {"A": "a"}).collect()
+    assert len(got) == 1 and got[0].id == "a" and len(got[0].ring) == 4
+    members = spark.createDataFrame([(1, 0, 10), (1, 1, 11)], "relation bigint, pos int, way bigint")
+    ways = spark.createDataFrame([(10, 0, 1), (10, 1, 2), (11, 0, 1), (11, 1, 3), (11, 2, 2)], "way bigint, pos int, node bigint")
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0)], "node bigint, lng double, lat double")
+    assert [(p.lng, p.lat) for p in readers.ways_to_rings(members, ways, nodes).first().ring] == [(0, 0), (1, 0), (0, 1), (0, 0)]
+    c = spark.createDataFrame([(1, "new", "a", "1"), (2, "snapshot", "b", "2"), (3, "new", "c", "3"), (4, "expire", "c", ""), (5, "update", "b", "5")], readers.CHANGELOG)
+    assert [tuple(r) for r in readers.applied(c).collect()] == [("b", 5, "5")]
+    (tmp_path / "poll").mkdir()
+    (tmp_path / "poll/x.json").write_text("".join(json.dumps({"channel_name": "c", "telegram_id": k, "text": "t", "timestamp": k}) + "\n" for k in range(5)))
+    spark.dataSource.register(readers.PolledMessages)
+    s = spark.readStream.format("polled_messages").option("path", str(tmp_path / "poll")).option("limit", 2).load()
+    q = s.writeStream.format("memory").queryName("polled").start()
+    for _ in range(100):
+        q.processAllAvailable()
+        if spark.table("polled").count() == 5:
+            break
+    q.stop()
+    assert sorted(r.telegram_id for r in spark.table("polled").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_model_answers(spark):
+    good = {"event_type": "tracking", "weapon_type": "bpla", "confidence": 0.9, "continues_incident_id": "live", "continuation_confidence": 0.7}
+    a = spark.createDataFrame([(1, "```json\n" + json.dumps(good) + "\n```"), (2, "nonsense"), (3, json.dumps(good | {"continues_incident_id": "gone"})), (4, json.dumps(good | {"event_type": "x"})), (5, None)], "id bigint, answer string")
+    got = {r.id: r for r in parse.model_events(a, spark.createDataFrame([("live",)], "id string")).collect()}
+    assert got[1].reason is None and got[1].continues_incident_id == "live" and math.isclose(got[1].confidence, 0.81) and got[2].reason == "invalid_json"
+    assert got[3].continues_incident_id is None and got[3].continuation_confidence == 0 and got[4].reason == "invalid_schema" and got[5].reason == "empty"
+
+
+def test_lexicon(spark):
+    lx = spark.createDataFrame([("A", ["x", "Y "], 0.95), ("B", ["y"], 0.5), ("C", ["z"], 0.9)], "canonical string, aliases array<string>, confidence double")
+    assert [tuple(r) for r in lexicon.collisions(lx).collect()] == [("y", 2, "error")] and [r.canonical for r in lexicon.low_confidence(lx, 0.7).collect()] == ["B"]
+    listed = spark.createDataFrame([("y",)], "term string")
+    assert lexicon.collisions(lx, listed).first().severity == "warning" and lexicon.low_confidence(lx, 0.7, ("B",)).count() == 0
+    names = spark.createDataFrame([("Яма", 1), ("яма ", 2), ("Їжа", 3)], "v string, k int")
+    assert [r.v for r in lexicon.sorted_unique(names, "v", "k").collect()] == ["Їжа", "Яма"]
+
+
+def test_plans(spark, gazetteer, capsys):
+    inc = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_orderkey").alias("last_updated_at"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("id"))
+    serve.stale(inc, 10_000).explain("formatted")
+    assert "PushedFilters: [IsNotNull(status)" in capsys.readouterr().out.replace("IsNotNull(o_orderstatus)", "IsNotNull(status)")
