@@ -2,8 +2,8 @@
 
 import random
 import re
-import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +43,13 @@ def test_table(spark):
     same(queries.op10_ngram_join(spark, sf).collect(), [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
 
+def test_sql():
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = plain(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert {i: (n, c) for i, n, c in con.execute(queries.ORACLE_SQL["op10_ngram_join"]).fetchall()} == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_copies(spark, seed, monkeypatch):
     """Groups whose members lie around the threshold, and a passage that many share."""
