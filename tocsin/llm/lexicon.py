@@ -29,8 +29,8 @@ from .word_bpe import byte_letters, parts_of
 WORDS = 1 << 17
 #: Distinct pieces that a counting task holds before it sends them on.
 HELD = 300_000
-#: Merged words that a worker remembers.
-MEMO = 400_000
+#: Pieces whose ids and text a worker remembers; beyond it, the memory starts afresh.
+MEMO = 600_000
 
 _BYTES = {c: b for b, c in enumerate(byte_letters())}
 _NONE = np.iinfo(np.int64).max
@@ -185,7 +185,7 @@ class Lexicon:
 
     @classmethod
     def load(cls, folder: str) -> Lexicon:
-        return cls({n: np.load(fetched(f"{folder}/{n}.npy"), mmap_mode="r") for n in ("key", "to", "add", "final", "start", "ids")})
+        return cls({n: np.load(fetched(f"{folder}/{n}.npy"), mmap_mode="r").view(np.ndarray) for n in ("key", "to", "add", "final", "start", "ids")})
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in the lexicon; -1: it isn't there."""
@@ -220,37 +220,43 @@ class Codec:
 
     def __init__(self, path: str, folder: str):
         self.rules, self.lexicon = Rules(path), Lexicon.load(folder)
-        self._merged: dict[bytes, bytes] = {}
+        self._ids: dict[bytes, bytes] = {}
+        self._text: dict[bytes, bytes] = {}
 
     def _ids_of_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
         a = self.lexicon.arrays
         place = self.lexicon.places(parts)
         found = place >= 0
-        start, end = a["start"][place[found]].tolist(), a["start"][place[found] + 1].tolist()
-        ids = a["ids"]
-        out = {parts[k]: ids[x:y].tobytes() for k, x, y in zip(np.flatnonzero(found).tolist(), start, end, strict=True)}
-        if len(self._merged) > MEMO:
-            self._merged.clear()
+        start, end = (4 * a["start"][place[found]]).tolist(), (4 * a["start"][place[found] + 1]).tolist()
+        raw = a["ids"].view(np.uint8)
+        out = {parts[k]: raw[x:y].tobytes() for k, x, y in zip(np.flatnonzero(found).tolist(), start, end, strict=True)}
         unseen = [parts[k] for k in np.flatnonzero(~found).tolist()]
-        new = [p for p in unseen if p not in self._merged]
-        if new:
-            self._merged.update(zip(new, (x.astype("<u4").tobytes() for x in self.rules.merge(new)), strict=True))
-        out.update((p, self._merged[p]) for p in unseen)
+        if unseen:
+            out.update(zip(unseen, (x.astype("<u4").tobytes() for x in self.rules.merge(unseen)), strict=True))
         return out
 
+    def learn(self, pieces: set[bytes]) -> None:
+        """Encodes and decodes the pieces that aren't known yet."""
+        if len(self._ids) > MEMO:
+            self._ids.clear()
+            self._text.clear()
+        new = {p: self.rules.parts(p.decode()) for p in pieces if p not in self._ids}
+        ids = self._ids_of_parts(list({x for ps in new.values() for x in ps if isinstance(x, bytes)}))
+        for p, ps in new.items():
+            self._ids[p] = got = b"".join([x.to_bytes(4, "little") if isinstance(x, int) else ids[x] for x in ps])
+            self._text[p] = self.decode(got)
+
     def decode(self, ids: bytes) -> bytes:
         """The tokens of ids, a space between them, as the library joins them without a decoder."""
-        return b" ".join(map(self.rules.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b" ".join(map(self.rules.token.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
     def round_trip(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian, 32 bits) and decoded text of each text."""
         cuts = [t.split() for t in texts]
-        pieces = {p: self.rules.parts(p.decode()) for p in set().union(*cuts)}
-        ids = self._ids_of_parts(list({x for ps in pieces.values() for x in ps if isinstance(x, bytes)}))
-        of_piece = {p: b"".join(x.to_bytes(4, "little") if isinstance(x, int) else ids[x] for x in ps) for p, ps in pieces.items()}
-        text_of = {p: self.decode(i) for p, i in of_piece.items()}
+        self.learn(set().union(*cuts))
+        ids, text = self._ids.__getitem__, self._text.__getitem__
         for c in cuts:
-            yield b"".join(map(of_piece.__getitem__, c)), b" ".join(filter(None, map(text_of.__getitem__, c)))
+            yield b"".join(map(ids, c)), b" ".join(filter(None, map(text, c)))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
