@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,9 @@ WINDOW = 20
 #: Words of a sentence at most; longer ones are read in runs of this size.
 RUN = 40
 #: Labelled documents that a model is fitted on at most, toxic and clean, and the longest texts (code points) among them.
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2_000, 4_000, 20_000
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1_000, 1_500, 10_000
+#: Words, or sentences, that are worked on at once in fitting.
+CHUNK = 8_192
 #: Words that a worker remembers.
 MEMO = 700_000
 
@@ -207,18 +210,22 @@ def scorer(machine: Machine) -> Scorer:
 
 def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, logistic: bool) -> np.ndarray:
     """Minimises ridge / 2 * |w|^2 (without the bias, which is first) + weighted squared hinge or logistic losses."""
-    x = np.hstack([np.ones((len(x), 1)), x]).astype(np.float64)
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    w, keep = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, ridge)
     keep[0] = 1e-6
     for _ in range(50):
-        f = x @ w
-        if logistic:
-            p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            g, h = weight * (p - (y > 0)), weight * p * (1 - p)
-        else:
-            slack = np.maximum(1 - y * f, 0)
-            g, h = -weight * y * slack, weight * (slack > 0)
-        step = np.linalg.solve((x * h[:, None]).T @ x + np.diag(keep + 1e-9), x.T @ g + keep * w)
+        slope, bend = keep * w, np.diag(keep + 1e-9)
+        for lo in range(0, len(x), CHUNK):
+            some = np.hstack([np.ones((len(x[lo : lo + CHUNK]), 1)), x[lo : lo + CHUNK]])
+            sign, v, f = y[lo : lo + CHUNK], weight[lo : lo + CHUNK], some @ w
+            if logistic:
+                p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+                g, h = v * (p - (sign > 0)), v * p * (1 - p)
+            else:
+                slack = np.maximum(1 - sign * f, 0)
+                g, h = -v * sign * slack, v * (slack > 0)
+            slope += some.T @ g
+            bend += (some * h[:, None]).T @ some
+        step = np.linalg.solve(bend, slope)
         w = w - step
         if np.abs(step).max() < 1e-7:
             break
@@ -230,11 +237,21 @@ def fit(docs: list[str], toxic: list[bool]) -> Machine:
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return NOTHING
-    cuts = [[[core(w) for w in s] for s in sentences(t)] for t in docs]
-    seen = [set(chain.from_iterable(c)) for c in cuts]
+    ids: dict[str, int] = {}
+    index, lengths, doc = array("i"), array("i"), array("i")  # words of all sentences by number, each sentence's length and document
     a, b = Counter(), Counter()
-    for s, t in zip(seen, toxic, strict=True):
-        (a if t else b).update(s)
+    for k, t in enumerate(docs):
+        seen: set[int] = set()
+        for s in sentences(t):
+            words = [ids.setdefault(core(w), len(ids)) for w in s]
+            index.extend(words)
+            lengths.append(len(words))
+            doc.append(k)
+            seen.update(words)
+        (a if toxic[k] else b).update(seen)
+    vocabulary = list(ids)
+    a, b = Counter({vocabulary[k]: n for k, n in a.items()}), Counter({vocabulary[k]: n for k, n in b.items()})
+    index, lengths, doc = (np.frombuffer(x, np.int32) for x in (index, lengths, doc))
     na, nb = y.sum(), (~y).sum()
 
     def surprise(w: str) -> float:
@@ -261,17 +278,18 @@ def fit(docs: list[str], toxic: list[bool]) -> Machine:
     good = value > 1e-6
     root = vectors[:, good] / np.sqrt(value[good])  # kernels with landmarks -> features
 
-    vocabulary = sorted(set().union(*seen))
-    place = {w: k for k, w in enumerate(vocabulary)}
-    flat = [v for w in vocabulary for v in windows(w)]
-    ends = np.cumsum([0, *(len(windows(w)) for w in vocabulary[:-1])])
-    kernels = np.maximum.reduceat(likeness(flat, landmarks, own), ends)
-    lengths = [len(s) for c in cuts for s in c]
-    doc = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
-    index = np.array([place[w] for c in cuts for s in c for w in s])
-    sums = np.add.reduceat(kernels[index], np.cumsum([0, *lengths[:-1]])).astype(np.float64)
-    x = sums @ root
-    strength = np.add.reduceat(np.array([max(z.get(w, 0.0) - 3, 0.0) for w in vocabulary])[index], np.cumsum([0, *lengths[:-1]]))
+    first = np.cumsum(lengths) - lengths
+    x = np.zeros((len(lengths), root.shape[1]), np.float32)
+    kernels = np.empty((len(vocabulary), len(landmarks)), np.float32)
+    for lo in range(0, len(vocabulary), CHUNK):
+        some = [windows(w) for w in vocabulary[lo : lo + CHUNK]]
+        kernels[lo : lo + CHUNK] = np.maximum.reduceat(likeness(list(chain.from_iterable(some)), landmarks, own), np.cumsum([0, *map(len, some[:-1])]))
+    for lo in range(0, len(lengths), CHUNK):
+        hi = min(lo + CHUNK, len(lengths))
+        begin, end = first[lo], first[hi - 1] + lengths[hi - 1]
+        x[lo:hi] = np.add.reduceat(kernels[index[begin:end]], first[lo:hi] - begin) @ root
+    strength = np.add.reduceat(np.array([max(z.get(w, 0.0) - 3, 0.0) for w in vocabulary])[index], first)
+    del kernels
 
     clean, w = np.flatnonzero(~y[doc]), np.zeros(x.shape[1] + 1)
     for _ in range(4):
@@ -290,7 +308,8 @@ def fit(docs: list[str], toxic: list[bool]) -> Machine:
         strength = x @ w[1:] + w[0]
     alpha = root @ w[1:]
     machine = Machine(tuple(landmarks), tuple(own.tolist()), tuple(alpha.tolist()), float(w[0]), (0.0,) * 6)
-    f = np.array(Scorer(machine).features(docs))
+    judge = Scorer(machine)
+    f = np.array([row for lo in range(0, len(docs), 256) for row in judge.features(docs[lo : lo + 256])])
     out = _newton(f, np.where(y, 1.0, -1.0), np.ones(len(y)), 0.1, logistic=True)
     return Machine(machine.landmarks, machine.own, machine.weights, machine.bias, tuple(out.tolist()))
 
