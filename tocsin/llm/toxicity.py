@@ -232,8 +232,8 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, logi
     return w
 
 
-def fit(docs: list[str], toxic: list[bool]) -> Machine:
-    """A machine from labelled documents."""
+def fit(docs: list[str], toxic: list[bool], share: float | None = None) -> Machine:
+    """A machine from labelled documents; ``share`` is how many of all labelled rows are toxic, if the sample differs."""
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return NOTHING
@@ -310,7 +310,9 @@ def fit(docs: list[str], toxic: list[bool]) -> Machine:
     machine = Machine(tuple(landmarks), tuple(own.tolist()), tuple(alpha.tolist()), float(w[0]), (0.0,) * 6)
     judge = Scorer(machine)
     f = np.array([row for lo in range(0, len(docs), 256) for row in judge.features(docs[lo : lo + 256])])
-    out = _newton(f, np.where(y, 1.0, -1.0), np.ones(len(y)), 0.1, logistic=True)
+    share = y.mean() if share is None else share
+    weight = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean()))
+    out = _newton(f, np.where(y, 1.0, -1.0), weight, 0.1, logistic=True)
     return Machine(machine.landmarks, machine.own, machine.weights, machine.bias, tuple(out.tolist()))
 
 
@@ -320,7 +322,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
     pick = lambda t, n: marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = pick(1, TOXIC_SAMPLE).unionByName(pick(0, CLEAN_SAMPLE))
     known = id_and_text(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-    return fit(known["text"].tolist(), (known["toxic"] == 1).tolist())
+    share = marked.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("share")).first()["share"]
+    return fit(known["text"].tolist(), (known["toxic"] == 1).tolist(), share)
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
