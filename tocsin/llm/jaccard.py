@@ -11,8 +11,10 @@
 4. For a candidate pair, each fragment's overlap is counted separately, and the sums
    per pair decide. Links need only tell components apart, so the pairs come in two
    waves: neighbours in each n-gram's list, in an order of its own; then, for n-grams
-   whose lists still hold several components, all pairs across components. A group of
-   near copies becomes one component in the first wave without all of its pairs, and
+   whose lists still hold several components, all pairs across components. A pair goes
+   on only if its sets can link by their sizes and by the most that they can share,
+   from the numbers of their shared n-grams in parts of the hash range. A group of near
+   copies becomes one component in the first wave without all of its pairs, and
    no pair that could join two components is left out.
 """
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_texts, id_and_text, rows, shared_dir, stored, tune
@@ -35,6 +37,8 @@ HELD = 4_000_000
 FRAGMENTS = 4
 #: Neighbours that the first wave tries on each n-gram's list.
 NEIGHBOURS = 3
+#: Parts of the hash range by which a set's shared n-grams are counted, to bound overlaps.
+CELLS = 32
 #: Entries of one n-gram's list that one task orders.
 LIST = 4096
 
@@ -161,8 +165,8 @@ def fragment_cells(mass: dict[int, int], fragments: int) -> list[int]:
     return out
 
 
-_SEGMENTS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("lists", pa.list_(pa.int32())), ("fragment", pa.int32()), ("segment", pa.list_(pa.int64()))])
-SEGMENTS = "cls bigint, n bigint, prefix array<bigint>, lists array<int>, fragment int, segment array<bigint>"
+_SEGMENTS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("lists", pa.list_(pa.int32())), ("cells", pa.list_(pa.int32())), ("fragment", pa.int32()), ("segment", pa.list_(pa.int64()))])
+SEGMENTS = "cls bigint, n bigint, prefix array<bigint>, lists array<int>, cells array<int>, fragment int, segment array<bigint>"
 
 
 def _segments(copies: Store, counts: Store, size: int, percent: int, first_cells: list[int]):
@@ -186,9 +190,10 @@ def _segments(copies: Store, counts: Store, size: int, percent: int, first_cells
                     keys = s[order].view(np.int64)
                     fragment = np.searchsorted(firsts, (lv[order] << 8) | (s[order] >> np.uint64(56)).astype(np.int64), side="right")
                     prefix, lists = keys[:reach].tolist(), (d[order][:reach] // LIST).astype(np.int32).tolist()
+                    cells = np.bincount(((s[shared] >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).tolist()
                     for f in np.unique(fragment).tolist():
-                        out.append((c, n, prefix, lists, f, keys[fragment == f].tolist()))
-                        prefix, lists = [], []
+                        out.append((c, n, prefix, lists, cells, f, keys[fragment == f].tolist()))
+                        prefix, lists, cells = [], [], []
             yield rows(_SEGMENTS, *(zip(*out, strict=True) if out else [[]] * len(_SEGMENTS)))
 
     return run
@@ -245,24 +250,29 @@ def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     firsts = fragment_cells({r["cell"]: r["mass"] for r in cells}, FRAGMENTS)
     segments = stored(docs.mapInArrow(_segments(copies, counts, size, percent, firsts), SEGMENTS), "segments").dropDuplicates(["cls", "fragment"])
 
-    lists = segments.where(F.size("prefix") > 0).select("cls", "n", F.explode(F.arrays_zip("prefix", "lists")).alias("e")).select(F.col("e.prefix").alias("gram"), F.col("e.lists").alias("lists"), "cls", "n")
+    lists = segments.where(F.size("prefix") > 0).select("cls", "n", "cells", F.explode(F.arrays_zip("prefix", "lists")).alias("e")).select(F.col("e.prefix").alias("gram"), F.col("e.lists").alias("lists"), "cls", "n", "cells")
     lists = stored(lists, "lists")
-    alike = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
+
+    def alike(p: str, q: str, cp: str, cq: str) -> Column:
+        """Whether two sets can link, by their sizes and by the most that they can share in each cell."""
+        most = F.aggregate(F.zip_with(cp, cq, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+        return F.when(100 * F.least(p, q) >= percent * F.greatest(p, q), 100 * most >= percent * (F.col(p) + F.col(q) - most)).otherwise(F.lit(False))
+
     by = Window.partitionBy("gram", F.pmod(F.xxhash64("cls"), F.col("lists") + 1)).orderBy(F.xxhash64("cls", "gram"), "cls")
     near = None
     for k in range(1, NEIGHBOURS + 1):
-        some = lists.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.lag("cls", k).over(by).alias("y"), F.lag("n", k).over(by).alias("ny"))
+        some = lists.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"), F.lag("cls", k).over(by).alias("y"), F.lag("n", k).over(by).alias("ny"), F.lag("cells", k).over(by).alias("ky"))
         near = some if near is None else near.unionByName(some)
-    first = stored(verified(_pairs(near.where(F.col("y").isNotNull() & alike(F.col("nx"), F.col("ny")))), segments, percent), "links")
+    first = stored(verified(_pairs(near.where(F.col("y").isNotNull() & alike("nx", "ny", "kx", "ky"))), segments, percent), "links")
     known = components(first)
 
-    mine = lists.select("gram", "cls", "n").join(known.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
+    mine = lists.select("gram", "cls", "n", "cells").join(known.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
     mine = stored(mine, "lists")
     several = mine.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
     open_lists = mine.join(several, "gram", "left_semi")
-    x = open_lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    y = open_lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    across = x.join(y, (x["gram"] == y["gram"]) & (F.col("cx") < F.col("cy")) & alike(F.col("nx"), F.col("ny")))
+    x = open_lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"), F.col("c").alias("cx"))
+    y = open_lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("cells").alias("ky"), F.col("c").alias("cy"))
+    across = x.join(y, (x["gram"] == y["gram"]) & (F.col("cx") < F.col("cy")) & alike("nx", "ny", "kx", "ky"))
     second = verified(_pairs(across.select("x", "nx", "y", "ny")), segments, percent)
     return sets, components(first.unionByName(stored(second, "links")))
 
