@@ -142,3 +142,14 @@ def widened(docs: DataFrame, name: str, kind: str, values: Callable[[list[str]],
             yield b.append_column(name, values(texts(b)))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(kind))]))
+
+
+_OWNER: dict = {"name": None, "clear": None}
+
+
+def own_memory(name: str, clear: Callable[[], None]) -> None:
+    """Says whose memory this worker keeps from batch to batch; that of another operator goes."""
+    if _OWNER["name"] != name:
+        if _OWNER["clear"] is not None:
+            _OWNER["clear"]()
+        _OWNER.update(name=name, clear=clear)

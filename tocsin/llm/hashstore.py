@@ -16,10 +16,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import fetched, put_file
+from .common import fetched, own_memory, put_file
 
 #: Words whose hashes a worker remembers.
-MEMO = 1_000_000
+MEMO = 500_000
 RUNS = "bucket int, kind int, run binary"
 _RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.binary())])
 
@@ -42,6 +42,7 @@ _HASHES = WordHashes()
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     """Hashes by this worker's memory."""
+    own_memory("hashes", _HASHES.clear)
     return _HASHES.of(words)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, fetched, id_and_text, put_file, rows, shared_dir, stored, tune
+from .common import byte_texts, fetched, id_and_text, own_memory, put_file, rows, shared_dir, stored, tune
 from .word_bpe import byte_letters, parts_of
 
 #: Words in a lexicon at most: the most frequent ones; the others are merged.
@@ -264,6 +264,7 @@ _RULES: dict[str, Rules] = {}
 
 
 def codec(path: str, folder: str) -> Codec:
+    own_memory("codecs", _CODECS.clear)
     if (path, folder) not in _CODECS:
         _CODECS.clear()
         _CODECS[path, folder] = Codec(path, folder)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_mod, id_and_text, rows, texts, tune, unused, widened
+from .common import hash_mod, id_and_text, own_memory, rows, texts, tune, unused, widened
 
 #: Letters of a subsequence, and the damping of each letter that it spans.
 LENGTH, DECAY = 3, 0.9
@@ -40,7 +40,7 @@ TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1_000, 1_500, 10_000
 #: Words, or sentences, that are worked on at once in fitting.
 CHUNK = 8_192
 #: Words that a worker remembers.
-MEMO = 700_000
+MEMO = 400_000
 
 _EDGES = "#*$%&|<>!?.,;:\"'()[]{}-_/\\=+~^`«»„“”…@0123456789"
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
@@ -202,6 +202,7 @@ _SCORERS: dict[Machine, Scorer] = {}
 
 
 def scorer(machine: Machine) -> Scorer:
+    own_memory("scorers", _SCORERS.clear)
     if machine not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[machine] = Scorer(machine)

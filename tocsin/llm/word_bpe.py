@@ -11,6 +11,8 @@ import json
 import os
 import re
 
+from .common import own_memory
+
 #: Printable ASCII and the Latin-1 letters: for these, the file's normalizer is str.lower().
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The splitting pattern of the file, for plain characters.
@@ -103,6 +105,7 @@ _ENCODERS: dict[str, LibraryEncoder] = {}
 
 def library_encoder(path: str) -> LibraryEncoder:
     """This worker's encoder for a tokenizer file."""
+    own_memory("encoders", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = LibraryEncoder(path)
     return _ENCODERS[path]
