@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions import geo, text
 from tocsin.operators import correlate, lexicon, parse, resolve, risk, serve
-from tocsin.plans.queries import correlator_events
+from tocsin.plans.queries import QUERIES, correlator_events, districts
 from tocsin.plans.settings import Settings
 from tocsin.sources import readers
 from tocsin.streaming import jobs
@@ -163,6 +163,27 @@ def test_risk(spark):
     assert {tuple(r) for r in risk.merge_overrides(marks).collect()} == {("a", 2, 600_500), ("b", 1, 600_009)}
 
 
+def test_threats_by_group(spark):
+    """Every rule decides some rank, on all error events of each user, and groups without a threat keep their districts."""
+    ring = [{"lng": x, "lat": y} for x, y in ((36.0, 50.0), (36.1, 50.0), (36.1, 50.1), (36.0, 50.1))]
+    d = spark.createDataFrame([("a", 0, ring)], "id string, ordinal int, ring array<struct<lng: double, lat: double>>")
+    rows = [(1, "active", 50.05, 36.05), (1, "active", 50.05, 36.13), (2, "active", 50.05, 36.13), (3, "active", 10.0, 10.0), (4, "expired", 50.05, 36.05), (None, "active", 50.05, 36.13)]
+    i = spark.createDataFrame(rows, "g int, status string, lat double, lng double").withColumns({c: F.lit(None).cast("double") for c in ("bearing_deg", "speed_kmh", "eta_seconds", "heading_lat", "heading_lng")})
+    assert {(r.g, r.id, r["rank"]) for r in risk.threats(i, d, by=("g",)).collect()} == {(1, "a", 2), (2, "a", 1), (3, "a", 0), (4, "a", 0), (None, "a", 1)}
+
+    sf = "/root/testdata/sf0.001"
+    seen, threats = {}, risk.threats
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(risk, "threats", lambda incidents, *a, **k: seen.setdefault("rows", incidents) and threats(incidents, *a, **k))
+        got = {(r.user_id, r.id): r["rank"] for r in QUERIES["district_threat_users"](spark, sf).collect()}
+    moving, d = seen["rows"], districts(spark)
+    errors = spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'")
+    assert moving.count() == errors.count() and len(got) == 9 * errors.select("user_id").distinct().count() and set(got.values()) == {0, 1, 2}
+    for lost in ("bearing_deg", "eta_seconds"):
+        less = {(r.user_id, r.id): r["rank"] for r in threats(moving.withColumn(lost, F.lit(None).cast("double")), d, by=("user_id",)).collect()}
+        assert less.keys() == got.keys() and all(less[x] <= got[x] for x in got) and less != got
+
+
 def test_serving(spark):
     t = [{"lat": 50.0, "lng": 36.0, "timestamp": 0, "name": "a"}, {"lat": 50.1, "lng": 36.0, "timestamp": 60, "name": "b"}]
     i = spark.createDataFrame([("x", "shahed", 0.5, "active", t, None), ("y", "nothing", 0.9, "active", t[:1], None)], f"id string, weapon_type string, confidence double, status string, trajectory array<{correlate.POINT}>, projection_anchor {correlate.POINT}")

@@ -37,9 +37,11 @@ def reach_km(s: Settings = Settings()) -> Column:
     return F.lit(s.edge_km) + F.coalesce(F.col("speed_kmh"), F.lit(0.0)) * max(s.orange_minutes / 60, s.orange_eta / 3600) + 1
 
 
-def threats(incidents: DataFrame, districts: DataFrame, s: Settings = Settings()) -> DataFrame:
+def threats(incidents: DataFrame, districts: DataFrame, s: Settings = Settings(), by: tuple[str, ...] = ()) -> DataFrame:
     """(id, rank) of every district: the highest contribution of any incident, 0 without any.
 
+    With columns ``by`` of the incidents: (*by, id, rank) of every district in every group of theirs.
+
     Districts are a small dimension (their number doesn't grow with incidents); their
     boxes rule out most pairs before the geometry is computed.
     """
@@ -48,6 +50,9 @@ def threats(incidents: DataFrame, districts: DataFrame, s: Settings = Settings()
     wide = F.col("reach") / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     near = F.col("lat").between(F.col("box.lat0") - F.col("reach"), F.col("box.lat1") + F.col("reach")) & F.col("lng").between(F.col("box.lng0") - wide, F.col("box.lng1") + wide)
     hit = live.join(F.broadcast(boxed), near).withColumn("rank", contribution(F.col("ring"), s))
+    if by:
+        none = incidents.select(*by).distinct().join(F.broadcast(districts.select("id").distinct())).withColumn("rank", F.lit(0))
+        return hit.select(*by, "id", "rank").unionByName(none).groupBy(*by, "id").agg(F.max("rank").alias("rank"))
     worst = hit.groupBy("id").agg(F.max("rank").alias("rank"))
     return districts.select("id").distinct().join(worst, "id", "left").select("id", F.coalesce("rank", F.lit(0)).alias("rank"))
 

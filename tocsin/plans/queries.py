@@ -329,6 +329,21 @@ def district_threat_max(spark, sf):
     return risk.threats(e.withColumns(nothing), districts(spark))
 
 
+_MOVING = f"""mv AS (SELECT user_id, lat + 0.0003 AS lat, lng + 0.0003 AS lng, (k * 3.6)::DOUBLE AS dir, CASE WHEN value > 0 THEN value * 5 END AS v FROM ev WHERE event_type = 'error'),
+  to2 AS (SELECT *, {_dest("lat", "lng", "dir", "v * 2.0 / 60")[0]} AS lat2, {_dest("lat", "lng", "dir", "v * 2.0 / 60")[1]} AS lng2, {_dest("lat", "lng", "dir", "v * 3.0 / 60")[0]} AS lat3, {_dest("lat", "lng", "dir", "v * 3.0 / 60")[1]} AS lng3,
+    43200 / v AS eta, {_dest("lat", "lng", "dir + 40", "12.0")[0]} AS hlat, {_dest("lat", "lng", "dir + 40", "12.0")[1]} AS hlng FROM mv)"""
+_BOUND = " OR ".join(f"(lat + {t / 8} * (hlat - lat) > a AND lat + {t / 8} * (hlat - lat) < c AND lng + {t / 8} * (hlng - lng) > b AND lng + {t / 8} * (hlng - lng) < d)" for t in range(1, 9))
+
+
+@query("district_threat_users", f"WITH {EV}, {BOXES}, {_MOVING} SELECT user_id, id, max(CASE WHEN lat > a AND lat < c AND lng > b AND lng < d THEN 2 WHEN lat2 > a AND lat2 < c AND lng2 > b AND lng2 < d THEN 2 WHEN {_RING} <= 5 THEN 1 WHEN lat3 > a AND lat3 < c AND lng3 > b AND lng3 < d THEN 1 WHEN eta <= 180 AND ({_BOUND}) THEN 1 ELSE 0 END) AS rank FROM to2, boxes GROUP BY 1, 2")
+def district_threat_users(spark, sf):
+    """Every error event as an impact that moves: by its k and value, towards a place 12 km ahead and 40 degrees aside."""
+    e = events(spark, sf).where("event_type = 'error'").select("user_id", (F.col("lat") + 0.0003).alias("lat"), (F.col("lng") + 0.0003).alias("lng"), F.lit("impact").alias("status"), (F.col("k") * F.lit(3.6)).alias("bearing_deg"), F.when(F.col("value") > 0, F.col("value") * 5).alias("speed_kmh"))
+    heading = geo.destination(F.col("lat"), F.col("lng"), F.col("bearing_deg") + 40, F.lit(12.0))
+    moving = e.withColumns({"eta_seconds": F.lit(43200.0) / F.col("speed_kmh"), "heading_lat": heading["lat"], "heading_lng": heading["lng"]})
+    return risk.threats(moving, districts(spark), by=("user_id",))
+
+
 _PAIR = f"""pr AS (SELECT a.event_id, b.event_id AS incident_id, b.sec AS last_updated_at, a.sec - b.sec AS age, a.event_type = b.event_type AS same_channel, a.k % 4 = b.k % 4 AS same_weapon, {hav('b.lat', 'b.lng', 'a.lat', 'a.lng')} AS km, a.user_id = b.user_id AS same_count
   FROM ev a JOIN ev b ON a.user_id % 10 = b.user_id % 10 AND b.sec BETWEEN a.sec - 1200 AND a.sec - 1),
 sc AS (SELECT *, round(CASE WHEN age < 180 THEN 0.35 WHEN age < 420 THEN 0.25 ELSE 0.1 END + CASE WHEN same_channel THEN 0.2 ELSE 0 END + CASE WHEN same_weapon THEN 0.35 ELSE 0 END + CASE WHEN km < 5 THEN 0.3 WHEN km < 15 THEN 0.15 WHEN km > 30 THEN -0.2 ELSE 0 END + CASE WHEN same_count THEN 0.05 ELSE 0 END, 6)::DOUBLE AS score FROM pr)"""
