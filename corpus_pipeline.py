@@ -24,9 +24,12 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: that of the smallest doc_id; rows without doc_id go."""
-    stays = jaccard.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    """One row of each component of near-duplicates: that of the smallest doc_id, a null one last; rows like no other stay."""
+    keyed = common.stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = jaccard.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    stays = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first")).select("first.row_key")
+    return keyed.join(stays, "row_key", "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,16 @@ def test_empty_and_odd(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none(spark), sf).count() == 0
         stage(spark, odd(spark), sf).collect()
+
+
+def test_near_duplicates_by_row(spark, sf):
+    """Of repeated ids one row of each group stays, and rows without an id stay if they are like no other."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (3, b), (7, None), (None, c), (None, a), (9, c + " d"), (None, "only here and nowhere else"), (None, "only here and nowhere else"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(5, a), (3, b), (7, None), (9, c + " d"), (None, "only here and nowhere else"), (8, "")]))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, odd(spark), sf).collect()]
+    had = [(r.doc_id, r.text) for r in odd(spark).collect()]
+    assert (None, "no id here at all") in kept and len(had) - len(kept) == 1 and sum(i == 3 for i, _ in kept) == 2
