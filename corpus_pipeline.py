@@ -13,6 +13,10 @@ from tocsin.llm import common, jaccard, packing, pii, quality, toxicity
 from tocsin.llm.queries import WORD_BPE, table, tokenizer
 
 
+#: What near-duplicates are in this pipeline, as in the contract of op 10: n-grams of so many words, and so many percent in common.
+NEAR_WORDS, NEAR_PERCENT = 4, 85
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base test and the learned decision list keep."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
@@ -26,7 +30,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates: that of the smallest doc_id, a null one last; rows like no other stay."""
     keyed = common.stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    found = jaccard.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+    found = jaccard.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias("row_key"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     stays = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first")).select("first.row_key")
     return keyed.join(stays, "row_key", "left_semi").select(docs.columns)

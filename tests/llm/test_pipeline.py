@@ -4,7 +4,7 @@ import corpus_pipeline
 from tests.llm.odd import none, odd
 from tests.llm.test_first import base_spans, check_packed, library
 from tests.llm.test_jaccard import plain
-from tocsin.llm import pii, quality, toxicity
+from tocsin.llm import jaccard, pii, quality, toxicity
 
 
 def test_stages(spark, sf, tmp_path):
@@ -50,3 +50,11 @@ def test_near_duplicates_by_row(spark, sf):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, odd(spark), sf).collect()]
     had = [(r.doc_id, r.text) for r in odd(spark).collect()]
     assert (None, "no id here at all") in kept and len(had) - len(kept) == 1 and sum(i == 3 for i, _ in kept) == 2
+
+
+def test_near_duplicates_definition(spark, sf, monkeypatch):
+    """The stage names its own size and percent; the operator's defaults don't bear on it."""
+    seen, own = [], jaccard.near_duplicates
+    monkeypatch.setattr(jaccard, "near_duplicates", lambda docs, size=None, percent=None: seen.append((size, percent)) or own(docs, size, percent))
+    corpus_pipeline.near_duplicates(spark, none(spark), sf)
+    assert seen == [(4, 85)]
