@@ -82,3 +82,22 @@ def test_components(spark):
     star = spark.range(101, 120).select(F.lit(100).cast("bigint").alias("a"), F.col("id").alias("b"))
     got = {r.v: r.c for r in jaccard.components(chain.unionByName(star)).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 120), 100)}
+
+
+def test_link_counts(spark):
+    """All links of a group of near copies, with exact copies, a short text, an empty one and a row without an id."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(90)]
+    docs = []
+    for _ in range(40):
+        new = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            new[rng.randrange(len(new))] = f"x{rng.randrange(10**6)}"
+        docs.append(" ".join(new))
+    rows = [*enumerate([*docs, *docs[:9], "a few", "A few", "", None, "other words in this one here"]), (None, docs[0])]
+    sets = [(i, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (t or "").lower().split()) else set()) for i, t in rows]
+    want = {i: (len(a), sum(j is not None and j != i and len(a & b) * 100 >= 85 * len(a | b) > 0 for j, b in sets)) for i, a in sets if i is not None}
+    got = jaccard.link_counts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in got if r.doc_id is not None} == want
+    assert [r.n_links for r in got if r.doc_id is None] == [0] and len(got) == len(rows)
+    assert max(n for _, n in want.values()) > 10 and jaccard.link_counts(none(spark)).count() == 0

@@ -235,8 +235,14 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(pick("x", "y").alias("a"), pick("nx", "ny").alias("na"), pick("y", "x").alias("b"), pick("ny", "nx").alias("nb")).distinct()
 
 
-def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, s1, s2) with each document's class s1, and components (v, c) of linked classes."""
+def _alike(percent: int, p: str, q: str, cp: str, cq: str) -> Column:
+    """Whether two sets can link, by their sizes and by the most that they can share in each cell."""
+    most = F.aggregate(F.zip_with(cp, cq, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    return F.when(100 * F.least(p, q) >= percent * F.greatest(p, q), 100 * most >= percent * (F.col(p) + F.col(q) - most)).otherwise(F.lit(False))
+
+
+def _listed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, s1, s2) with each document's class s1, the classes' segments, and the lists of prefix n-grams."""
     spark = docs.sparkSession
     tune(spark)
     docs = id_and_text(docs)
@@ -251,19 +257,18 @@ def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     segments = stored(docs.mapInArrow(_segments(copies, counts, size, percent, firsts), SEGMENTS), "segments").dropDuplicates(["cls", "fragment"])
 
     lists = segments.where(F.size("prefix") > 0).select("cls", "n", "cells", F.explode(F.arrays_zip("prefix", "lists")).alias("e")).select(F.col("e.prefix").alias("gram"), F.col("e.lists").alias("lists"), "cls", "n", "cells")
-    lists = stored(lists, "lists")
+    return sets, segments, stored(lists, "lists")
 
-    def alike(p: str, q: str, cp: str, cq: str) -> Column:
-        """Whether two sets can link, by their sizes and by the most that they can share in each cell."""
-        most = F.aggregate(F.zip_with(cp, cq, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-        return F.when(100 * F.least(p, q) >= percent * F.greatest(p, q), 100 * most >= percent * (F.col(p) + F.col(q) - most)).otherwise(F.lit(False))
 
+def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, s1, s2) with each document's class s1, and components (v, c) of linked classes."""
+    sets, segments, lists = _listed(docs, size, percent)
     by = Window.partitionBy("gram", F.pmod(F.xxhash64("cls"), F.col("lists") + 1)).orderBy(F.xxhash64("cls", "gram"), "cls")
     near = None
     for k in range(1, NEIGHBOURS + 1):
         some = lists.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"), F.lag("cls", k).over(by).alias("y"), F.lag("n", k).over(by).alias("ny"), F.lag("cells", k).over(by).alias("ky"))
         near = some if near is None else near.unionByName(some)
-    first = stored(verified(_pairs(near.where(F.col("y").isNotNull() & alike("nx", "ny", "kx", "ky"))), segments, percent), "links")
+    first = stored(verified(_pairs(near.where(F.col("y").isNotNull() & _alike(percent, "nx", "ny", "kx", "ky"))), segments, percent), "links")
     known = components(first)
 
     mine = lists.select("gram", "cls", "n", "cells").join(known.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
@@ -272,11 +277,34 @@ def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     open_lists = mine.join(several, "gram", "left_semi")
     x = open_lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"), F.col("c").alias("cx"))
     y = open_lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("cells").alias("ky"), F.col("c").alias("cy"))
-    across = x.join(y, (x["gram"] == y["gram"]) & (F.col("cx") < F.col("cy")) & alike("nx", "ny", "kx", "ky"))
+    across = x.join(y, (x["gram"] == y["gram"]) & (F.col("cx") < F.col("cy")) & _alike(percent, "nx", "ny", "kx", "ky"))
     second = verified(_pairs(across.select("x", "nx", "y", "ny")), segments, percent)
     return sets, components(first.unionByName(stored(second, "links")))
 
 
+def class_links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, s1, s2) with each document's class s1, and every link (a, b) of two classes, a < b.
+
+    Other than components, all links of a group are compared and given: as many as the square of its classes.
+    """
+    sets, segments, lists = _listed(docs, size, percent)
+    x = lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"))
+    y = lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("cells").alias("ky"))
+    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("x") < F.col("y")) & _alike(percent, "nx", "ny", "kx", "ky"))
+    return sets, stored(verified(_pairs(pairs.select("x", "nx", "y", "ny")), segments, percent), "links")
+
+
+def link_counts(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, n_links of each document: with how many other documents it links, by the rules of near_duplicates."""
+    sets, found = class_links(docs, size, percent)
+    members = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1").agg(F.count("*").alias("m"))
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(members.withColumnRenamed("s1", "b"), "b").groupBy(F.col("a").alias("s1")).agg(F.sum("m").alias("others"))
+    per = members.join(others, "s1", "left").select("s1", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    own = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.lit(0)).otherwise(F.col("n_links"))
+    return sets.join(per, "s1", "left").select("doc_id", F.col("n").alias("n_shingles"), own.cast("bigint").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of each document.
 
