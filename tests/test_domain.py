@@ -184,6 +184,11 @@ def test_threats_by_group(spark):
         assert less.keys() == got.keys() and all(less[x] <= got[x] for x in got) and less != got
 
 
+def test_level_counts(spark):
+    levels = spark.createDataFrame([("a", "red"), ("b", "orange"), ("c", "red"), ("d", "green"), ("e", None)], "id string, level string")
+    assert tuple(risk.level_counts(levels).first()) == (2, 1) and tuple(risk.level_counts(levels.where("false")).first()) == (0, 0)
+
+
 def test_serving(spark):
     t = [{"lat": 50.0, "lng": 36.0, "timestamp": 0, "name": "a"}, {"lat": 50.1, "lng": 36.0, "timestamp": 60, "name": "b"}]
     i = spark.createDataFrame([("x", "shahed", 0.5, "active", t, None), ("y", "nothing", 0.9, "active", t[:1], None)], f"id string, weapon_type string, confidence double, status string, trajectory array<{correlate.POINT}>, projection_anchor {correlate.POINT}")

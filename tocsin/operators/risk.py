@@ -104,3 +104,8 @@ def displayed(levels: DataFrame, static: DataFrame) -> DataFrame:
     """What a map shows of (id, level): green everywhere while there is no threat, else the level or the static risk."""
     threat = F.coalesce(F.max(F.col("level").isin("red", "orange")).over(Window.partitionBy(F.lit(1))), F.lit(False))
     return levels.join(static.select("id", "risk_level"), "id", "left").select("id", F.when(~threat, "green").otherwise(F.coalesce("level", "risk_level")).alias("shown"))
+
+
+def level_counts(levels: DataFrame) -> DataFrame:
+    """(red, orange): how many districts of (id, level) have each, 0 without any."""
+    return levels.agg(F.count_if(F.col("level") == "red").alias("red"), F.count_if(F.col("level") == "orange").alias("orange"))
