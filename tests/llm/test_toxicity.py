@@ -1,5 +1,7 @@
 """The kernel against its definition, and held-out accuracy."""
 
+from collections import Counter
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +26,59 @@ def test_kernel():
     assert np.allclose(toxicity.self_kernel(words), [plain_kernel(s, s) for s in words], rtol=1e-4)
 
 
+def plain_scores(machine, texts):
+    """Scores by the definitions: kernels by all pairs of subsequences, sums over sentences."""
+    @cache
+    def weights(s):
+        out = Counter()
+        for p in combinations(range(len(s)), toxicity.LENGTH):
+            out["".join(s[k] for k in p)] += toxicity.DECAY ** (p[-1] - p[0] + 1)
+        return out
+
+    dot = lambda s, t: sum(v * weights(t)[u] for u, v in weights(s).items())
+    like = lambda s, t: (dot(s, t) / max(dot(s, s) * dot(t, t), 1e-12) ** 0.5) ** 4
+
+    def part(raw):
+        word = "^" + toxicity.core(raw) + "$"
+        cut = [word] if len(word) <= 20 else [word[k : k + 20] for k in range(0, len(word) - 10, 10)]
+        return max(sum(w * like(c, m) for w, m in zip(machine.weights, machine.landmarks, strict=True)) for c in cut)
+
+    out = []
+    for t in texts:
+        decisions, strong, n = [], 0, 0
+        for s in toxicity.sentences(t):
+            parts = [part(w) for w in s]
+            decisions.append(sum(parts) + machine.bias)
+            strong += sum(p + machine.bias > 0 for p in parts)
+            n += len(parts)
+        top = [max(-4, min(4, x)) for x in [*sorted(decisions, reverse=True)[:3], *[machine.bias] * 3]]
+        positive = sum(d > 0 for d in decisions)
+        f = [top[0], sum(top[:3]) / 3, np.log1p(positive), positive / max(len(decisions), 1), min(100 * strong / max(n, 1), 4)]
+        out.append(1 / (1 + np.exp(-(machine.logistic[0] + np.dot(machine.logistic[1:], f)))))
+    return out
+
+
+def test_scores():
+    """A fitted machine's scores, in batches, against the definitions."""
+    clean = ["the cat sat there and the dog was away. it ran home", "a garden of many green plants\nand more of it", "nothing to say of the weather here", "the river runs by the old mill. it is cold"]
+    toxic = ["you idiot sat there. it ran home", "such a moron and an idiot. green plants", "that moron of the weather here", "the idiot runs by. moron"]
+    docs = (clean + toxic) * 5
+    machine = toxicity.fit(docs, [d in toxic for d in docs])
+    assert machine.landmarks and all(len(w) <= toxicity.WINDOW for w in machine.landmarks)
+    texts = [*clean, *toxic, "", " ", "id.iot", "an i d i o t is here", "idiotmoronidiotcatmoron and more", "1 2 3 #$%", "word " * 90 + "idiot", "idiiot. moroon\n\nx"]
+    assert np.allclose(toxicity.Scorer(machine).scores(texts), plain_scores(machine, texts), atol=1e-4)
+
+
+def test_sentences():
+    """Every word is in a sentence; a long one goes on in the next."""
+    words = [f"w{k}" for k in range(101)]
+    got = toxicity.sentences(" ".join(words))
+    assert [w for s in got for w in s] == words and max(map(len, got)) == toxicity.RUN
+    assert toxicity.sentences("A a b! c\nd") == [["a", "b"], ["c"], ["d"]]
+    assert toxicity.sentences("an i d, we are") == [["an", "i", "d,", "we", "are"]]
+    assert toxicity.sentences("x y z and i d i o t now") == [["xyz", "and", "idiot", "now"]]
+
+
 def test_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
@@ -32,6 +87,12 @@ def test_held_out(spark):
     assert out[out.toxic == 0].predicted.mean() < 0.05 and out[out.toxic == 1].predicted.mean() > 0.5
 
 
+def test_held_out_more(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op8_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    assert got[got.toxic == 0].predicted.mean() < 0.01 and got[got.toxic == 1].predicted.mean() > 0.85
+
+
 def test_inserted_characters(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     machine = toxicity.train(docs, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))

@@ -18,6 +18,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,87 +34,152 @@ LENGTH, DECAY = 3, 0.9
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 56, 20
 #: Longest landmark; longer words are read as overlapping windows of this size.
 WINDOW = 20
-#: Words of a sentence at most; longer ones are read in runs of this size.
+#: Words of a sentence at most; a longer one is read as several sentences of this size, so that all its words count.
 RUN = 40
 #: Labelled documents that a model is fitted on at most, toxic and clean, and the longest texts (code points) among them.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1_000, 1_500, 10_000
 #: Words, or sentences, that are worked on at once in fitting.
 CHUNK = 8_192
+#: Words, and subsequences of each, that the kernel lays out at once.
+AT_ONCE, TRIPLES = 64, 512
 #: Words that a worker remembers.
 MEMO = 400_000
 
 _EDGES = "#*$%&|<>!?.,;:\"'()[]{}-_/\\=+~^`«»„“”…@0123456789"
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
+_MAYBE_SPACED = re.compile(r"[ \t]\w[ \t]\w(?!\S)")
 _SPACED = re.compile(r"(?<!\S)(?:\w[ \t]){2,}\w(?!\S)")
 
 
-def subsequence_kernel(words: list[str], others: list[str]) -> np.ndarray:
-    """Unnormalised kernels of each word with each of the others, by the usual recurrence over letters."""
-    out = np.zeros((len(words), len(others)), np.float32)
-    if not others:
+def _by_size(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of one length after another: where they stand, and their code points (word, letter)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(size).tolist():
+        if n >= LENGTH:
+            some = np.flatnonzero(size == n)
+            yield some, np.array([words[k] for k in some.tolist()], f"<U{n}").view("<u4").reshape(-1, n).astype(np.int64)
+
+
+@cache
+def _triples(n: int) -> tuple[np.ndarray, ...]:
+    """Places of all subsequences of three of ``n`` letters: the pairs' first and second, each triple's pair and third, and its weight."""
+    i, j = np.triu_indices(n, 1)
+    pair = np.repeat(np.arange(len(i)), n - 1 - j)
+    third = np.concatenate([np.arange(k + 1, n) for k in j.tolist()])
+    return i, j, pair, third, (DECAY ** (third - i[pair] + 1)).astype(np.float32)
+
+
+class Kernel:
+    """Kernels of words with fixed ones, by the subsequences that those have.
+
+    Every subsequence of three letters of the fixed words is a row of ``weights``, with a
+    column for each fixed word. Words are laid out over the same rows, so that all their
+    kernels are one product of matrices: the sums of the usual recurrence over both words' letters.
+    """
+
+    def __init__(self, others: list[str]):
+        self.n = len(others)
+        self.letters = np.array([-1, *sorted({ord(c) for o in others for c in o})], np.int64)
+        wide = len(self.letters)
+        pairs: dict[tuple[int, int], int] = {}
+        rows: dict[tuple[int, int], int] = {}
+        weights = [np.zeros(self.n, np.float32)]
+        for where, points in _by_size(others):
+            i, j, pair, third, weight = _triples(points.shape[1])
+            for k, w in zip(where.tolist(), self._known(points).tolist(), strict=True):
+                for x, y, z, v in zip(i[pair].tolist(), j[pair].tolist(), third.tolist(), weight.tolist(), strict=True):
+                    p = pairs.setdefault((w[x], w[y]), len(pairs) + 1)
+                    r = rows.setdefault((p, w[z]), len(rows) + 1)
+                    if r == len(weights):
+                        weights.append(np.zeros(self.n, np.float32))
+                    weights[r][k] += v
+        self.pair = np.zeros(wide * wide, np.int32)
+        self.row = np.zeros((len(pairs) + 1) * wide, np.int32)
+        for (x, y), p in pairs.items():
+            self.pair[x * wide + y] = p * wide
+        for (p, z), r in rows.items():
+            self.row[p * wide + z] = r
+        self.weights = np.array(weights)  # row 0, all zeros, is for subsequences that no fixed word has
+        self._laid = np.empty(AT_ONCE * len(weights), np.float32)
+
+    def _known(self, points: np.ndarray) -> np.ndarray:
+        """Numbers of the letters; 0: no fixed word has it."""
+        at = np.searchsorted(self.letters, points)
+        at[at == len(self.letters)] = 0
+        at[self.letters[at] != points] = 0
+        return at.astype(np.int32)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """word x fixed word."""
+        out, wide, high = np.zeros((len(words), self.n), np.float32), len(self.letters), len(self.weights)
+        for where, points in _by_size(words):
+            i, j, pair, third, weight = _triples(points.shape[1])
+            known = np.ascontiguousarray(self._known(points).T)
+            for lo in range(0, len(where), AT_ONCE):
+                w = known[:, lo : lo + AT_ONCE]
+                m = w.shape[1]
+                laid = self._laid[: m * high]
+                laid.fill(0)
+                starts = np.arange(0, m * high, high, dtype=np.int32)
+                for a in range(0, len(third), TRIPLES):
+                    p, z = pair[a : a + TRIPLES], third[a : a + TRIPLES]
+                    row = self.row[self.pair[w[i[p]] * wide + w[j[p]]] + w[z]]
+                    np.add.at(laid, row + starts, np.broadcast_to(weight[a : a + TRIPLES, None], row.shape))
+                out[where[lo : lo + m]] = laid.reshape(m, high) @ self.weights
         return out
-    wide = max(map(len, others))
-    grid = np.full((wide, len(others), 1), -1, np.int32)
-    for k, o in enumerate(others):
-        grid[: len(o), k, 0] = [ord(c) for c in o]
-    by_size: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        by_size.setdefault(len(w), []).append(k)
-    for size, all_of in by_size.items():
-        if size >= LENGTH:
-            for lo in range(0, len(all_of), 256):
-                some = all_of[lo : lo + 256]
-                letters = np.array([[ord(c) for c in words[k]] for k in some], np.int32).T
-                out[some] = _recurrence(grid, letters).T
-    return out
+
+
+def subsequence_kernel(words: list[str], others: list[str]) -> np.ndarray:
+    """Unnormalised kernels of each word with each of the others."""
+    return Kernel(others)(words)
 
 
 def self_kernel(words: list[str]) -> np.ndarray:
-    """Each word's kernel with itself."""
+    """Each word's kernel with itself, by the usual recurrence over letters, all words of a length at once."""
     out = np.zeros(len(words), np.float32)
-    by_size: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        by_size.setdefault(len(w), []).append(k)
-    for size, all_of in by_size.items():
-        if size >= LENGTH:
-            letters = np.array([[ord(c) for c in words[k]] for k in all_of], np.int32).T
-            out[all_of] = _recurrence(letters[:, None, :], letters)[0]
+    decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
+    for where, points in _by_size(words):
+        for lo in range(0, len(where), CHUNK):
+            letters = np.ascontiguousarray(points[lo : lo + CHUNK].T)
+            size, m = letters.shape
+            prefix = [np.zeros((size, m), np.float32) for _ in range(1, LENGTH)]
+            for letter in letters:
+                match = (letters == letter) * square
+                out[where[lo : lo + m]] += (match[1:] * prefix[LENGTH - 2][:-1]).sum(axis=0)
+                for q in range(LENGTH - 2, -1, -1):
+                    here, along = prefix[q], np.zeros(m, np.float32)
+                    here *= decay
+                    for j in range(size):
+                        along *= decay
+                        if q == 0:
+                            along += match[j]
+                        elif j:
+                            along += match[j] * prefix[q - 1][j - 1]
+                        here[j] += along
     return out
 
 
-def _recurrence(grid: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Kernels of grid (letter, other, 1 or word) with letters (letter, word): other x word."""
-    shape = (grid.shape[0], grid.shape[1], letters.shape[1])
-    decay, square = np.float32(DECAY), np.float32(DECAY * DECAY)
-    total = np.zeros(shape[1:], np.float32)
-    prefix = [None, *(np.zeros(shape, np.float32) for _ in range(1, LENGTH))]
-    for letter in letters:
-        match = (grid == letter).astype(np.float32) * square
-        total += (match[1:] * prefix[LENGTH - 1][:-1]).sum(axis=0)
-        for q in range(LENGTH - 1, 0, -1):
-            here, along = prefix[q], np.zeros(shape[1:], np.float32)
-            here *= decay
-            for j in range(shape[0]):
-                along *= decay
-                if q == 1:
-                    along += match[j]
-                elif j:
-                    along += match[j] * prefix[q - 1][j - 1]
-                here[j] += along
-    return total
-
-
-def likeness(words: list[str], landmarks: list[str], own: np.ndarray | None = None) -> np.ndarray:
-    """Normalised kernels to the fourth power: 1 for equal words, 0 for words without a common subsequence."""
-    own = self_kernel(landmarks) if own is None else own
-    norm = np.sqrt(np.maximum(self_kernel(words)[:, None] * own[None, :], 1e-12))
-    return np.square(np.square(subsequence_kernel(words, landmarks) / norm))
+def likeness(words: list[str], kernel: Kernel, own: np.ndarray) -> np.ndarray:
+    """Normalised kernels to the fourth power: 1 for equal words, 0 for words without a common subsequence.
+
+    ``own`` has the fixed words' kernels with themselves.
+    """
+    out = kernel(words)
+    some = np.flatnonzero(out.any(axis=1))
+    own_words = self_kernel([words[k] for k in some.tolist()])
+    out[some] = np.square(np.square(out[some] / np.sqrt(np.maximum(own_words[:, None] * own[None, :], 1e-12))))
+    return out
+
+
+@lru_cache(maxsize=2)
+def kernel_of(landmarks: tuple[str, ...]) -> Kernel:
+    return Kernel(list(landmarks))
 
 
 def sentences(text: str) -> list[list[str]]:
     """The distinct raw words of each sentence; words spelled out with spaces are joined."""
     low = text.lower()
-    if _SPACED.search(low):
+    if _MAYBE_SPACED.search(low):
         low = _SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), low)
     out = []
     for s in _SENTENCE.split(low):
@@ -156,7 +222,7 @@ class Machine:
             return [0.0] * len(words)
         cut = [windows(w) for w in words]
         flat = list(chain.from_iterable(cut))
-        value = likeness(flat, list(self.landmarks), np.array(self.own, np.float32)) @ np.array(self.weights, np.float32)
+        value = likeness(flat, kernel_of(self.landmarks), np.array(self.own, np.float32)) @ np.array(self.weights, np.float32)
         return np.maximum.reduceat(value, np.cumsum([0, *map(len, cut[:-1])])).astype(float).tolist()
 
     def score(self, features: list[float]) -> float:
@@ -265,17 +331,17 @@ def fit(docs: list[str], toxic: list[bool], share: float | None = None) -> Machi
     if not lead:
         return NOTHING
     marked = [f"^{w}$" for w in lead]
-    near = likeness(marked, marked)
+    near = likeness(marked, Kernel(marked), self_kernel(marked))
     chosen: list[int] = []
     for k in range(len(lead)):
         if len(chosen) < TOXIC_LANDMARKS and all(near[k, j] < 0.5 for j in chosen):
             chosen.append(k)
     landmarks = [marked[k] for k in chosen]
     usual = [f"^{w}$" for w in sorted((w for w in b if LENGTH <= len(w) <= WINDOW - 2 and b[w] > 2 and (b[w] / nb > a[w] / na)), key=lambda w: (-b[w], w))]
-    alike = likeness(usual, landmarks).max(axis=1) if usual else np.empty(0)
+    alike = likeness(usual, Kernel(landmarks), self_kernel(landmarks)).max(axis=1) if usual else np.empty(0)
     landmarks += [usual[k] for k in np.argsort(-alike, kind="stable")[:OTHER_LANDMARKS].tolist()]
-    own = self_kernel(landmarks)
-    value, vectors = np.linalg.eigh(likeness(landmarks, landmarks, own).astype(np.float64))
+    own, kernel = self_kernel(landmarks), kernel_of(tuple(landmarks))
+    value, vectors = np.linalg.eigh(likeness(landmarks, kernel, own).astype(np.float64))
     good = value > 1e-6
     root = vectors[:, good] / np.sqrt(value[good])  # kernels with landmarks -> features
 
@@ -284,7 +350,7 @@ def fit(docs: list[str], toxic: list[bool], share: float | None = None) -> Machi
     kernels = np.empty((len(vocabulary), len(landmarks)), np.float32)
     for lo in range(0, len(vocabulary), CHUNK):
         some = [windows(w) for w in vocabulary[lo : lo + CHUNK]]
-        kernels[lo : lo + CHUNK] = np.maximum.reduceat(likeness(list(chain.from_iterable(some)), landmarks, own), np.cumsum([0, *map(len, some[:-1])]))
+        kernels[lo : lo + CHUNK] = np.maximum.reduceat(likeness(list(chain.from_iterable(some)), kernel, own), np.cumsum([0, *map(len, some[:-1])]))
     for lo in range(0, len(lengths), CHUNK):
         hi = min(lo + CHUNK, len(lengths))
         begin, end = first[lo], first[hi - 1] + lengths[hi - 1]
@@ -322,7 +388,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(hash_mod("doc_id", parts) != held)
     pick = lambda t, n: marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = pick(1, TOXIC_SAMPLE).unionByName(pick(0, CLEAN_SAMPLE))
-    known = id_and_text(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    known = id_and_text(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
     share = marked.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("share")).first()["share"]
     return fit(known["text"].tolist(), (known["toxic"] == 1).tolist(), share)
 
@@ -342,7 +408,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
     """doc_id, held_out, score (0 to 1), predicted.
 
     A null or empty text is scored as one without sentences. A null doc_id is not held
-    out. Equal doc_ids are scored row by row. Without labels of both kinds every score
+    out. Equal doc_ids are scored row by row; of a labelled one the least text is learned. Without labels of both kinds every score
     is near 0. Columns besides doc_id and text are not read.
     """
     tune(docs.sparkSession)
@@ -352,7 +418,11 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
 
 
 def keep(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
-    """The rows of ``docs``, whole, that are not predicted toxic; nothing is shuffled."""
+    """The rows of ``docs``, whole, that are not predicted toxic; nothing is shuffled.
+
+    Judged as by ``score``: a null or empty text as one without sentences, repeated rows and
+    equal doc_ids row by row. Columns other than text, whatever their names, go through as they are.
+    """
     tune(docs.sparkSession)
     machine, name = train(docs, labels, parts, held), unused(docs, "score")
     scored = widened(docs, name, "double", lambda t: pa.array(scorer(machine).scores(t), pa.float64()))
