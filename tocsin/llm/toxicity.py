@@ -37,7 +37,7 @@ WINDOW = 20
 #: Words of a sentence at most; a longer one is read as several sentences of this size, so that all its words count.
 RUN = 40
 #: Labelled documents that a model is fitted on at most, toxic and clean, and the longest texts (code points) among them.
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1_000, 1_500, 10_000
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2_000, 3_000, 20_000
 #: Words, or sentences, that are worked on at once in fitting.
 CHUNK = 8_192
 #: Words, and subsequences of each, that the kernel lays out at once.
