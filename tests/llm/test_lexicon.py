@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,29 @@ def test_odd(spark, most):
     assert lexicon.round_trip(odd(spark), PATH).count() == len(ROWS) and lexicon.round_trip(none(spark), PATH).count() == 0
 
 
+def test_long_words(spark):
+    """Words without a break: every length around the limit, and a megabyte, in seconds."""
+    t, rules, rng = Tokenizer.from_file(PATH), lexicon.rules(PATH), random.Random(7)
+    for n in [*range(lexicon.LONG - 3, lexicon.LONG + 4), 1000, 5000]:
+        for letters in ("ab", "etaoin", "x", "abcdefghijklmnopqrstuvwxyz"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            ids = t.encode(word, add_special_tokens=False).ids
+            assert rules.merge_long(word.encode()).tolist() == ids == rules.merge([b"a", word.encode()])[1].tolist()
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    start = time.perf_counter()
+    (got,) = lexicon.round_trip(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), PATH).collect()
+    assert time.perf_counter() - start < 60 and tuple(got[1:]) == want(t, text)
+
+
+def test_most_frequent(spark):
+    """Never more words than asked for, however often they occur, and the frequent ones first."""
+    many = spark.createDataFrame([(f"w{k}".encode(), n) for k, n in enumerate([200_000] * 40 + [10**12, 2**40] + [3] * 500)], "part binary, n bigint")
+    got = lambda most: {bytes(r.part).decode() for r in lexicon.most_frequent(many, most).collect()}
+    assert got(0) == set() and got(1) <= {"w40", "w41"} and got(2) == {"w40", "w41"}
+    assert len(got(5)) <= 5 and {"w40", "w41"} <= got(5) <= {f"w{k}" for k in range(42)}
+    assert got(42) == {f"w{k}" for k in range(42)} and 142 >= len(got(142)) > 120 and len(got(10**6)) == 542
+
+
 def test_automaton():
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))).encode() + rng.choice([b"ing", b"ed", b""]) for _ in range(2000)})

@@ -5,7 +5,8 @@ automaton whose equal suffixes are shared. Its transitions carry numbers whose s
 a word is the word's place in the lexicon, and with that its ids. Workers map the arrays
 into memory and walk all distinct words of a batch at once, one letter per step. Words
 that the lexicon lacks are merged exactly, again all at once: in each round every word
-applies its best-ranked merge at the leftmost place.
+applies its best-ranked merge at the leftmost place. A long word without a break is
+merged alone, by a heap of its merges, in a time that grows little faster than its length.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from .word_bpe import byte_letters, parts_of
 
 #: Words in a lexicon at most: the most frequent ones; the others are merged.
 WORDS = 1 << 17
+#: Letters of a word from which on it is merged by a heap.
+LONG = 96
 #: Distinct pieces that a counting task holds before it sends them on.
 HELD = 300_000
 #: Pieces whose ids and text a worker remembers; beyond it, the memory starts afresh.
@@ -57,6 +61,7 @@ class Rules:
         order = np.argsort(keys, kind="stable")
         self._keys, self._rank = keys[order], order.astype(np.int64)
         self._into = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self._ranks: dict[int, int] = {}
 
     def parts(self, piece: str) -> list[bytes | int]:
         """The parts of a piece that are merged one by one, as bytes, and ids of special tokens between them."""
@@ -73,12 +78,41 @@ class Rules:
                 at = m.end()
         return out
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word: a heap has its merges by rank and place, links lead to the neighbours that are left."""
+        if not self._ranks:
+            self._ranks = dict(zip(self._keys.tolist(), self._rank.tolist(), strict=True))
+        letters = np.frombuffer(word, np.uint8)
+        sym = self._inner[letters].tolist()
+        sym[-1] = int(self._last[letters[-1]])
+        before, after = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
+        rank, into = self._ranks.get, self._into.tolist()
+        todo = [(r, k) for k in range(len(sym) - 1) if (r := rank(sym[k] << 32 | sym[k + 1])) is not None]
+        heapify(todo)
+        while todo:
+            r, k = heappop(todo)
+            n = after[k]
+            if sym[k] < 0 or n < 0 or rank(sym[k] << 32 | sym[n]) != r:
+                continue
+            sym[k], sym[n] = into[r], -1
+            after[k] = n = after[n]
+            if n >= 0:
+                before[n] = k
+                if (r := rank(sym[k] << 32 | sym[n])) is not None:
+                    heappush(todo, (r, k))
+            if (p := before[k]) >= 0 and (r := rank(sym[p] << 32 | sym[k])) is not None:
+                heappush(todo, (r, p))
+        return np.array([x for x in sym if x >= 0], np.int64)
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, by exact merging of all words at once."""
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        out: list[np.ndarray] = [self.merge_long(w) if len(w) >= LONG else None for w in words]  # type: ignore[misc]
+        who = np.array([k for k, x in enumerate(out) if x is None], np.int64)
+        if not len(who):
+            return out
+        words = [words[k] for k in who.tolist()]
         letters = np.frombuffer(b"".join(words), np.uint8)
         length = np.array([len(w) for w in words], np.int64)
-        who = np.arange(len(words))
         ends = np.cumsum(length)
         sym = self._inner[letters]
         sym[ends - 1] = self._last[letters[ends - 1]]
@@ -303,18 +337,37 @@ def _count_parts(path: str):
     return run
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of (part, n), those of the highest n but for the last few bits of it; ties go by a hash.
+
+    Rows are counted by their n's leading bits, and those of the group that doesn't fit whole by
+    their hashes' leading bits, so the driver gets a few thousand numbers however large the table is.
+    """
+    bits = F.length(F.bin("n")).cast("int")
+    level = bits * 64 + F.expr("int(shiftright(n, greatest(length(bin(n)) - 6, 0)))")
+    cell = F.shiftrightunsigned(F.xxhash64("part"), 48)
+    marked = counted.select("part", level.alias("level"), cell.alias("cell"))
+
+    def fitting(groups: DataFrame, column: str, room: int, high: bool) -> tuple[int | None, int]:
+        """The first group that doesn't fit as a whole, and the room that is left for it."""
+        for r in sorted(groups.groupBy(column).agg(F.count("*").alias("m")).collect(), key=lambda r: r[column], reverse=high):
+            if r["m"] > room:
+                return r[column], room
+            room -= r["m"]
+        return None, room
+
+    last, room = fitting(marked, "level", most, True)
+    if last is None:
+        return marked.select("part")
+    edge, _ = fitting(marked.where(F.col("level") == last), "cell", room, False)
+    return marked.where((F.col("level") > last) | ((F.col("level") == last) & (F.col("cell") < edge))).select("part")
+
+
 def build_lexicon(docs: DataFrame, path: str, most: int = WORDS) -> str:
-    """Counts all parts, compiles those of the highest counts (``most`` at most, seen twice at least), and returns the folder."""
+    """Counts all parts, compiles the most frequent (``most`` at most, seen twice at least), and returns the folder."""
     folder = shared_dir(docs.sparkSession, "lexicon")
     counted = stored(docs.mapInArrow(_count_parts(path), "part binary, n bigint").groupBy("part").agg(F.sum("n").alias("n")).where("n > 1"), "parts")
-    top = F.least("n", F.lit(100_000))
-    fits, least = 0, 100_001
-    for r in sorted(counted.groupBy(top.alias("n")).agg(F.count("*").alias("m")).collect(), reverse=True):
-        fits += r["m"]
-        if fits > most:
-            break
-        least = r["n"]
-    words = [bytes(r["part"]) for r in counted.where(F.col("n") >= least).select("part").collect()]
+    words = [bytes(r["part"]) for r in most_frequent(counted, most).select("part").collect()]
     Lexicon.build(words, rules(path)).save(folder)
     return folder
 
