@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.odd import ROWS, none, odd
@@ -171,6 +173,61 @@ def test_token_files(spark, sf, tmp_path):
     assert tokenfile.round_trip(none(spark), WORDS).count() == 0
 
 
+def plain_feature(image):
+    """Size and difference hash by areas that are cut into equal small cells and averaged."""
+    h, w = image.shape
+    fine = image.astype(float).repeat(8, 0).repeat(9, 1).reshape(8, h, 9, w).mean(axis=(1, 3))
+    near = np.abs(fine - np.floor(fine) - 0.5) < 1e-6  # a mean of half a step may be rounded either way
+    if near.any():
+        fine = media.area_resize(image, 8, 9)
+    tile = np.rint(fine)
+    bits = "".join("1" if tile[y, x + 1] > tile[y, x] else "0" for y in range(8) for x in range(8))
+    return f"{w}x{h}:{int(bits, 2):016x}"
+
+
+def test_tiles(spark, tmp_path):
+    """Each row's tile is in the file that it names, also of those that a limit leaves."""
+    made = media.to_media(odd(spark)).withColumn("feature", F.lit(1)).withColumn("tile_file", F.lit("x"))
+    had = {(r.doc_id, r.n_bytes): bytes(r.media) for r in made.collect()}
+    got = media.features(made, f"file://{tmp_path}").limit(7).collect()
+    assert len(got) == 7
+    for r in got:
+        tile = np.load(f"{tmp_path}/{r.tile_file}")[r.tile_index]
+        assert (tile == np.rint(media.area_resize(media.decode(had[r.doc_id, r.n_bytes]), 8, 9))).all()
+
+
+def test_broken_media(spark):
+    """Null, empty, cut, unknown and empty-sized images have a problem and no feature; whole ones beside them are unharmed."""
+    good = media.encode_pgm(np.arange(128, dtype=np.uint8).reshape(2, 64))
+    bmp = media.encode_bmp(np.arange(128, dtype=np.uint8).reshape(2, 64))
+    bad = [None, b"", b"x", b"P5", b"P5\n3", good[:-1], bmp[:60], bmp[:-1], b"P5\n0 5\n255\n", b"P7\nWIDTH 3\nENDHDR\n", b"BM" + b"\xff" * 60, b"P9 1 1 1 1"]
+    rows = [(k, 0, bytearray(x) if x is not None else None) for k, x in enumerate([*bad, good, bmp, good])]
+    got = {r.doc_id: r for r in media.features(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert len(got) == len(rows)
+    for k in range(len(bad)):
+        assert got[k].feature is None and got[k].payload_sha256 is None and got[k].tile_file is None and got[k].problem, k
+    n = len(bad)
+    assert got[n].feature == got[n + 1].feature == got[n + 2].feature and got[n].problem is None and got[n].payload_sha256 == got[n + 1].payload_sha256
+
+
+def test_image_kinds():
+    bits = np.array([[1, 0, 1, 1, 0, 0, 0, 1, 1], [0, 1, 0, 0, 1, 1, 1, 0, 1]], np.uint8)
+    want = (1 - bits) * 255
+    assert (media.decode(b"P1 9 2\n# x\n" + b"".join(b"%d" % x for x in bits.flat)) == want).all()
+    assert (media.decode(b"P4 9 2\n" + np.packbits(bits, axis=1).tobytes()) == want).all()
+    assert media.decode(b"P7\nWIDTH 2\nHEIGHT 1\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\nabcdefgh").tolist() == [[[97, 98, 99, 100], [101, 102, 103, 104]]]
+    assert media.decode(b"P5 2 1 65535\n\x01\x02\x03\x04").tolist() == [[258, 772]]
+
+    def bmp(w, h, depth, palette, body):
+        at = 54 + len(palette)
+        return b"BM" + struct.pack("<I2HI", at + len(body), 0, 0, at) + struct.pack("<I2i2H6I", 40, w, h, 1, depth, 0, len(body), 0, 0, len(palette) // 4, 0) + palette + body
+
+    assert media.decode(bmp(3, 1, 1, bytes([0, 0, 0, 0, 255, 255, 255, 0]), b"\xa0\0\0\0")).tolist() == [[255, 0, 255]]
+    assert media.decode(bmp(3, -2, 4, bytes([1, 1, 1, 0, 9, 9, 9, 0]), b"\x01\x10\0\0\x11\x00\0\0")).tolist() == [[1, 9, 9], [9, 9, 1]]
+    assert media.decode(bmp(1, 1, 16, b"", struct.pack("<H", 31 << 10 | 16) + b"\0\0")).tolist() == [[[255, 0, 131]]]
+    assert media.decode(bmp(1, 1, 24, b"", b"abc\0")).tolist() == [[[99, 98, 97]]]
+
+
 def test_media(spark, sf):
     docs = all_texts(spark, sf)
     got = queries.op9_media(spark, sf).collect()
@@ -179,6 +236,8 @@ def test_media(spark, sf):
         raw = docs[r.doc_id].encode()
         p = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        image = np.frombuffer(p, np.uint8).reshape(-1, 64)
+        assert r.feature == plain_feature(image) and r.problem is None
     out = {r.doc_id: r for r in media.features(media.to_media(odd(spark))).collect()}
     assert out[0].payload_bytes == 64 and out[5].feature == out[6].feature and media.features(media.to_media(none(spark))).count() == 0
 

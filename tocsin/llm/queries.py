@@ -75,9 +75,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import media
+    from . import common, media
 
-    return media.features(media.to_media(table(spark, sf_dir, "documents")))
+    return media.features(common.stored(media.to_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
