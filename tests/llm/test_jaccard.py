@@ -4,11 +4,12 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.odd import ROWS, none, odd
-from tocsin.llm import jaccard, queries
+from tocsin.llm import common, jaccard, queries
 
 
 def plain(docs):
@@ -54,6 +55,7 @@ def test_sql():
 def test_near_copies(spark, seed, monkeypatch):
     """Groups whose members lie around the threshold, and a passage that many share."""
     monkeypatch.setattr(jaccard, "LIST", 16)
+    monkeypatch.setattr(jaccard, "CROSS", 8)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(10**6)}"
     passage, docs = [word() for _ in range(60)], []
@@ -77,6 +79,42 @@ def test_odd(spark):
     assert jaccard.near_duplicates(none(spark)).count() == 0
 
 
+def test_half_digests(tmp_path, monkeypatch):
+    """Classes that agree in half a digest stay apart: every copy of them stands for its class."""
+    monkeypatch.setattr(jaccard, "signature", lambda s: b"samehalf" + int(s[0]).to_bytes(8, "big"))
+    texts = ["a b c d", "e f g h i", "a b c d", "x y z w v", "e f g h i"]
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": texts})
+    (sets,) = jaccard._sets(4)([docs])
+    names = sets.column("cls").to_pylist()
+    assert names[0] == names[2] != names[1] and len({n[:8] for n in names}) == 1
+    store = jaccard.Store(f"file://{tmp_path}", 6, 2)
+    repeated = pa.RecordBatch.from_arrays([pa.array([names[0], names[1]], pa.binary()), pa.array([1, 2], pa.int64())], names=["cls", "rep"])
+    for b in jaccard._send_copies(6)([repeated]):
+        t = pa.Table.from_batches([b])
+        for k in t.column("bucket").to_pylist():
+            list(jaccard._write_copies(store)(k, t))
+            store = store.sealed([k])
+    ((classes, kept),) = jaccard._standing(store, 4, [docs])
+    assert classes == names and len(kept) == 5
+    # one repeated class alone: its copies are told from another class of the same half
+    one = jaccard.Store(f"file://{tmp_path}/one", 6, 2)
+    common.make_dir(one.folder)
+    (b,) = jaccard._send_copies(6)([repeated.slice(0, 1)])
+    (k,) = b.column("bucket").to_pylist()
+    list(jaccard._write_copies(one)(k, pa.Table.from_batches([b])))
+    ((classes, _),) = jaccard._standing(one.sealed([k]), 4, [docs])
+    assert classes == [names[0], names[1], names[3], names[4]]
+
+
+def test_spread_join(spark):
+    """A join whose keys are partly dealt by salt is the plain join."""
+    left = spark.range(3000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.count("*").alias("m")).where("k <> 3").withColumn("w", F.col("k") * 10)
+    for hot in (10, 400, 10**9):
+        got = sorted(map(tuple, common.spread_join(left, right, "k", "m", hot).select("k", "v", "w").collect()))
+        assert got == sorted((k, v, 10 * k) for k, v in left.collect() if k != 3)
+
+
 def test_components(spark):
     chain = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     star = spark.range(101, 120).select(F.lit(100).cast("bigint").alias("a"), F.col("id").alias("b"))

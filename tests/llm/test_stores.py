@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import sentencepiece
 
 from tests.llm.odd import ROWS, none, odd
@@ -23,6 +25,38 @@ def test_runs():
         assert (k == keys).all() and (m == n).all() and not z.any()
 
 
+def test_store(tmp_path):
+    """Counts above 32 bits come back as they are; a bucket that wasn't written is empty, one whose file is lost is an error."""
+    store = hashstore.Store(f"file://{tmp_path}", 6)
+    keys = np.array([5, 9, 11], np.uint64) | np.uint64(3 << 58)
+    n = np.array([1, 2**32 + 7, 2**63], np.uint64)
+    store.write(3, keys, [n])
+    store.write(4, np.array([4 << 58], np.uint64), [np.array([9], np.uint64)])
+    store = store.sealed([3, 4])
+    place, (got,), bucket = store.find(np.array([*keys[::-1], 1, 4 << 58], np.uint64))
+    assert got.tolist() == [2**63, 2**32 + 7, 1, 0, 9] and place.tolist() == [2, 1, 0, -1, 0] and bucket.tolist() == [3, 3, 3, 0, 4]
+    table = pa.table({"run": [hashstore.to_run(keys, [n // np.uint64(4)])] * 3, "kind": [0] * 3})
+    assert hashstore.merged(table)[1][0].tolist() == [3 * (x // 4) for x in n.tolist()]
+    hashstore._MAPPED.clear()
+    (tmp_path / "bucket-000003.bin").unlink()
+    with pytest.raises(FileNotFoundError):
+        store.find(keys)
+
+
+@pytest.mark.parametrize("bits", [6, 9, 16])
+def test_pairs(bits):
+    """Pairs of ids, also of more than 32 bits, are one to one with bucket and key."""
+    pairs, rng = kn.Pairs(bits), np.random.default_rng(bits)
+    most = 1 << pairs.half
+    assert most >= 1 << 35
+    a, b = (np.concatenate([rng.integers(0, most, 3000, dtype=np.uint64), np.array([0, 0, most - 1, most - 1], np.uint64), x]) for x in (np.arange(500, dtype=np.uint64), np.full(500, 7, np.uint64)))
+    bucket, keys = pairs.code(a, b)
+    assert bucket.max() < 1 << bits and len(set(zip(bucket.tolist(), keys.tolist()))) == len(set(zip(a.tolist(), b.tolist())))
+    for k in set(bucket.tolist()):
+        x, y = pairs.plain(k, keys[bucket == k])
+        assert (x == a[bucket == k]).all() and (y == b[bucket == k]).all()
+
+
 def test_token_counts(spark, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -102,6 +102,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+#: Rows of one key that a join leaves in one task, and into how many tasks it deals the rows of a key with more.
+HOT, SALTS = 20_000, 256
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, hot: int = HOT) -> DataFrame:
+    """The inner join of ``left`` with ``right``, which has each key once and in ``size`` how many rows of ``left`` have it.
+
+    Rows of keys with more than ``hot`` rows are dealt by key and salt; of ``right``, only the
+    rows of such keys, of which there are few, are repeated. Both sides are read twice.
+    """
+    plain = left.join(right.where(F.col(size) <= hot).drop(size), key)
+    dealt = right.where(F.col(size) > hot).drop(size).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.lit(SALTS)).cast("int")).join(dealt, [key, "_salt"]).drop("_salt")
+    return plain.unionByName(salted)
+
+
 def id_and_text(df: DataFrame) -> DataFrame:
     """Only the two columns that the operators read; whatever else the table has may clash with nothing."""
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -4,12 +4,14 @@ Map tasks send runs of sorted 64-bit keys with values, cut by the keys' top bits
 buckets; one task merges each bucket and writes it as a file of a sorted key array and
 value arrays. A bucket's size is bounded by the number of buckets, not by how often a
 key occurs, since every run has each key once. Workers look up whole batches of keys.
+A store knows which buckets were written; if the file of one is lost, reading it fails.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,10 @@ from .common import fetched, own_memory, put_file
 
 #: Words whose hashes a worker remembers.
 MEMO = 500_000
+#: Bits that tell buckets apart: at least, and at most, so that runs don't grow with the square of the input.
+LEAST_BITS, MOST_BITS = 6, 16
+#: Buckets that a worker keeps mapped.
+MAPPED = 4096
 RUNS = "bucket int, kind int, run binary"
 _RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.binary())])
 
@@ -63,8 +69,8 @@ def unmix(x: np.ndarray) -> np.ndarray:
 
 
 def buckets_for(df: DataFrame) -> int:
-    """The top bits that tell buckets apart: 64 buckets at least, and as many as the input has partitions."""
-    return max(6, (df.rdd.getNumPartitions() - 1).bit_length())
+    """The top bits that tell buckets apart: as many buckets as the input has partitions, between 64 and 65,536."""
+    return max(LEAST_BITS, min((df.rdd.getNumPartitions() - 1).bit_length(), MOST_BITS))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -114,64 +120,87 @@ def bucket_starts(bits: int) -> np.ndarray:
     return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
 
-def merged(table: pa.Table, kind: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums over all runs of a bucket of one kind."""
+def joined(table: pa.Table, kind: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All runs of a bucket of one kind, one after the other."""
     runs = [from_run(r) for r, k in zip(table.column("run").to_pylist(), table.column("kind").to_pylist(), strict=True) if k == kind]
     if not runs:
         return np.empty(0, np.uint64), []
-    return summed(np.concatenate([k for k, _ in runs]), [np.concatenate(c) for c in zip(*(c for _, c in runs), strict=True)])
+    return np.concatenate([k for k, _ in runs]), [np.concatenate(c) for c in zip(*(c for _, c in runs), strict=True)]
+
+
+def merged(table: pa.Table, kind: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums over all runs of a bucket of one kind."""
+    return summed(*joined(table, kind))
+
+
+def packed(columns: list[np.ndarray]) -> Iterator[bytes]:
+    """Unsigned integers as a file: each column in the narrowest width that holds all of it, so none wraps."""
+    widths = [next(w for w in (1, 2, 4, 8) if not len(c) or int(c.max()).bit_length() <= 8 * w) for c in columns]
+    yield np.array([len(columns), *chain.from_iterable(zip(widths, map(len, columns), strict=True))], "<u8").tobytes()
+    for w, c in zip(widths, columns, strict=True):
+        raw = c.astype(f"<u{w}").tobytes()
+        yield raw + b"\0" * (-len(raw) % 8)
+
+
+def unpacked(raw: np.ndarray) -> list[np.ndarray]:
+    """The columns of a mapped file."""
+    k = int(raw[:8].view("<u8")[0])
+    at, out = 8 + 16 * k, []
+    for w, n in raw[8:at].view("<u8").reshape(k, 2).tolist():
+        out.append(raw[at : at + w * n].view(f"<u{w}"))
+        at += w * n + -w * n % 8
+    return out
 
 
 @dataclass(frozen=True)
 class Store:
-    """A store's place, the bits that tell its buckets apart, and the types of its value columns."""
+    """A store's place, the bits that tell its buckets apart, how many value columns it has, and which buckets were written."""
 
     folder: str
     bits: int
-    types: tuple[str, ...]
+    columns: int = 1
+    #: A bit for each bucket that has a file.
+    full: bytes = b""
 
     def _uri(self, bucket: int) -> str:
         return f"{self.folder}/bucket-{bucket:06d}.bin"
 
     def write(self, bucket: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
         """Writes a bucket; tasks that run twice write the same."""
+        put_file(self._uri(bucket), packed([keys, *columns]))
 
-        def chunks() -> Iterator[bytes]:
-            yield np.array([len(keys)], "<u8").tobytes() + keys.astype("<u8").tobytes()
-            for t, c in zip(self.types, columns, strict=True):
-                raw = c.astype(t).tobytes()
-                yield raw + b"\0" * (-len(raw) % 8)
-
-        put_file(self._uri(bucket), chunks())
+    def sealed(self, buckets: Iterable[int]) -> Store:
+        """The same store, to be read: these buckets were written, the others are empty."""
+        some = np.zeros(1 << self.bits, bool)
+        some[list(buckets)] = True
+        return replace(self, full=np.packbits(some).tobytes())
 
     def read(self, bucket: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """A bucket's mapped arrays; without a file, empty ones."""
+        """A bucket's mapped arrays; a bucket that wasn't written has empty ones, one whose file is gone is an error."""
         key = (self.folder, bucket)
         if key not in _MAPPED:
-            if len(_MAPPED) > 4096:
-                _MAPPED.clear()
-            try:
-                raw = np.memmap(fetched(self._uri(bucket)), np.uint8, "r")
-            except FileNotFoundError:
-                _MAPPED[key] = np.empty(0, np.uint64), [np.empty(0, t) for t in self.types]
-                return _MAPPED[key]
-            n = int(raw[:8].view("<u8")[0])
-            at, columns = 8 + 8 * n, []
-            for t in self.types:
-                size = np.dtype(t).itemsize * n
-                columns.append(raw[at : at + size].view(t))
-                at += size + -size % 8
-            _MAPPED[key] = raw[8 : 8 + 8 * n].view("<u8"), columns
+            if len(_MAPPED) > MAPPED:
+                _MAPPED.pop(next(iter(_MAPPED)))
+            if not self.full[bucket >> 3] >> (7 - bucket % 8) & 1:
+                _MAPPED[key] = np.empty(0, np.uint64), [np.empty(0, np.uint64)] * self.columns
+            else:
+                keys, *columns = unpacked(np.memmap(fetched(self._uri(bucket)), np.uint8, "r").view(np.ndarray))
+                _MAPPED[key] = keys, columns
         return _MAPPED[key]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """For each key: where it stands in its bucket (-1: nowhere), its values (0), and its bucket."""
+    def find(self, keys: np.ndarray, buckets: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """For each key: where it stands in its bucket (-1: nowhere), its values (0), and its bucket.
+
+        Without ``buckets``, a key's top bits tell its bucket.
+        """
         order = np.argsort(keys)
+        if buckets is not None:
+            order = order[np.argsort(buckets[order].astype(np.uint16), kind="stable")]
         asked = keys[order]
-        bucket = (asked >> np.uint64(64 - self.bits)).astype(np.int64)
+        bucket = (asked >> np.uint64(64 - self.bits)).astype(np.int64) if buckets is None else buckets[order].astype(np.int64)
         full, first = np.unique(bucket, return_index=True)
         place = np.full(len(keys), -1, np.int64)
-        values = [np.zeros(len(keys), t) for t in self.types]
+        values = [np.zeros(len(keys), np.uint64) for _ in range(self.columns)]
         for b, lo, hi in zip(full.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
             have, columns = self.read(b)
             if not len(have):

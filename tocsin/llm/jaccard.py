@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_and_text, rows, shared_dir, stored, tune
-from .hashstore import RUNS, Store, bucket_starts, buckets_for, cut, hash_words, merge_buckets, merged, mix, summed
+from .common import byte_texts, id_and_text, rows, shared_dir, spread_join, stored, tune
+from .hashstore import RUNS, Store, bucket_starts, buckets_for, cut, hash_words, joined, merge_buckets, merged, mix, summed
 
 #: N-gram hashes that a task holds before it sends them on.
 HELD = 4_000_000
@@ -39,8 +39,8 @@ FRAGMENTS = 4
 NEIGHBOURS = 3
 #: Parts of the hash range by which a set's shared n-grams are counted, to bound overlaps.
 CELLS = 32
-#: Entries of one n-gram's list that one task orders.
-LIST = 4096
+#: Entries of one n-gram's list that one task orders, and those of it that one task of the second wave holds.
+LIST, CROSS = 4096, 512
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -67,21 +67,25 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit halves of a set's digest."""
-    d = xxhash.xxh3_128_digest(s.tobytes())
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+def signature(s: np.ndarray) -> bytes:
+    """A set's digest of 128 bits, which names its class."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-SETS = "doc_id bigint, n bigint, s1 bigint, s2 bigint"
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary())])
+SETS = "doc_id bigint, n bigint, cls binary"
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(byte_texts(b), size)
-            yield rows(_SETS, b.column("doc_id"), [len(s) for s in sets], *(zip(*map(signature, sets), strict=True) if sets else [[], []]))
+            yield rows(_SETS, b.column("doc_id"), [len(s) for s in sets], [signature(s) for s in sets])
 
     return run
 
@@ -91,32 +95,35 @@ def _send_copies(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("s1").to_numpy().astype(np.int64).view(np.uint64)
+            keys, other = _halves(b.column("cls").to_pylist())
             order = np.argsort(keys)
-            yield cut(keys[order], [b.column("rep").to_numpy().astype(np.int64).view(np.uint64)[order]], starts)
+            yield cut(keys[order], [other[order], b.column("rep").to_numpy().astype(np.int64).view(np.uint64)[order]], starts)
 
     return run
 
 
 def _write_copies(store: Store):
     def task(bucket: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, (rep,) = merged(table)
-        store.write(bucket, keys, [rep])
-        yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int64())})
+        keys, columns = joined(table)
+        keys, first, m = np.unique(keys, return_index=True, return_counts=True)
+        one = m == 1  # classes that agree in half a digest are left out: all their copies stand for them, which changes no result
+        store.write(bucket, keys[one], [c[first[one]] for c in columns])
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64())})
 
     return task
 
 
-def _standing(copies: Store, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def _standing(copies: Store, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
     """Of each batch: the classes that a row of it stands for, and their sets."""
     for b in batches:
         sets = shingle_sets(byte_texts(b), size)
-        keys = [signature(s)[0] for s in sets]
-        place, (rep,), _ = copies.find(np.array(keys, np.int64).view(np.uint64))
+        names = [signature(s) for s in sets]
+        keys, other = _halves(names)
+        place, (same, rep), _ = copies.find(keys)
         ids = b.column("doc_id").to_pylist()
-        rep = rep.view(np.int64).tolist()
-        good = [k for k, s in enumerate(sets) if len(s) and ids[k] is not None and (place[k] < 0 or rep[k] == ids[k])]
-        yield [keys[k] for k in good], [sets[k] for k in good]
+        lone, rep = ((place < 0) | (same != other)).tolist(), rep.view(np.int64).tolist()
+        good = [k for k, s in enumerate(sets) if len(s) and ids[k] is not None and (lone[k] or rep[k] == ids[k])]
+        yield [names[k] for k in good], [sets[k] for k in good]
 
 
 def _count(copies: Store, size: int, bits: int):
@@ -150,7 +157,7 @@ def _write_counts(store: Store):
         # mass by frequency class and by the hash's place within the whole range
         level, mass = np.floor(np.log2(n.astype(np.float64))).astype(np.uint64), n
         cell, (mass,) = summed((level << np.uint64(8)) | (keys >> np.uint64(56)), [mass]) if len(keys) else (keys, (n,))
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(cell.astype(np.int64)), "mass": pa.array(mass.astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * max(len(cell), 1), pa.int64()), "cell": pa.array(cell.astype(np.int64).tolist() or [None], pa.int64()), "mass": pa.array(mass.astype(np.int64).tolist() or [0], pa.int64())})
 
     return task
 
@@ -165,8 +172,8 @@ def fragment_cells(mass: dict[int, int], fragments: int) -> list[int]:
     return out
 
 
-_SEGMENTS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("lists", pa.list_(pa.int32())), ("cells", pa.list_(pa.int32())), ("fragment", pa.int32()), ("segment", pa.list_(pa.int64()))])
-SEGMENTS = "cls bigint, n bigint, prefix array<bigint>, lists array<int>, cells array<int>, fragment int, segment array<bigint>"
+_SEGMENTS = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("df", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32())), ("fragment", pa.int32()), ("segment", pa.list_(pa.int64()))])
+SEGMENTS = "cls binary, n bigint, prefix array<bigint>, df array<bigint>, cells array<int>, fragment int, segment array<bigint>"
 
 
 def _segments(copies: Store, counts: Store, size: int, percent: int, first_cells: list[int]):
@@ -189,11 +196,11 @@ def _segments(copies: Store, counts: Store, size: int, percent: int, first_cells
                     order = shared[np.lexsort((s[shared], lv[shared]))]
                     keys = s[order].view(np.int64)
                     fragment = np.searchsorted(firsts, (lv[order] << 8) | (s[order] >> np.uint64(56)).astype(np.int64), side="right")
-                    prefix, lists = keys[:reach].tolist(), (d[order][:reach] // LIST).astype(np.int32).tolist()
+                    prefix, often = keys[:reach].tolist(), d[order][:reach].tolist()
                     cells = np.bincount(((s[shared] >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).tolist()
                     for f in np.unique(fragment).tolist():
-                        out.append((c, n, prefix, lists, cells, f, keys[fragment == f].tolist()))
-                        prefix, lists, cells = [], [], []
+                        out.append((c, n, prefix, often, cells, f, keys[fragment == f].tolist()))
+                        prefix, often, cells = [], [], []
             yield rows(_SEGMENTS, *(zip(*out, strict=True) if out else [[]] * len(_SEGMENTS)))
 
     return run
@@ -215,17 +222,18 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     Each round takes the smallest label among neighbours and then the label's label, so
     the number of rounds grows with the logarithm of a component's diameter.
     """
-    edges = stored(links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u"))).distinct(), tag)
-    labels = stored(edges.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("c")), tag)
+    both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    edges = stored(both.distinct(), tag)
+    labels = stored(edges.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("degree")).select("v", F.least("v", "m").alias("c"), "degree"), tag)
     while True:
-        near = edges.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("m"))
-        least = labels.join(near, "v").select("v", F.least("c", "m").alias("c"), F.col("c").alias("old"))
-        least = stored(least, tag)
-        jump = least.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        new = stored(least.join(jump, "c", "left").select("v", F.least("c", F.coalesce("cc", "c")).alias("c"), "old"), tag)
-        labels = new.select("v", "c")
+        near = spread_join(edges, labels.select(F.col("v").alias("u"), "c", "degree"), "u", "degree").groupBy("v").agg(F.min("c").alias("m"))
+        least = stored(labels.join(near, "v").select("v", F.least("c", "m").alias("c"), F.col("c").alias("old"), "degree"), tag)
+        sizes = least.groupBy("c").agg(F.count("*").alias("size"))
+        jump = sizes.join(least.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c")
+        new = stored(spread_join(least, jump, "c", "size").select("v", F.least("c", "cc").alias("c"), "old", "degree"), tag)
+        labels = new.select("v", "c", "degree")
         if new.where("c <> old").isEmpty():
-            return labels
+            return labels.select("v", "c")
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -242,28 +250,42 @@ def _alike(percent: int, p: str, q: str, cp: str, cq: str) -> Column:
 
 
 def _listed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, s1, s2) with each document's class s1, the classes' segments, and the lists of prefix n-grams."""
+    """Rows (doc_id, n, cls) with each document's class, the classes' segments, and the lists of prefix n-grams.
+
+    ``df`` of a list is in how many classes its n-gram is, the same in all of its rows.
+    """
     spark = docs.sparkSession
     tune(spark)
     docs = id_and_text(docs)
     bits = buckets_for(docs)
     sets = stored(docs.mapInArrow(_sets(size), SETS), "sets")
-    copies = Store(shared_dir(spark, "copies"), bits, ("<u8",))
-    repeated = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("s1", "rep")
-    merge_buckets(repeated.mapInArrow(_send_copies(bits), RUNS), _write_copies(copies), "n bigint").agg({"n": "sum"}).collect()
-    counts = Store(shared_dir(spark, "counts"), bits, ("<u4",))
-    cells = merge_buckets(docs.mapInArrow(_count(copies, size, bits), RUNS), _write_counts(counts), "cell bigint, mass bigint").groupBy("cell").agg(F.sum("mass").alias("mass")).collect()
-    firsts = fragment_cells({r["cell"]: r["mass"] for r in cells}, FRAGMENTS)
+    copies = Store(shared_dir(spark, "copies"), bits, 2)
+    repeated = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("cls", "rep")
+    copies = copies.sealed(r["bucket"] for r in merge_buckets(repeated.mapInArrow(_send_copies(bits), RUNS), _write_copies(copies), "bucket bigint").collect())
+    counts = Store(shared_dir(spark, "counts"), bits)
+    cells = stored(merge_buckets(docs.mapInArrow(_count(copies, size, bits), RUNS), _write_counts(counts), "bucket bigint, cell bigint, mass bigint"), "cells")
+    counts = counts.sealed(r["bucket"] for r in cells.select("bucket").distinct().collect())
+    mass = cells.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("mass").alias("mass")).collect()
+    firsts = fragment_cells({r["cell"]: r["mass"] for r in mass}, FRAGMENTS)
     segments = stored(docs.mapInArrow(_segments(copies, counts, size, percent, firsts), SEGMENTS), "segments").dropDuplicates(["cls", "fragment"])
 
-    lists = segments.where(F.size("prefix") > 0).select("cls", "n", "cells", F.explode(F.arrays_zip("prefix", "lists")).alias("e")).select(F.col("e.prefix").alias("gram"), F.col("e.lists").alias("lists"), "cls", "n", "cells")
+    lists = segments.where(F.size("prefix") > 0).select("cls", "n", "cells", F.explode(F.arrays_zip("prefix", "df")).alias("e")).select(F.col("e.prefix").alias("gram"), F.col("e.df").alias("df"), "cls", "n", "cells")
     return sets, segments, stored(lists, "lists")
 
 
+def _across(lists: DataFrame, differ: str, percent: int) -> DataFrame:
+    """Pairs (x, nx, y, ny) of one n-gram's list whose ``differ`` ascends and that can link; a long list is cut into blocks of x."""
+    block = F.pmod(F.xxhash64("cls"), F.floor(F.col("df") / CROSS) + 1)
+    one = lambda v, b: lists.select("gram", b.alias("block"), F.col("cls").alias(v), F.col("n").alias(f"n{v}"), F.col("cells").alias(f"k{v}"), F.col(differ).alias(f"c{v}"))
+    x, y = one("x", block), one("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("df") / CROSS))))
+    pairs = x.join(y, (x["gram"] == y["gram"]) & (x["block"] == y["block"]) & (F.col("cx") < F.col("cy")) & _alike(percent, "nx", "ny", "kx", "ky"))
+    return pairs.select("x", "nx", "y", "ny")
+
+
 def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, s1, s2) with each document's class s1, and components (v, c) of linked classes."""
+    """Rows (doc_id, n, cls) with each document's class, and components (v, c) of linked classes."""
     sets, segments, lists = _listed(docs, size, percent)
-    by = Window.partitionBy("gram", F.pmod(F.xxhash64("cls"), F.col("lists") + 1)).orderBy(F.xxhash64("cls", "gram"), "cls")
+    by = Window.partitionBy("gram", F.pmod(F.xxhash64("cls"), F.floor(F.col("df") / LIST) + 1)).orderBy(F.xxhash64("cls", "gram"), "cls")
     near = None
     for k in range(1, NEIGHBOURS + 1):
         some = lists.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"), F.lag("cls", k).over(by).alias("y"), F.lag("n", k).over(by).alias("ny"), F.lag("cells", k).over(by).alias("ky"))
@@ -271,38 +293,42 @@ def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     first = stored(verified(_pairs(near.where(F.col("y").isNotNull() & _alike(percent, "nx", "ny", "kx", "ky"))), segments, percent), "links")
     known = components(first)
 
-    mine = lists.select("gram", "cls", "n", "cells").join(known.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
-    mine = stored(mine, "lists")
-    several = mine.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    open_lists = mine.join(several, "gram", "left_semi")
-    x = open_lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"), F.col("c").alias("cx"))
-    y = open_lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("cells").alias("ky"), F.col("c").alias("cy"))
-    across = x.join(y, (x["gram"] == y["gram"]) & (F.col("cx") < F.col("cy")) & _alike(percent, "nx", "ny", "kx", "ky"))
-    second = verified(_pairs(across.select("x", "nx", "y", "ny")), segments, percent)
+    prefixes = lists.groupBy("cls").agg(F.count("*").alias("size"))
+    named = known.withColumnRenamed("v", "cls").join(prefixes, "cls")
+    mine = stored(spread_join(lists, named, "cls", "size").unionByName(lists.join(known.select(F.col("v").alias("cls")), "cls", "left_anti").withColumn("c", F.col("cls"))), "lists")
+    several = mine.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("df").alias("df")).where("lo <> hi")
+    several = several.select("gram", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("df") / CROSS))).alias("block"))
+    block = F.pmod(F.xxhash64("cls"), F.floor(F.col("df") / CROSS) + 1)
+    open_lists = mine.withColumn("block", block).join(several, ["gram", "block"], "left_semi")
+    second = verified(_pairs(_across(open_lists.drop("block"), "c", percent)), segments, percent)
     return sets, components(first.unionByName(stored(second, "links")))
 
 
 def class_links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, s1, s2) with each document's class s1, and every link (a, b) of two classes, a < b.
+    """Rows (doc_id, n, cls) with each document's class, and every link (a, b) of two classes, a < b.
 
     Other than components, all links of a group are compared and given: as many as the square of its classes.
     """
     sets, segments, lists = _listed(docs, size, percent)
-    x = lists.select("gram", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"))
-    y = lists.select("gram", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("cells").alias("ky"))
-    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("x") < F.col("y")) & _alike(percent, "nx", "ny", "kx", "ky"))
-    return sets, stored(verified(_pairs(pairs.select("x", "nx", "y", "ny")), segments, percent), "links")
+    return sets, stored(verified(_pairs(_across(lists, "cls", percent)), segments, percent), "links")
 
 
 def link_counts(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, n_links of each document: with how many other documents it links, by the rules of near_duplicates."""
     sets, found = class_links(docs, size, percent)
-    members = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1").agg(F.count("*").alias("m"))
+    members = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.count("*").alias("m"))
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(members.withColumnRenamed("s1", "b"), "b").groupBy(F.col("a").alias("s1")).agg(F.sum("m").alias("others"))
-    per = members.join(others, "s1", "left").select("s1", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    own = F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.lit(0)).otherwise(F.col("n_links"))
-    return sets.join(per, "s1", "left").select("doc_id", F.col("n").alias("n_shingles"), own.cast("bigint").alias("n_links"))
+    degree = both.groupBy("b").agg(F.count("*").alias("degree"))
+    others = spread_join(both, members.withColumnRenamed("cls", "b").join(degree, "b"), "b", "degree").groupBy(F.col("a").alias("cls")).agg(F.sum("m").alias("others"))
+    per = members.join(others, "cls", "left").select("cls", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "m")
+    linked, alone = _by_class(sets, per, "m")
+    return linked.select("doc_id", "n", "n_links").unionByName(alone.select("doc_id", "n", F.lit(0).alias("n_links"))).select("doc_id", F.col("n").alias("n_shingles"), F.col("n_links").cast("bigint").alias("n_links"))
+
+
+def _by_class(sets: DataFrame, classes: DataFrame, size: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of classes, joined with what is known of their class, and the rows that are in none: without an id, or with an empty set."""
+    in_class = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return spread_join(sets.where(in_class), classes, "cls", size), sets.where(~in_class)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -312,14 +338,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFr
     n-grams of ``size`` words; a component's id is its smallest doc_id. A null, empty or
     blank text has an empty set and links with nothing. Equal doc_ids are different
     documents that share their smallest component. A row without doc_id links with
-    nothing and has no component. Classes go by a 64-bit hash of their sets. Columns
+    nothing and has no component. Classes go by a 128-bit digest of their sets. Columns
     besides doc_id and text are not read.
     """
     sets, found = links(docs, size, percent)
-    ours = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1").agg(F.min("doc_id").alias("rep"))
-    ours = stored(ours.join(found.withColumnRenamed("v", "s1"), "s1", "left").withColumn("c", F.coalesce("c", "s1")), "classes")
-    least = ours.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = ours.join(least, "c").select("s1", "component_id")
-    out = sets.join(named, "s1", "left")
-    own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.cast("bigint").alias("component_id"))
+    ours = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    ours = stored(ours.join(found.withColumnRenamed("v", "cls"), "cls", "left").withColumn("c", F.coalesce("c", "cls")), "classes")
+    least = ours.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+    named = spread_join(ours, least, "c", "size").select("cls", "component_id", "m")
+    linked, alone = _by_class(sets, named, "m")
+    out = linked.select("doc_id", "n", "component_id").unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

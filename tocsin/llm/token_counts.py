@@ -84,12 +84,12 @@ def _count(store: Store, path: str):
         units = list({u for us in table.column("units").to_pylist() for u in us})
         keys = hash_words(units)
         order = np.argsort(keys)
-        keys, n = keys[order], np.array(count_pieces(path, [units[k] for k in order.tolist()]), np.uint32)
+        keys, n = keys[order], np.array(count_pieces(path, [units[k] for k in order.tolist()]), np.uint64)
         alone = np.ones(len(keys), bool)
         alone[1:] &= keys[1:] != keys[:-1]
         alone[:-1] &= keys[1:] != keys[:-1]
         store.write(key[0].as_py(), keys[alone], [n[alone]])
-        return pa.table({"n": pa.array([int(alone.sum())], pa.int64())})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32())})
 
     return run
 
@@ -122,6 +122,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     docs = id_and_text(docs)
-    store = Store(shared_dir(spark, "pieces"), buckets_for(docs), ("<u4",))
-    docs.mapInArrow(_distinct(store.bits), "bucket int, units array<binary>").groupBy("bucket").applyInArrow(_count(store, path), "n bigint").agg({"n": "sum"}).collect()
+    store = Store(shared_dir(spark, "pieces"), buckets_for(docs))
+    written = docs.mapInArrow(_distinct(store.bits), "bucket int, units array<binary>").groupBy("bucket").applyInArrow(_count(store, path), "bucket int").collect()
+    store = store.sealed(r["bucket"] for r in written)
     return docs.mapInArrow(_sum(store, path, limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, n_pre_tokens bigint")
