@@ -244,3 +244,184 @@ def test_plans(spark, gazetteer, capsys):
     inc = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_orderkey").alias("last_updated_at"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("id"))
     serve.stale(inc, 10_000).explain("formatted")
     assert "PushedFilters: [IsNotNull(status)" in capsys.readouterr().out.replace("IsNotNull(o_orderstatus)", "IsNotNull(status)")
+
+
+def test_parse_reads_once(spark, gazetteer, capsys):
+    """Texts are read by one scan, before names are resolved: the result's plan has the stored captures only, and no nested loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 1).alias("id"), F.lit("c").alias("channel_name"), "text", F.lit(0).alias("timestamp"))
+    parse.parse(docs, gazetteer).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "documents.parquet" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    rows = spark.createDataFrame([(1, "c", "Шахед курсом на Лозовое", 1), (1, "c", "КАБ на верхнее", 1), (2, "c", None, 1)], "id bigint, channel_name string, text string, timestamp bigint")
+    assert sorted(r.weapon_type for r in parse.parse(rows, gazetteer).collect()) == ["kab", "shahed"]
+
+
+def pairs_within(a, b):
+    return {(x, y) for x in a for y in b if text.osa(x, y) <= 2}
+
+
+def test_near_and_containing(spark):
+    """Both candidate joins against all pairs, also for names that are shorter than the pieces."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("аб") for _ in range(n))
+    names, aliases = sorted({word(rng.randrange(1, 12)) for _ in range(60)}), sorted({word(rng.randrange(1, 12)) for _ in range(60)})
+    left = spark.createDataFrame([(n, n) for n in names], "raw string, norm string")
+    index = spark.createDataFrame([(k, 0, a, a) for k, a in enumerate(aliases)], "id bigint, pos int, alias string, canonical string")
+    near = {(r.raw, r.alias): r.d for r in resolve.near_spellings(left, index).collect()}
+    assert set(near) == pairs_within(names, aliases) and all(text.osa(*k) == d for k, d in near.items())
+    held = [(r.raw, r.alias) for r in resolve.containing(left, index).collect()]
+    assert sorted(held) == sorted((x, y) for x in names for y in aliases if min(len(x), len(y)) >= 3 and (x in y or y in x))
+
+
+def test_names(spark, gazetteer):
+    assert [r.canonical for r in resolve.known_names(gazetteer).collect()] == [p[1] for p in PLACES]
+    corpus = {r.canonical: r for r in resolve.runtime_corpus(gazetteer).collect()}
+    assert corpus["Ставки"].normalized_aliases == ["ставкам", "ставки", "ставков"] and corpus["Верхнє"].normalized_canonical == "верхне"
+    twice = gazetteer.unionByName(gazetteer.withColumn("id", F.col("id") + 100).withColumn("lat", F.lit(0.0)))
+    assert resolved(spark, twice, ["верхнего"])["верхнего"].lat == 50.1  # of two entries of a name, the first
+    one = spark.createDataFrame([(" 12.5 ", "долиною", "полку"), ("x", "лесом", "верх")], "n string, a string, b string")
+    assert [tuple(r) for r in one.select(text.to_number(F.col("n")), text.strip_case_ending(F.col("a")), text.strip_case_ending(F.col("b"))).collect()] == [(12.5, "долина", "полка"), (None, "лес", "верх")]
+    more = lexicon.merged_aliases(gazetteer.where("id = 1"), spark.createDataFrame([("Верхнє", ["верх", "верхнего"]), ("Інше", ["x"])], "canonical string, aliases array<string>"))
+    assert more.first().aliases == ["верхнее", "верхнего", "верх"]
+
+
+def test_override_runs(spark):
+    """Red ends with its run: an orange mark after its end doesn't bring it back."""
+    at = lambda *rows: spark.createDataFrame([(i, t * 1000, x) for i, t, x in rows], "id string, at_ms bigint, is_impact boolean")
+    merged = lambda *rows: {r.id: (r["rank"], r.expires_at) for r in risk.merge_overrides(at(*rows)).collect()}
+    assert merged(("a", 0, True), ("a", 700, False)) == {"a": (1, 1_300_000)}
+    assert merged(("a", 0, True), ("a", 599, False)) == {"a": (2, 1_199_000)} and merged(("a", 0, True), ("a", 600, False)) == {"a": (1, 1_200_000)}
+    runs = sorted((r["rank"], r.from_ms, r.expires_at) for r in risk.override_runs(at(("a", 0, False), ("a", 100, True), ("a", 300, False), ("a", 2000, False))).collect())
+    assert runs == [(1, 0, 100_000), (1, 2_000_000, 2_600_000), (2, 100_000, 900_000)]
+    known = spark.createDataFrame([(1, ["a", None, "a"]), (2, []), (3, None)], "event_id int, ids array<string>")
+    got = sorted((r.event_id, r.id) for r in risk.override_targets(known.withColumn("ids", F.coalesce("ids", F.array().cast("array<string>"))), F.array(F.lit("a"), F.lit("b"))).collect())
+    assert got == [(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "b")]
+
+
+def test_levels_state():
+    of = jobs.Levels()
+    assert of.apply(0, "mark", 2) is None and of.apply(1_000, "tick", 0) == (2, "red") and of.apply(599_999, "tick", 1) == (2, "red")
+    assert of.apply(600_000, "tick", 0) == (0, "green") and of.apply(899_999, "tick", 0) == (0, "green") and of.apply(900_000, "tick", 0) == (0, None)
+    of.apply(900_001, "tick", 2)
+    again = jobs.Levels(*of.state())
+    again.apply(900_002, "reset", 0)
+    assert again.apply(900_003, "tick", 0) == (0, None) and of.apply(900_003, "tick", 0) == (0, "green")
+
+
+def test_correlator_forgets():
+    """Messages of expired incidents go, and candidates are those of the active window, the newest first."""
+    c = correlate.Correlator()
+    for k in range(20):
+        list(c.run([event(k, 2000 * k, location=at(50.0 + k, 36.0))]))
+    assert len(c.incidents) == 1 and len(c.replies) == 1
+    c = correlate.Correlator()
+    for k in range(6):
+        c.apply(event(k, 300 * k, location=at(40.0 + 5 * k, 36.0), channel=f"c{k}", weapon_type=("shahed", "fpv", "molniya", "lancet", "kab", "rszo")[k]))
+    assert [i["last_updated_at"] for i in c._since(300)] == [1500, 1200, 900, 600, 300] and len(c.incidents) == 6
+    again = correlate.Correlator.load(c.dump(), Settings())
+    assert [i["id"] for i in again._since(0)] == [i["id"] for i in c._since(0)]
+    ttl = correlate.Correlator(Settings(impact_ttl=100))
+    ttl.apply(event(1, 0, location=at(50.0, 36.0), event_type="impact"))
+    assert not correlate.Correlator().expire(10**9) and [i["status"] for i in ttl.expire(101)] == ["expired"] and not ttl.replies
+
+
+ANSWER = {"event_type": "tracking", "weapon_type": "bpla", "weapon_count": 1, "confidence": 0.9, "continuation_confidence": 0.0}
+
+
+def test_placed_events(spark, gazetteer):
+    """Pairs, fallbacks to incidents, and headings that the text names."""
+    said = [
+        (1, "БпЛА на верхнее/лозовое", {}), (2, "БпЛА верхнее/лозовое", {"location": "ставки"}), (3, "БпЛА", {"location": "ставки", "heading": "лозовое"}), (4, "БпЛА летит", {}), (5, "далее на лозовое", {}),
+        (6, "БпЛА", {"continues_incident_id": "old", "continuation_confidence": 0.35}), (7, "верхнее/ннигдее", {}), (8, "БпЛА", {}), (9, "взрыв", {"event_type": "impact"}),
+    ]
+    rows = [(i, "z" if i == 8 else "c", t, 1000, json.dumps(ANSWER | more)) for i, t, more in said]
+    point = {"lat": 50.3, "lng": 36.6, "name": ""}
+    active = spark.createDataFrame(
+        [("new", ["c"], 900, [point], None), ("older", ["c", "z"], 10, [point | {"lat": 51.0}], None), ("old", ["q"], -5000, [point | {"name": "Десь"}], point | {"name": "Там"})],
+        "id string, source_channels array<string>, last_updated_at bigint, trajectory array<struct<lat: double, lng: double, name: string>>, heading struct<lat: double, lng: double, name: string>",
+    )
+    messages = spark.createDataFrame(rows, "id bigint, channel_name string, text string, timestamp bigint, answer string")
+    answers = parse.model_events(messages, active)
+    got = {r.id: r for r in parse.placed_events(answers, gazetteer, active, settings=Settings(context_window=600)).collect()}
+    assert len(got) == len(said) and all(r.reason is None for i, r in got.items() if i != 8) and got[8].reason == "tracking_without_geo"
+    assert got[1].location.canonical_name == "Верхнє / Лозове (approach)" and got[1].heading.canonical_name == "Верхнє / Лозове" and math.isclose(got[1].heading.lat, 49.95)
+    gap = correlate.haversine({"lat": got[1].location.lat, "lng": got[1].location.lng}, {"lat": got[1].heading.lat, "lng": got[1].heading.lng})
+    assert math.isclose(gap, 14, rel_tol=1e-6) and math.isclose(got[1].location.confidence, 0.8 * 0.85 * 0.92)  # "на верхнее" is found in part
+    assert got[2].location.canonical_name == "Верхнє / Лозове" == got[2].heading.canonical_name and got[2].location.parent == "Харківська область"
+    assert (got[3].location.canonical_name, got[3].heading.canonical_name) == ("Ставки", "Лозове")
+    assert (got[4].location.canonical_name, got[4].location.lat, got[4].heading) == ("Incident last point", 50.3, None)
+    assert got[5].location is None and got[5].heading.canonical_name == "Лозове"
+    assert (got[6].location.canonical_name, got[6].heading.canonical_name, got[6].location.confidence) == ("Десь", "Там", 0.45)
+    assert got[7].location.canonical_name == "Верхнє" and got[9].location is None and got[9].heading is None
+
+
+def test_pluggable_model(spark):
+    m = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, text string")
+
+    def call(texts):
+        return [json.dumps(ANSWER) if t == "a" else None for t in texts]
+
+    def broken(texts):
+        raise ConnectionError
+
+    assert {r.id: r.answer is not None for r in parse.answered(m, call).collect()} == {1: True, 2: False}
+    assert [r.answer for r in parse.answered(m, broken).collect()] == [None, None]
+    assert [tuple(r) for r in parse.answered(m, broken).transform(lambda d: parse.model_events(d, spark.createDataFrame([], "id string"))).select("id", "reason").orderBy("id").collect()] == [(1, "empty"), (2, "empty")]
+
+
+def test_hints_and_settings(spark, monkeypatch):
+    df = spark.createDataFrame([(["correction", "impact", "continuation"], True, False, 1)], "p array<string>, c boolean, f boolean, d int")
+    assert df.select(parse.hints(F.col("p"), F.col("c"), F.col("f"), F.col("d"))).first()[0] == ["correction", "continuation", "additional_unit"]
+    monkeypatch.setenv("TOCSIN_STALE_AFTER", "60")
+    monkeypatch.setenv("TOCSIN_STRICT_ALL_CLEAR", "yes")
+    s = Settings.from_env()
+    assert s.stale_after == 60 and s.strict_all_clear and s.edge_km == 5.0
+    g = spark.range(1).select(geo.interpolate(1.0, 3.0, 0.25).alias("x"), geo.arrow_length(F.lit(-1.0)).alias("a"), geo.arrow_length(F.lit(1100.0)).alias("b"), geo.arrow_length(F.lit(9e9)).alias("c")).first()
+    assert tuple(g) == (1.5, 28, 50, 72)
+
+
+def test_tables(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert sorted(map(tuple, serve.new_rows(a.unionByName(a), a.where("k = 1"), ["k"]).collect())) == [(2, "y")]
+    both = serve.evolved(a.select("k"), a)
+    assert both.columns == ["k", "v"] and both.where("v IS NULL").count() == 2
+    readers.append(a, f"{tmp_path}/t")
+    readers.append(a, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 4
+    readers.overwrite(a.where("false"), f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 0
+    assert {tuple(r) for r in serve.reset(spark.createDataFrame([("a", "active"), ("b", "expired")], "id string, status string")).collect()} == {("expire", "a")}
+    levels = spark.createDataFrame([("a", "red"), ("b", None)], "id string, level string")
+    assert serve.level_map(levels).first().levels == {"a": "red", "b": None}
+    i = spark.createDataFrame([("active", 1.0, 2.0, 3, 4, [1]), ("impact", 1.0, 2.0, 3, 4, [1]), ("active", None, 2.0, 3, 4, []), ("active", 1.0, 2.0, None, 4, [1])], "status string, bearing_deg double, speed_kmh double, eta_seconds int, last_updated_at int, trajectory array<int>")
+    assert [tuple(r) for r in i.select(serve.can_project(), serve.shows_arrow()).collect()] == [(True, True), (False, False), (False, False), (False, False)]
+
+
+def test_publish(spark, tmp_path):
+    e = correlator_events(spark, "/root/testdata/sf0.001").where("scope = '1'")
+    e.write.parquet(f"{tmp_path}/in")
+    seen = []
+    q = jobs.publish(jobs.correlated(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")), lambda batch, n: seen.extend((n, r.op, r.id, r.payload) for r in batch.collect()), f"{tmp_path}/c")
+    q.processAllAvailable()
+    q.stop()
+    assert {op for _, op, _, _ in seen} <= {"new", "update", "expire"} and len(seen) > 10 and all(json.loads(p)["id"] == i for _, _, i, p in seen)
+
+
+def test_lexicon_file(spark, tmp_path):
+    raw = {
+        "location_dictionary": [{"canonical": "A", "aliases": ["a", ""]}, {"canonical": "B", "confidence": 2}, {"canonical": "C", "aliases": ["c"], "confidence": 0.5, "notes": "n"}],
+        "weapon_dictionary": [{"canonical": "kab"}, {"canonical": "none"}], "top_ambiguous_terms": [{"term": "t", "priority": "HIGH"}, {"term": "u", "priority": "x"}],
+        "priority_hotspots": [{"canonical": "y", "priority_rank": 2}, {"canonical": "x", "priority_rank": 1}, {"canonical": "z", "priority_rank": 0.5}],
+    }
+    (tmp_path / "l.json").write_text(json.dumps(raw, indent=1))
+    lists = readers.lexicon(spark, f"{tmp_path}/l.json")
+    assert {(r.list, r.ordinal, r.problem) for r in lexicon.problems(lists).collect()} == {
+        ("location_dictionary", 0, "an alias is empty"), ("location_dictionary", 1, "confidence is not from 0 to 1"), ("weapon_dictionary", 1, "canonical is no weapon"),
+        ("top_ambiguous_terms", 1, "priority is none"), ("priority_hotspots", 2, "priority_rank is no positive integer"),
+    }
+    good = lexicon.usable(lists)
+    assert [r.canonical for r in lexicon.ranked_hotspots(good["priority_hotspots"]).collect()] == ["x", "y"] and good["phrase_patterns"].count() == 0
+    assert [(r.canonical, r.confidence, r.notes) for r in good["location_dictionary"].collect()] == [("C", 0.5, "n")] and good["weapon_dictionary"].first().confidence == 1
+    (tmp_path / "g.json").write_text("".join(json.dumps({"canonical": c, "lat": 50.0, "lng": 36.0, "type": "village", "aliases": ["q"]}) + "\n" for c in "AC"))
+    places = readers.gazetteer(spark, f"{tmp_path}/g.json", good["location_dictionary"])
+    assert [(r.id, r.canonical, r.aliases) for r in places.orderBy("id").collect()] == [(1, "A", ["q"]), (2, "C", ["q", "c"])]

@@ -110,3 +110,9 @@ def midpoint(lat1, lng1, lat2, lng2) -> Column:
 
 def interpolate(a, b, t) -> Column:
     return _c(a) + (_c(b) - _c(a)) * _c(t)
+
+
+def arrow_length(speed_kmh: Column) -> Column:
+    """How long a map draws a speed: 28 to 72, growing up to 2200 km/h."""
+    share = F.least(F.lit(1.0), F.greatest(speed_kmh, F.lit(0.0)) / 2200)
+    return F.floor(28 + share * 44 + 0.5).cast("int")

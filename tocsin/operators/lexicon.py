@@ -6,6 +6,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions import text
+from tocsin.plans.settings import AMBIGUITY_WEIGHTS, SPEED_KMH
+
+
+def problems(lists: dict[str, DataFrame]) -> DataFrame:
+    """(list, ordinal, problem) of a lexicon's rows that can't be used; a row may have several."""
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    empty = lambda c: F.exists(c, lambda x: F.coalesce(x == "", F.lit(True)))
+    named = {"canonical is empty": blank("canonical"), "an alias is empty": empty("aliases"), "confidence is not from 0 to 1": ~F.col("confidence").between(0, 1)}
+    rank = F.col("priority_rank")
+    rules = {
+        "location_dictionary": named, "weapon_dictionary": named | {"canonical is no weapon": ~F.col("canonical").isin(*SPEED_KMH)},
+        "phrase_patterns": {"intent is empty": blank("intent"), "regex is empty": blank("regex")},
+        "top_ambiguous_terms": {"term is empty": blank("term"), "a mapping is empty": empty("possible_mappings"), "priority is none": ~F.coalesce(F.col("priority").isin(*AMBIGUITY_WEIGHTS), F.lit(False))},
+        "priority_hotspots": {"canonical is empty": blank("canonical"), "priority_rank is no positive integer": ~F.coalesce((rank > 0) & (rank == F.floor(rank)), F.lit(False))},
+    }
+    out = None
+    for k, of in rules.items():
+        found = lists[k].select(F.lit(k).alias("list"), "ordinal", F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(p)) for p, bad in of.items())))).alias("problem"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def usable(lists: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A lexicon's lists without the rows that have a problem."""
+    bad = problems(lists).select("list", "ordinal").distinct()
+    return {k: rows.join(bad.where(F.col("list") == k).select("ordinal"), "ordinal", "left_anti") for k, rows in lists.items()}
+
+
+def ranked_hotspots(hotspots: DataFrame) -> DataFrame:
+    return hotspots.orderBy("priority_rank", "ordinal")
+
+
+def mismatch_groups(items: DataFrame, groups: int = 30, each: int = 5) -> DataFrame:
+    """The largest groups of (canonical, alias): rank, canonical, size and their first aliases."""
+    of = items.groupBy("canonical").agg(F.count("*").alias("size"))
+    top = of.orderBy(F.desc("size"), "canonical").limit(groups).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "canonical")))  # ``groups`` rows
+    shown = items.join(top.select("canonical"), "canonical", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("canonical").orderBy("alias"))).where(F.col("k") <= each)
+    some = shown.groupBy("canonical").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return top.join(some, "canonical").select("rank", "canonical", "size", "aliases")
 
 
 def low_confidence(lexicon: DataFrame, least: float = 0.7, allowed: tuple[str, ...] = ()) -> DataFrame:

@@ -6,12 +6,17 @@ resolved once; priorities are a coalesce over the resolved places.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tocsin.functions import geo, text
 from tocsin.operators.resolve import resolve_best_effort
 from tocsin.plans.settings import HINTS, PHRASE_INTENTS, WEAPON_ALIASES, WEAPON_PATTERNS, Settings
+from tocsin.sources.shared import stored
 
 _I = "(?iu)"
 # Patterns of the messages' language.
@@ -36,6 +41,13 @@ PATTERNS = {
 FOLLOW_UP = "(?:^|\\s)(?:далее|дальше|далі|уже\\s+возле|вже\\s+біля|еще|ещё|ще)(?:$|\\s|[,.!?:;])"
 ONE_MORE = "(?:^|\\s)\\+1(?![A-Za-z0-9_])"
 COUNTS = ("(?:^|[\\s,🔴⚠])(\\d+)\\s+(?:Ударн\\S+\\s+)?(?:БпЛА|Шахед|ракет|дрон)", "(?:^|[\\s,])(\\d+)\\s+залетают", "(?:^|[\\s,])(\\d+)\\s+берут")
+ON_PAIR = "(?:^|\\s)(?:на|курс(?:ом)?\\s+на|направлени[ея]\\s+на)\\s+[^\\n]*/"
+CONTINUATION = "(?:^|\\s)(?:далее|далі|дальше|летит\\s+дальше|свернул(?:[аи]?)|змін(?:ив|или)\\s+курс)(?:$|\\s|[,.!?:;])"
+HINTED = (
+    f"(?:^|\\s)(?:далее|далі)\\s+на\\s+(.+?){_END}", f"курсо?м?\\s+(?:сейчас\\s+)?на\\s+(.+?){_END}", f"направлени[еия]\\s+(?:на\\s+)?(.+?){_END}",
+    f"(?:лет(?:ит|ят)|двига(?:ется|ются)|бер[её]т?\\s+курс)\\s+на\\s+(.+?){_END}",
+)
+SYNTHETIC = "Incident last point"
 # End of the fixed values.
 
 
@@ -97,40 +109,51 @@ def flags(clean: Column) -> dict[str, Column]:
     }
 
 
-def capture(clean: Column, name: str, group: int = 1) -> Column:
-    """A pattern's capture, trimmed; null if it doesn't match."""
-    x = F.trim(F.regexp_extract(clean, _I + PATTERNS[name][0], group))
-    return F.when(x != "", x)
+def captures(slots: dict[str, tuple[str, int]]) -> dict[str, Column]:
+    """Captures of ``clean`` by slot, trimmed, empty where the pattern isn't found."""
+    return {k: F.trim(F.regexp_extract("clean", _I + PATTERNS[p][0], g)) for k, (p, g) in slots.items()}
+
+
+def with_places(base: DataFrame, asked: dict[str, Column], gazetteer: DataFrame, ambiguous: dict[str, str] | None, settings: Settings, loose: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, ...) with maps ``asked`` and ``places`` by slot. Slots that aren't ``loose`` take no place that is put together from parts.
+
+    The rows are computed once, into a table; distinct names are resolved and joined back.
+    """
+    slots = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, asked)), F.array(*asked.values())), lambda k, v: v.isNotNull() & (v != ""))
+    base = base.withColumn("asked", slots).drop("clean", *(c for c in base.columns if c.startswith("_")))
+    base = stored(base.withColumn("_row", F.monotonically_increasing_id()), "slots")
+    pairs = base.select("_row", F.explode("asked").alias("slot", "raw"))
+    places = resolve_best_effort(pairs.select("raw"), gazetteer, ambiguous, settings)
+    usable = pairs.join(places, "raw").where(F.col("place").isNotNull() & (F.col("direct") | F.col("slot").isin(*loose)))
+    by_slot = usable.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("slot", "place"))).alias("places"))
+    return base.join(by_slot, "_row", "left").drop("_row")
+
+
+_SLOTS = {
+    "via1": ("via", 1), "via2": ("via", 2), "between1": ("between", 1), "between2": ("between", 2), "blast": ("blast", 1), "range1": ("range", 1), "range2": ("range", 2), "area": ("area", 1),
+    "course": ("course", 1), "direction": ("direction", 1), "onward": ("onward", 1), "toward": ("toward", 1), "to": ("to", 1), "enter": ("enter", 1), "slash": ("slash", 1), "on": ("on", 1),
+}
 
 
 def parse(messages: DataFrame, gazetteer: DataFrame, ambiguous: dict[str, str] | None = None, settings: Settings = Settings()) -> DataFrame:
     """Events of messages (id, channel_name, text, timestamp); those without any signal have null event_type.
 
-    Messages of id 0 or less, or without text, go. ``filtered_out`` marks messages that
-    must not be published; they are parsed and kept apart by the caller.
+    Messages of id 0 or less, or without text, go; rows of one id are parsed each. ``filtered_out`` marks
+    messages that must not be published; they are parsed and kept apart by the caller. The
+    text itself isn't carried along. Messages are read once: what the patterns find in them
+    goes into a table, from which distinct names are resolved.
     """
-    clean = text.plain_spaces(F.col("text"))
-    base = messages.where("id > 0 AND text IS NOT NULL AND trim(text) <> ''").withColumn("clean", clean)
-    base = base.withColumns({"filtered_out": text.contains_any(F.col("text"), settings.keywords), **flags(F.col("clean"))})
-    c = F.col("clean")
-    course, enter = F.split(capture(c, "course"), ",\\s*"), F.split(capture(c, "enter"), ",\\s*")
-    bare = F.trim(F.regexp_replace(c, "[⚠💥!.,;:]+", ""))
-    asked = {
-        "via1": capture(c, "via", 1), "via2": capture(c, "via", 2), "between1": capture(c, "between", 1), "between2": capture(c, "between", 2),
-        "blast": F.when(F.col("event_type") == "impact", capture(c, "blast")), "range1": capture(c, "range", 1), "range2": capture(c, "range", 2), "area": capture(c, "area"),
-        "course1": F.trim(F.try_element_at(course, F.lit(1))), "direction": capture(c, "direction"), "onward": capture(c, "onward"), "toward": F.coalesce(capture(c, "toward"), capture(c, "to")),
-        "enter1": F.trim(F.try_element_at(enter, F.lit(1))), "enter2": F.when(F.size(enter) > 1, F.trim(F.try_element_at(enter, F.lit(-1)))), "slash": capture(c, "slash"), "on": capture(c, "on"),
+    base = messages.where("id > 0 AND text IS NOT NULL AND trim(text) <> ''").withColumn("clean", text.plain_spaces(F.col("text")))
+    base = base.withColumns({"filtered_out": text.contains_any(F.col("text"), settings.keywords), **flags(F.col("clean")), **{f"_{k}": c for k, c in captures(_SLOTS).items()}}).drop("text")
+    s = lambda k: F.col(f"_{k}")
+    course, enter = F.split(s("course"), ",\\s*"), F.split(s("enter"), ",\\s*")
+    bare = F.trim(F.regexp_replace("clean", "[⚠💥!.,;:]+", ""))
+    asked = {k: s(k) for k in _SLOTS if k not in ("blast", "course", "toward", "to", "enter")} | {
+        "blast": F.when(F.col("event_type") == "impact", s("blast")), "course1": F.trim(F.try_element_at(course, F.lit(1))), "toward": F.when(s("toward") != "", s("toward")).otherwise(s("to")),
+        "enter1": F.trim(F.try_element_at(enter, F.lit(1))), "enter2": F.when(F.size(enter) > 1, F.trim(F.try_element_at(enter, F.lit(-1)))),
         "bare": F.when((F.length(bare) >= 3) & (F.size(F.split(bare, "\\s+")) <= 3), bare),
     }
-    loose = ("onward", "toward", "slash", "on", "bare")
-    base = base.withColumn("asked", F.map_filter(F.map_from_arrays(F.array(*map(F.lit, asked)), F.array(*asked.values())), lambda k, v: v.isNotNull()))
-    pairs = base.select("id", F.explode("asked").alias("slot", "raw"))
-    places = resolve_best_effort(pairs.select("raw"), gazetteer, ambiguous, settings)
-    # only loose slots may be put together from parts
-    whole = (F.col("place.type") != "composite") & ((F.col("place.confidence") >= 0.55) & F.col("place.confidence").isin(0.95, 0.8, 0.75, 0.7, 0.55))
-    usable = F.when(F.col("slot").isin(*loose) | whole, F.col("place"))
-    by_slot = pairs.join(places, "raw").withColumn("place", usable).where("place IS NOT NULL").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "place"))).alias("places"))
-    out = base.join(by_slot, "id", "left")
+    out = with_places(base, asked, gazetteer, ambiguous, settings, ("onward", "toward", "slash", "on", "bare"))
     p = lambda slot: F.try_element_at(F.col("places"), F.lit(slot))
     has_via = F.col("asked")["via1"].isNotNull()
     a, b = p("between1"), p("between2")
@@ -156,7 +179,7 @@ def parse(messages: DataFrame, gazetteer: DataFrame, ambiguous: dict[str, str] |
     return out.withColumns({
         "confidence": F.least(F.lit(0.95), confidence * F.when(F.col("is_preliminary"), 0.8).otherwise(1.0)),
         "event_type": F.when(signal, F.col("event_type")), "event_id": F.sha2(F.concat_ws(":", F.lit("event"), "id"), 256),
-    }).drop("asked", "places", "clean")
+    }).drop("asked", "places")
 
 
 def routed(events: DataFrame, tracked: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -187,15 +210,103 @@ def model_events(answers: DataFrame, active: DataFrame, settings: Settings = Set
     }).drop("live")
 
 
-def channel_fallback(events: DataFrame, incidents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """For events without a place: the newest incident of the channel within its window, as ``fallback_id``."""
-    i = incidents.select(F.col("id").alias("fallback_id"), F.explode("source_channels").alias("channel_name"), "last_updated_at")
-    close = events.where("location IS NULL AND heading IS NULL AND via IS NULL").select("event_id", "channel_name", "timestamp").join(i, "channel_name").where(F.col("timestamp") - F.col("last_updated_at") <= settings.channel_window)
-    newest = close.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("last_updated_at"), "fallback_id"))).where("k = 1")
-    return events.join(newest.select("event_id", "fallback_id"), "event_id", "left")
+def incident_place(point: Column) -> Column:
+    """An incident's point (lat, lng, name) as a place."""
+    name = F.when(point["name"] != "", point["name"])
+    return F.when(point.isNotNull(), F.struct(
+        F.coalesce(name, F.lit("incident_last_point")).alias("raw_name"), F.coalesce(name, F.lit(SYNTHETIC)).alias("canonical_name"), point["lat"].alias("lat"), point["lng"].alias("lng"),
+        F.lit("composite").alias("type"), F.lit(None).cast("string").alias("parent"), F.lit("alias").alias("match_type"), F.lit(0.45).alias("confidence"),
+    ))
+
+
+def incident_fallback(events: DataFrame, active: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Events with ``fallback``: what tracking events without any place take theirs from.
+
+    That is the active incident that the event continues, by a confidence of ``fallback_link`` at
+    least, else the newest one of its channel, if it is within the context window. ``active``
+    has id, source_channels, last_updated_at, trajectory and heading; an incident without points is none.
+    The newest of a channel is in the window if any is, so each channel sends one row.
+    """
+    i = active.select("id", "source_channels", "last_updated_at", F.struct("id", F.try_element_at("trajectory", F.lit(-1)).alias("last"), "heading").alias("fallback"))
+    newest = i.select(F.explode("source_channels").alias("channel_name"), "*").groupBy("channel_name").agg(F.min(F.struct((-F.col("last_updated_at")).alias("age"), "id", "fallback")).alias("n"))
+    asks = (F.col("event_type") == "tracking") & F.col("location").isNull() & F.col("heading").isNull() & F.col("via").isNull()
+    out = events.withColumn("_link", F.when(asks & (F.col("continuation_confidence") >= settings.fallback_link), F.col("continues_incident_id")))
+    out = out.join(i.select(F.col("id").alias("_link"), F.col("fallback").alias("_linked")), "_link", "left").join(newest.select("channel_name", "n"), "channel_name", "left")
+    near = F.when(F.col("timestamp") + F.col("n.age") <= settings.context_window, F.col("n.fallback"))
+    found = F.coalesce("_linked", near)
+    return out.withColumn("fallback", F.when(asks & found["last"].isNotNull(), found)).select(*events.columns, "fallback")
+
+
+def pair_place(raw: Column, left: Column, right: Column) -> Column:
+    """The middle of two places, as a place."""
+    return F.struct(
+        raw.alias("raw_name"), F.concat_ws(" / ", left["canonical_name"], right["canonical_name"]).alias("canonical_name"), ((left["lat"] + right["lat"]) / 2).alias("lat"), ((left["lng"] + right["lng"]) / 2).alias("lng"),
+        F.lit("composite").alias("type"), F.coalesce(left["parent"], right["parent"]).alias("parent"), F.lit("alias").alias("match_type"), F.greatest(F.lit(0.35), F.least(left["confidence"], right["confidence"]) * 0.85).alias("confidence"),
+    )
+
+
+def approach_place(raw: Column, left: Column, right: Column, settings: Settings = Settings()) -> Column:
+    """A point before the middle of two places, on the side of the approach anchor: 1.1 spans away, 6 to 14 km."""
+    mid = pair_place(raw, left, right)
+    km = F.least(F.lit(14.0), F.greatest(F.lit(6.0), geo.haversine_km(left["lat"], left["lng"], right["lat"], right["lng"]) * 1.1))
+    anchor = [F.lit(x) for x in settings.approach_anchor]
+    at = geo.destination(mid["lat"], mid["lng"], geo.bearing(mid["lat"], mid["lng"], *anchor), km)
+    return F.struct(
+        mid["raw_name"].alias("raw_name"), F.concat(mid["canonical_name"], F.lit(" (approach)")).alias("canonical_name"), at["lat"].alias("lat"), at["lng"].alias("lng"),
+        F.lit("composite").alias("type"), mid["parent"].alias("parent"), F.lit("alias").alias("match_type"), F.greatest(F.lit(0.42), mid["confidence"] * 0.92).alias("confidence"),
+    )
+
+
+def placed_events(answers: DataFrame, gazetteer: DataFrame, active: DataFrame, ambiguous: dict[str, str] | None = None, settings: Settings = Settings()) -> DataFrame:
+    """Events of a model with resolved places: ``location``, ``heading`` and ``via`` become places.
+
+    ``answers`` has what model_events() gives with id, text, channel_name and timestamp. A pair "X/Y"
+    in the text is the middle of both, or a point before it if the text says "on X/Y"; one of
+    the two fills in for a missing place. Tracking events without a place take an
+    incident's, and only a heading if the text names one. ``reason`` is tracking_without_geo where even that lacks.
+    """
+    clean = text.plain_spaces(F.col("text"))
+    base = answers.withColumns({"clean": clean, "_pair": F.regexp_extract("text", PATTERNS["slash"][0], 1), "on_pair": F.col("text").rlike(_I + ON_PAIR), "_intents": intents(clean)})
+    cue = F.arrays_overlap("_intents", F.array(F.lit("continuation"), F.lit("heading_change"))) | clean.rlike(_I + CONTINUATION)
+    sides = F.filter(F.transform(F.split("_pair", "/"), lambda x: F.trim(x)), lambda x: x != "")
+    whole = F.size(sides) >= 2
+    base = base.withColumns({"cue": cue, "_left": F.when(whole, sides[0]), "_right": F.when(whole, sides[1]), **{f"_hint{k}": F.trim(F.regexp_extract("clean", _I + h, 1)) for k, h in enumerate(HINTED)}})
+    asked = {"location": F.col("location"), "heading": F.col("heading"), "via": F.col("via"), "left": F.col("_left"), "right": F.col("_right"), **{f"hint{k}": F.col(f"_hint{k}") for k in range(len(HINTED))}}
+    out = with_places(base.drop("text"), asked, gazetteer, ambiguous, settings, tuple(asked))
+    p = lambda slot: F.try_element_at(F.col("places"), F.lit(slot))
+    out = out.withColumns({"location": p("location"), "heading": p("heading"), "via": p("via"), "_l": p("left"), "_r": p("right")})
+    raw = F.concat_ws(" / ", F.col("asked")["left"], F.col("asked")["right"])
+    both, pair = F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.col("asked")["left"].isNotNull()
+    middle = pair_place(raw, F.col("_l"), F.col("_r"))
+    nowhere = F.col("heading").isNull() & F.col("location").isNull()
+    location = F.when(both & F.col("on_pair"), approach_place(raw, F.col("_l"), F.col("_r"), settings)).when(both, middle).when(pair & nowhere, F.coalesce("_l", "_r")).otherwise(F.col("location"))
+    heading = F.when(both, F.coalesce("heading", middle)).when(pair & ~nowhere, F.coalesce("heading", "_r", "_l")).otherwise(F.col("heading"))
+    out = incident_fallback(out.withColumns({"location": location, "heading": heading}), active, settings)
+    taken, hint = F.col("fallback").isNotNull(), F.coalesce(*(p(f"hint{k}") for k in range(len(HINTED))))
+    synthetic = lambda x: F.coalesce((x["canonical_name"] == SYNTHETIC) | (x["raw_name"] == "incident_last_point"), F.lit(False))
+    out = out.withColumns({"location": F.when(taken, incident_place(F.col("fallback.last"))).otherwise(F.col("location")), "heading": F.when(taken, incident_place(F.col("fallback.heading"))).otherwise(F.col("heading"))})
+    only = (F.col("event_type") == "tracking") & synthetic(F.col("location")) & (F.col("heading").isNull() | synthetic(F.col("heading"))) & F.col("cue") & hint.isNotNull()
+    lacks = (F.col("event_type") == "tracking") & F.col("location").isNull() & F.col("heading").isNull() & F.col("via").isNull()
+    out = out.withColumns({"_only": only, "heading": F.when(only, hint).otherwise(F.col("heading")), "reason": F.coalesce("reason", F.when(lacks, "tracking_without_geo"))})
+    return out.withColumn("location", F.when(~F.col("_only"), F.col("location"))).drop("_only", "_l", "_r", "asked", "places", "on_pair", "cue", "fallback")
+
+
+def compact(incidents: DataFrame) -> DataFrame:
+    """What a model is told of an incident: id, weapon, last point, heading, last update."""
+    return incidents.select("id", "weapon_type", F.try_element_at("trajectory", F.lit(-1)).alias("last"), F.col("heading.name").alias("heading"), "last_updated_at")
+
+
+def answered(messages: DataFrame, call: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """Messages with ``answer``: what a model says of each text. ``call`` gets a batch of texts; where it fails, the batch's answers are null."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            try:
+                answers = call(f["text"].tolist())
+            except Exception:  # whatever a model's client raises; the other parser takes over
+                answers = [None] * len(f)
+            yield f.assign(answer=pd.Series(answers, index=f.index, dtype=object))
+
+    return messages.mapInPandas(run, T.StructType([*messages.schema.fields, T.StructField("answer", T.StringType())]))
 
 
-def approach_point(lat1, lng1, lat2, lng2) -> Column:
-    """A point short of the first place, on the side of the second: 1.1 spans away, 6 to 14 km."""
-    km = F.least(F.lit(14.0), F.greatest(F.lit(6.0), geo.haversine_km(lat1, lng1, lat2, lng2) * 1.1))
-    return geo.destination(lat1, lng1, geo.bearing(lat1, lng1, lat2, lng2), km)

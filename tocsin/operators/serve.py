@@ -124,3 +124,90 @@ def anchor(json: Column) -> Column:
 def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of an older and a newer schema together; columns that a side lacks are null."""
     return old.unionByName(new, allowMissingColumns=True)
+
+
+def context_rows(messages: DataFrame, events: DataFrame, channel: str, since: int, rows: int = 6, cap: int = 8, exclude: int | None = None) -> DataFrame:
+    """A channel's last messages (id, channel, sec, text) since a time, oldest first, each with its published event, if it has one.
+
+    Events (message_id, event_type, weapon, location, heading, incident_id, filtered_out) that are
+    filtered out don't join, so their messages stay, with nulls and without a summary.
+    """
+    some = messages.where((F.col("channel") == channel) & (F.col("sec") >= since) & (F.lit(True) if exclude is None else F.col("id") != exclude))
+    last = some.orderBy(F.desc("sec"), F.desc("id")).limit(max(1, min(rows, cap)))
+    shown = events.where(~F.col("filtered_out")).withColumnRenamed("message_id", "id").drop("filtered_out")
+    of = last.join(shown, "id", "left")
+    text = F.when(F.col("event_type").isNotNull(), summary(*(F.col(c) for c in ("event_type", "weapon", "location", "heading", "incident_id"))))
+    return of.withColumn("summary", text).orderBy("sec", "id")
+
+
+def unprocessed(messages: DataFrame, n: int = 50) -> DataFrame:
+    """Messages that wait to be parsed: processed = 0, the oldest first."""
+    return messages.where("processed = 0").orderBy("timestamp", "id").limit(n)
+
+
+def marked(messages: DataFrame, done: DataFrame) -> DataFrame:
+    """Messages with ``processed`` set by (id, processed) where given: 1 done, 2 failed; a message's last mark is its greatest."""
+    per = done.groupBy("id").agg(F.max("processed").alias("_now"))
+    return messages.join(per, "id", "left").withColumn("processed", F.coalesce("_now", "processed")).drop("_now").select(messages.columns)
+
+
+def assigned(events: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Events with the incident that (event_id, incident_id) gives them; others keep theirs."""
+    per = decisions.groupBy("event_id").agg(F.max("incident_id").alias("_to"))
+    return events.join(per, "event_id", "left").withColumn("incident_id", F.coalesce("_to", "incident_id")).drop("_to").select(events.columns)
+
+
+def patched(rows: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows with partial updates in ``order``: a column takes its last value that was given (not null), if any."""
+    columns = [c for c in rows.columns if c != key and c in updates.columns]
+    last = updates.groupBy(key).agg(*(F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in columns))
+    return rows.join(last, key, "left").select([F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def merged_counts(held: DataFrame, new: DataFrame) -> DataFrame:
+    """Counters (name, occurrence_count) with more of them: added where the name is held, else inserted."""
+    return held.select("name", "occurrence_count").unionByName(new.select("name", "occurrence_count")).groupBy("name").agg(F.sum("occurrence_count").alias("occurrence_count"))
+
+
+def flattened(events: DataFrame, kept: tuple[str, ...]) -> DataFrame:
+    """Events as stored rows: each place as its raw name, lat and lng; of the rest, the columns ``kept``."""
+    flat = [F.col(f"{p}.{f}").alias(f"{p}_{n}") for p in ("location", "heading", "via") for f, n in (("raw_name", "name"), ("lat", "lat"), ("lng", "lng"))]
+    return events.select(*kept, *flat)
+
+
+JSON_COLUMNS = {"source_channels": "array<string>", "trajectory": "array<struct<lat: double, lng: double, timestamp: bigint, name: string>>", "projection_anchor": "struct<lat: double, lng: double, timestamp: bigint, name: string>"}
+
+
+def to_json_rows(incidents: DataFrame) -> DataFrame:
+    """Incidents as stored rows: arrays and structs as JSON text."""
+    return incidents.withColumns({c: F.to_json(c) for c in JSON_COLUMNS if c in incidents.columns})
+
+
+def from_json_rows(rows: DataFrame) -> DataFrame:
+    """Stored rows as incidents; broken JSON of an array is an empty one, of the anchor none."""
+    empty = {c: F.array().cast(t) for c, t in JSON_COLUMNS.items() if t.startswith("array")}
+    return rows.withColumns({c: F.coalesce(F.from_json(c, t), empty[c]) if c in empty else anchor(F.col(c)) for c, t in JSON_COLUMNS.items() if c in rows.columns})
+
+
+def recent_live(rows: DataFrame, now: int, hours: int = 24, s: Settings = Settings()) -> DataFrame:
+    """Stored incidents of the last hours as clients see them, the newest first."""
+    return newest(live(from_json_rows(recent(rows, now, hours)), s))
+
+
+def reset(incidents: DataFrame) -> DataFrame:
+    """Changes (op, id) that end everything that is live."""
+    return active(incidents).select(F.lit("expire").alias("op"), "id")
+
+
+def can_project() -> Column:
+    """Whether an incident's place can be carried on: active, moving, on its way, and updated at a known time."""
+    return (F.col("status") == "active") & F.col("bearing_deg").isNotNull() & (F.col("speed_kmh") > 0) & F.coalesce(F.col("eta_seconds") > 0, F.lit(False)) & F.col("last_updated_at").isNotNull()
+
+
+def shows_arrow() -> Column:
+    return (F.size("trajectory") > 0) & (F.col("status") != "impact") & F.col("bearing_deg").isNotNull() & F.col("eta_seconds").isNotNull()
+
+
+def level_map(levels: DataFrame) -> DataFrame:
+    """One row: levels by district, as a payload has them; nulls are left out by its JSON."""
+    return levels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "level")))).alias("levels"))

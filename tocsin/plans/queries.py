@@ -11,6 +11,7 @@ from tocsin.functions import geo, text
 from tocsin.operators import correlate, lexicon, parse, resolve, risk, serve
 from tocsin.plans.settings import SPEED_KMH, TRACKED
 from tocsin.sources import readers
+from tocsin.sources.shared import shared_folder
 from tocsin.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,10 +204,12 @@ def alias_exact_join(spark, sf):
 def alias_substring_join(spark, sf):
     asked = table(spark, sf, "part").select(F.split("p_name", " ")[0].alias("q")).distinct()
     index = resolve.alias_index(_gazetteer(spark, sf)).where("pos = 0").select("canonical", F.col("norm").alias("alias"))
-    return asked.join(index, (F.least(F.length("alias"), F.length("q")) >= 3) & (F.col("alias").contains(F.col("q")) | F.col("q").contains(F.col("alias")))).select("q", "canonical")
+    return resolve.containing(asked.withColumn("norm", F.col("q")), index).select("q", "canonical")
 
 
-@query("fuzzy_match_osa")
+@query("fuzzy_match_osa", """WITH n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), t AS (SELECT DISTINCT substr(p_name, 1, 1) || substr(p_name, 3, 1) || substr(p_name, 2, 1) || substr(p_name, 4) AS raw FROM part),
+f AS (SELECT raw, arg_min(p_name, struct_pack(d := damerau_levenshtein(raw, p_name), i := id)) AS name, min(damerau_levenshtein(raw, p_name)) AS d FROM t JOIN n ON damerau_levenshtein(raw, p_name) <= 2 GROUP BY 1)
+SELECT t.raw, name AS canonical_name, CASE WHEN d = 0 THEN 'exact' WHEN d > 0 THEN 'fuzzy' END AS match_type, CASE d WHEN 0 THEN 0.95 WHEN 1 THEN 0.7 WHEN 2 THEN 0.55 END::DOUBLE AS confidence FROM t LEFT JOIN f ON f.raw = t.raw""")
 def fuzzy_match_osa(spark, sf):
     name = F.col("p_name")
     typo = F.concat(F.substring(name, 1, 1), F.substring(name, 3, 1), F.substring(name, 2, 1), F.substring(name, 4, 100))
@@ -218,9 +221,8 @@ def fuzzy_match_osa(spark, sf):
 def fuzzy_match_levenshtein(spark, sf):
     p = table(spark, sf, "part").select("p_name").distinct()
     t = p.select(F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 100)).alias("raw")).distinct()
-    d = F.levenshtein("raw", "canonical", 2)
-    near = (F.abs(F.length("raw") - F.length("canonical")) <= 3) & (d >= 0)
-    return t.join(p.withColumnRenamed("p_name", "canonical"), near).select("raw", "canonical", d.cast("bigint").alias("d"))
+    near = resolve.near_spellings(t.withColumn("norm", F.col("raw")), p.select(F.col("p_name").alias("canonical"), F.col("p_name").alias("alias")))
+    return near.withColumn("d", F.levenshtein("raw", "canonical", 2)).where("d >= 0").select("raw", "canonical", F.col("d").cast("bigint").alias("d"))
 
 
 ALIASES = {"lead": ("the and", "le la"), "insult": ("worthless", "pathetic", "idiot"), "short": ("on", "de"), "junk": ("$$$", "%%%")}
@@ -322,11 +324,12 @@ def segment_cross(spark, sf):
     return _segments(spark, sf).select("event_id", geo.segment_enters(up("lat0"), up("lng0"), up("lat"), up("lng"), ring).alias("enters"))
 
 
-@query("district_threat_max", f"WITH {EV}, {BOXES}, p AS (SELECT lat + 0.0003 AS lat, lng + 0.0003 AS lng FROM ev WHERE event_type = 'error' AND value < 5 AND k < 10), m AS (SELECT id, max(CASE WHEN lat > a AND lat < c AND lng > b AND lng < d THEN 2 WHEN {_RING} <= 5 THEN 1 ELSE 0 END) AS r FROM boxes, p GROUP BY 1) SELECT boxes.id, coalesce(r, 0) AS rank FROM boxes LEFT JOIN m ON boxes.id = m.id")
+@query("district_threat_max", f"WITH {EV}, {BOXES}, p AS (SELECT CAST(floor(sec / 3600) AS BIGINT) AS hour, lat + 0.0003 AS lat, lng + 0.0003 AS lng FROM ev WHERE event_type = 'error'), m AS (SELECT hour, id, max(CASE WHEN lat > a AND lat < c AND lng > b AND lng < d THEN 2 WHEN {_RING} <= 5 THEN 1 ELSE 0 END) AS rank FROM boxes, p GROUP BY 1, 2) SELECT hour, id, rank FROM m")
 def district_threat_max(spark, sf):
-    e = events(spark, sf).where("event_type = 'error' AND value < 5 AND k < 10").select((F.col("lat") + 0.0003).alias("lat"), (F.col("lng") + 0.0003).alias("lng"), F.lit("active").alias("status"))
+    """Every error event as a still incident, hour by hour."""
+    e = events(spark, sf).where("event_type = 'error'").select(F.floor(F.col("sec") / 3600).alias("hour"), (F.col("lat") + 0.0003).alias("lat"), (F.col("lng") + 0.0003).alias("lng"), F.lit("active").alias("status"))
     nothing = {c: F.lit(None).cast("double") for c in ("bearing_deg", "speed_kmh", "eta_seconds", "heading_lat", "heading_lng")}
-    return risk.threats(e.withColumns(nothing), districts(spark))
+    return risk.threats(e.withColumns(nothing), districts(spark), by=("hour",))
 
 
 _MOVING = f"""mv AS (SELECT user_id, lat + 0.0003 AS lat, lng + 0.0003 AS lng, (k * 3.6)::DOUBLE AS dir, CASE WHEN value > 0 THEN value * 5 END AS v FROM ev WHERE event_type = 'error'),
@@ -424,15 +427,94 @@ def district_cooldown(spark, sf):
     return risk.cooled(ticks)
 
 
-@query("override_ttl_merge", f"WITH {EV}, m AS (SELECT event_type AS id, max(CASE WHEN value > 90 THEN 2 ELSE 1 END) AS o, max(sec * 1000 + 600000) AS x FROM ev WHERE sec <= {NOW} AND sec > {NOW} - 600 GROUP BY 1), r AS (SELECT DISTINCT event_type AS id, length(event_type) % 3 AS rank FROM ev) SELECT r.id, greatest(rank, CASE WHEN x > {NOW}000 THEN o ELSE 0 END)::BIGINT AS rank FROM r LEFT JOIN m USING (id)")
+_NAMES = {f"n{j}": f"d{j // 3}{j % 3}" for j in range(5)} | {f"p{j}": f"d2{j}" for j in range(2)}
+_ALERTS = """al AS (SELECT event_id, event_type = 'error' AS is_impact, sec * 1000 AS at_ms, CASE WHEN k % 11 > 0 THEN k END AS kk, lat + 0.0003 AS lat, lng + 0.0003 AS lng FROM ev WHERE event_type IN ('error', 'purchase')),
+  tg AS (SELECT event_id, is_impact, at_ms, CASE WHEN kk IS NULL THEN NULL WHEN kk % 30 < 5 THEN 'd' || ((kk % 30) // 3) || ((kk % 30) % 3) WHEN kk % 7 < 2 THEN 'd2' || (kk % 7) ELSE id END AS own FROM al LEFT JOIN boxes ON lat > a AND lat < c AND lng > b AND lng < d),
+  mk AS (SELECT event_id, coalesce(own, id) AS id, at_ms, is_impact FROM tg LEFT JOIN boxes ON own IS NULL)"""
+_RUNS = """g AS (SELECT id, at_ms, max(CASE WHEN is_impact THEN 2 ELSE 1 END) AS m FROM mk GROUP BY 1, 2), h AS (SELECT *, CASE WHEN coalesce(at_ms - lag(at_ms) OVER w, 600000) >= 600000 THEN 1 ELSE 0 END AS s FROM g WINDOW w AS (PARTITION BY id ORDER BY at_ms)),
+  q AS (SELECT *, sum(s) OVER (PARTITION BY id ORDER BY at_ms) AS run FROM h), u AS (SELECT id, run, min(at_ms) AS f, max(at_ms) + 600000 AS e, min(at_ms) FILTER (m = 2) AS red FROM q GROUP BY 1, 2),
+  rn AS (SELECT id, 1 AS rank, f AS from_ms, coalesce(red, e) AS expires_at FROM u WHERE red IS NULL OR red > f UNION ALL SELECT id, 2, red, e FROM u WHERE red IS NOT NULL)"""
+
+
+def _marks(spark, sf):
+    """Errors and purchases as alerts, some without a place, some with a named one or parent, others by their point."""
+    e = events(spark, sf).where("event_type IN ('error', 'purchase')")
+    place = F.struct(F.concat(F.lit("n"), (F.col("k") % 30).cast("string")).alias("canonical_name"), F.concat(F.lit("p"), (F.col("k") % 7).cast("string")).alias("parent"), (F.col("lat") + 0.0003).alias("lat"), (F.col("lng") + 0.0003).alias("lng"))
+    none = F.lit(None).cast("struct<canonical_name: string, parent: string, lat: double, lng: double>")
+    kind = F.when(F.col("event_type") == "error", "impact").otherwise("tracking")
+    alerts = e.select("event_id", kind.alias("event_type"), F.col("sec").alias("timestamp"), F.when(F.col("k") % 11 > 0, place).alias("location"), none.alias("via"), none.alias("heading"))
+    return risk.alert_marks(alerts, districts(spark), _NAMES)
+
+
+@query("alert_targets", f"WITH {EV}, {BOXES}, {_ALERTS} SELECT event_id, id, is_impact FROM mk")
+def alert_targets(spark, sf):
+    return _marks(spark, sf).select("event_id", "id", "is_impact")
+
+
+@query("override_runs", f"WITH {EV}, {BOXES}, {_ALERTS}, {_RUNS} SELECT id, rank, from_ms, expires_at FROM rn")
+def override_runs(spark, sf):
+    return risk.override_runs(_marks(spark, sf))
+
+
+@query("override_ttl_merge", f"WITH {EV}, {BOXES}, {_ALERTS}, {_RUNS}, o AS (SELECT id, max(from_ms) AS f FROM rn WHERE from_ms <= {NOW}000 GROUP BY 1) SELECT boxes.id, greatest(ordinal % 3, CASE WHEN expires_at > {NOW}000 THEN rank ELSE 0 END)::BIGINT AS rank FROM boxes LEFT JOIN o ON o.id = boxes.id LEFT JOIN rn ON rn.id = o.id AND rn.from_ms = o.f".replace("mk GROUP", f"mk WHERE at_ms <= {NOW}000 GROUP"))
 def override_ttl_merge(spark, sf):
+    raw = districts(spark).select("id", (F.col("ordinal") % 3).alias("rank"))
+    marks = _marks(spark, sf).where(F.col("at_ms") <= NOW * 1000)
+    return risk.with_overrides(raw, risk.merge_overrides(marks), NOW * 1000).select("id", F.col("rank").cast("bigint").alias("rank"))
+
+
+_TICKS9 = "tk AS (SELECT 'd' || (user_id % 9) // 3 || (user_id % 9) % 3 AS id, sec * 1000 AS at_ms, max(CASE WHEN value > 60 THEN 2 WHEN value > 45 THEN 1 ELSE 0 END) AS rank FROM ev GROUP BY 1, 2)"
+_LEVELS = """ov AS (SELECT tk.id, tk.at_ms, greatest(tk.rank, coalesce(max(rn.rank), 0)) AS rank FROM tk LEFT JOIN rn ON rn.id = tk.id AND rn.from_ms <= tk.at_ms AND rn.expires_at > tk.at_ms GROUP BY tk.id, tk.at_ms, tk.rank),
+  l AS (SELECT *, CASE WHEN rank = 0 AND lag(rank) OVER w > 0 THEN at_ms END AS e FROM ov WINDOW w AS (PARTITION BY id ORDER BY at_ms)), m AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY id ORDER BY at_ms ROWS UNBOUNDED PRECEDING) AS s FROM l)
+SELECT id, at_ms, rank, CASE WHEN rank = 2 THEN 'red' WHEN rank = 1 THEN 'orange' WHEN s IS NOT NULL AND at_ms - s < 300000 THEN 'green' END AS level FROM m"""
+
+
+def _district_ticks(spark, sf):
+    d = F.col("user_id") % 9
+    rank = F.when(F.col("value") > 60, 2).when(F.col("value") > 45, 1).otherwise(0)
+    return events(spark, sf).groupBy(F.concat(F.lit("d"), F.floor(d / 3).cast("string"), (d % 3).cast("string")).alias("id"), (F.col("sec") * 1000).alias("at_ms")).agg(F.max(rank).alias("rank"))
+
+
+@query("override_levels", f"WITH {EV}, {BOXES}, {_ALERTS}, {_RUNS}, {_TICKS9}, {_LEVELS}")
+def override_levels(spark, sf):
+    """Levels over all ticks, with the overrides that hold at each, and the cool-down after them."""
+    return risk.cooled(risk.overridden(_district_ticks(spark, sf), risk.override_runs(_marks(spark, sf))))
+
+
+@query("stream_levels", ORACLE_SQL["override_levels"])
+def stream_levels(spark, sf):
+    """The same with state per district, as a stream."""
+    rows = _district_ticks(spark, sf).withColumn("kind", F.lit("tick")).unionByName(_marks(spark, sf).select("id", "at_ms", F.when(F.col("is_impact"), 2).otherwise(1).alias("rank"), F.lit("mark").alias("kind")))
+    stream, folder = _streamed(rows, "stream-levels", "at_ms")
+    return jobs.drained(jobs.district_levels(stream), folder)
+
+
+_CHANGES = f"""v AS (SELECT event_id AS seq, event_type || '-' || (k % 3) AS iid, event_id % 3 = 0 AS gone, lat + 0.0003 AS lat, lng + 0.0003 AS lng, lead(event_id) OVER (PARTITION BY event_type, k % 3 ORDER BY event_id) AS nxt FROM ev),
+  cb AS (SELECT id, seq, nxt, CASE WHEN lat > a AND lat < c AND lng > b AND lng < d THEN 2 WHEN {_RING} <= 5 THEN 1 ELSE 0 END AS r FROM v, boxes WHERE NOT gone),
+  st AS (SELECT id, seq, sum(red) AS red, sum(orange) AS orange FROM (SELECT id, seq, (r = 2)::INT AS red, (r = 1)::INT AS orange FROM cb WHERE r > 0 UNION ALL SELECT id, nxt, -(r = 2)::INT, -(r = 1)::INT FROM cb WHERE r > 0 AND nxt IS NOT NULL) GROUP BY 1, 2),
+  rk AS (SELECT id, seq, CASE WHEN sum(red) OVER w > 0 THEN 2 WHEN sum(orange) OVER w > 0 THEN 1 ELSE 0 END AS rank FROM st WINDOW w AS (PARTITION BY id ORDER BY seq))
+SELECT id, seq, rank FROM rk QUALIFY rank <> coalesce(lag(rank) OVER (PARTITION BY id ORDER BY seq), 0)"""
+
+
+@query("risk_from_changelog", f"WITH {EV}, {BOXES}, {_CHANGES}")
+def risk_from_changelog(spark, sf):
+    """Each district's rank as all changes of incidents come in."""
     e = events(spark, sf)
-    marks = e.where((F.col("sec") <= NOW) & (F.col("sec") > NOW - 600)).select(F.col("event_type").alias("id"), (F.col("sec") * 1000).alias("at_ms"), (F.col("value") > 90).alias("is_impact"))
-    raw = e.select(F.col("event_type").alias("id")).distinct().withColumn("rank", F.length("id") % 3)
-    return risk.with_overrides(raw, risk.merge_overrides(marks), NOW * 1000).select("id", F.coalesce(F.col("rank"), F.lit(0)).cast("bigint").alias("rank"))
+    payload = F.to_json(F.struct(F.lit("active").alias("status"), (F.col("lat") + 0.0003).alias("lat"), (F.col("lng") + 0.0003).alias("lng")))
+    changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "expire").otherwise("update").alias("op"), F.concat_ws("-", "event_type", (F.col("k") % 3).cast("string")).alias("id"), payload.alias("payload"))
+    return risk.risk_changes(changes, districts(spark))
 
 
-ORACLE_SQL["override_ttl_merge"] = ORACLE_SQL["override_ttl_merge"].replace("greatest(rank, CASE", "greatest(rank, CASE WHEN x IS NULL THEN 0")
+@query("level_counts", f"WITH {EV}, l AS (SELECT user_id, max(value) AS v FROM ev GROUP BY 1) SELECT count(*) FILTER (v > 300) AS red, count(*) FILTER (v > 200 AND v <= 300) AS orange FROM l")
+def level_counts(spark, sf):
+    v = F.col("v")
+    per = events(spark, sf).groupBy("user_id").agg(F.max("value").alias("v"))
+    return risk.level_counts(per.select(F.col("user_id").alias("id"), F.when(v > 300, "red").when(v > 200, "orange").alias("level")))
+
+
+@query("district_name_lookup", "SELECT p_partkey, CASE WHEN p_name = 'red bolt' THEN 'x' WHEN contains(p_name, 'red') THEN 'a' WHEN contains(p_name, 'bolt') THEN 'b' END AS id FROM part")
+def district_name_lookup(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", risk.district_in_text(F.col("p_name"), {"a": "red", "b": "bolt"}, {"red bolt": "x"}).alias("id"))
 
 
 @query("displayed_levels", f"WITH {EV}, l AS (SELECT event_type AS id, CASE WHEN max(value) > 1e9 THEN 'red' WHEN min(value) < 0.5 THEN 'orange' END AS level FROM ev GROUP BY 1) SELECT id, CASE WHEN NOT coalesce(bool_or(level IN ('red', 'orange')) OVER (), false) THEN 'green' ELSE coalesce(level, 'low') END AS shown FROM l")
@@ -448,10 +530,11 @@ def changelog_to_snapshot(spark, sf):
     return readers.applied(changes).select("id", "seq")
 
 
-@query("set_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("set_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
 def set_difference(spark, sf):
     expected = table(spark, sf, "customer").select(F.col("c_custkey").alias("canonical"))
-    return lexicon.missing(expected, table(spark, sf, "orders").select(F.col("o_custkey").alias("canonical"))).select(F.col("canonical").alias("c_custkey"))
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return lexicon.missing(expected, urgent.select(F.col("o_custkey").alias("canonical"))).select(F.col("canonical").alias("c_custkey"))
 
 
 @query("allowlist_overlap", "SELECT o_custkey, bool_or(o_orderpriority IN ('1-URGENT', '2-HIGH')) AS allowed FROM orders GROUP BY 1")
@@ -516,15 +599,7 @@ def poll_high_water_mark(spark, sf):
 
 def _streamed(df: DataFrame, tag: str, order: str) -> tuple[DataFrame, str]:
     """A table as a file stream, below the folder that the cluster shares."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="tocsin-stream-")
-    import uuid
-
-    folder = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, tag)
     df.repartitionByRange(3, order).write.parquet(f"{folder}/in")
     return spark.readStream.schema(df.schema).parquet(f"{folder}/in"), folder
 
@@ -548,3 +623,155 @@ def parse_messages(spark, sf):
     m = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("id"), F.col("source").alias("channel_name"), "text", F.col("doc_id").alias("timestamp"))
     out = parse.parse(m, _gazetteer(spark, sf))
     return out.select("id", "event_type", "weapon_type", "weapon_count", "filtered_out", "is_followup", "count_delta", F.round("confidence", 6).alias("confidence"), F.col("location.canonical_name").alias("location"), F.col("heading.canonical_name").alias("heading"))
+
+
+@query("parse_templates", """WITH e AS (SELECT event_id, event_id % 5 AS t, p.p_name AS p, q.p_name AS q FROM events JOIN part p ON p.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 97 JOIN part q ON q.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 89)
+SELECT event_id + 1 AS id, CASE t WHEN 2 THEN 'impact' WHEN 4 THEN NULL ELSE 'tracking' END AS event_type, CASE t WHEN 0 THEN 'shahed' WHEN 1 THEN 'bpla' WHEN 3 THEN 'bpla' ELSE 'unknown' END AS weapon_type, CASE t WHEN 1 THEN 2 ELSE 1 END AS weapon_count,
+  CASE t WHEN 2 THEN p WHEN 3 THEN p END AS location, CASE t WHEN 0 THEN p WHEN 1 THEN p WHEN 3 THEN q END AS heading, CASE t WHEN 1 THEN q END AS via, CASE t WHEN 0 THEN 0.6 WHEN 1 THEN 0.6 WHEN 2 THEN 0.4 WHEN 3 THEN 0.8 ELSE 0 END::DOUBLE AS confidence FROM e""")
+def parse_templates(spark, sf):
+    """Messages of known form about every event, whose places are names of parts."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    least = part.agg(F.min("p_partkey").alias("least"))  # one row
+    e = table(spark, sf, "events").select("event_id").join(F.broadcast(least)).select("event_id", (F.col("least") + F.col("event_id") % 97).alias("a"), (F.col("least") + F.col("event_id") % 89).alias("b"))
+    e = e.join(part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("p")), "a").join(part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("q")), "b")
+    t, say = F.col("event_id") % 5, lambda *x: F.concat(*(F.col(c) if c in ("p", "q") else F.lit(c) for c in x))
+    said = F.when(t == 0, say("Шахед курсом на ", "p")).when(t == 1, say("2 БпЛА через ", "q", " на ", "p")).when(t == 2, say("Взрывы в районе ", "p")).when(t == 3, say("Залетают на ", "p", ", ", "q")).otherwise(F.lit("что-то непонятное совсем без места тут"))
+    m = e.select((F.col("event_id") + 1).alias("id"), F.lit("c").alias("channel_name"), said.alias("text"), F.col("event_id").alias("timestamp"))
+    out = parse.parse(m, _gazetteer(spark, sf))
+    place = lambda c: F.col(f"{c}.canonical_name").alias(c)
+    return out.select("id", "event_type", "weapon_type", "weapon_count", place("location"), place("heading"), place("via"), F.round("confidence", 6).alias("confidence"))
+
+
+_FALL = f"""ac AS (SELECT id, event_type, last_updated_at FROM inc WHERE status <> 'expired'), nw AS (SELECT event_type, arg_min(id, struct_pack(a := -last_updated_at, i := id)) AS id, max(last_updated_at) AS t FROM ac GROUP BY 1)
+SELECT event_id, coalesce(CASE WHEN value / 100 >= 0.35 THEN ac.id END, CASE WHEN sec - t <= 1200 THEN nw.id END) AS fallback FROM ev LEFT JOIN ac ON ac.id = ev.event_type || '-' || (ev.k % 7) LEFT JOIN nw ON nw.event_type = ev.event_type WHERE ev.k % 3 <> 0"""
+
+
+@query("incident_fallback", f"WITH {EV}, {INC}, {_FALL}")
+def incident_fallback(spark, sf):
+    """Events without a place take an incident's: the one that they continue, or the newest of their channel."""
+    none = F.lit(None).cast("struct<lat: double, lng: double>")
+    e = events(spark, sf).where("k % 3 <> 0").select(
+        "event_id", F.col("event_type").alias("channel_name"), F.lit("tracking").alias("event_type"), F.col("sec").alias("timestamp"), none.alias("location"), none.alias("heading"), none.alias("via"),
+        F.concat_ws("-", "event_type", (F.col("k") % 7).cast("string")).alias("continues_incident_id"), (F.col("value") / 100).alias("continuation_confidence"),
+    )
+    point = F.struct(F.lit(50.0).alias("lat"), F.lit(36.0).alias("lng"), F.lit("").alias("name"))
+    i = incidents(spark, sf).where("status <> 'expired'").select("id", F.array("event_type").alias("source_channels"), "last_updated_at", F.array(point).alias("trajectory"), F.when(F.lit(False), point).alias("heading"))
+    return parse.incident_fallback(e, i).select("event_id", F.col("fallback.id").alias("fallback"))
+
+
+_MID = ("((lat0 + lat) / 2)", "((lng0 + lng) / 2)")
+_AP = _dest(*_MID, brg(*_MID, "50.42", "36.75"), f"least(14.0, greatest(6.0, {hav('lat0', 'lng0', 'lat', 'lng')} * 1.1))")
+
+
+@query("slash_pairs", f"WITH {EV}, {_SEG} SELECT event_id, round({_MID[0]}, 6) AS mid_lat, round({_MID[1]}, 6) AS mid_lng, round({_AP[0]}, 5) AS at_lat, round({_AP[1]}, 5) AS at_lng, round(greatest(0.35, least(0.5, k / 100) * 0.85), 6)::DOUBLE AS mid_confidence, round(greatest(0.42, greatest(0.35, least(0.5, k / 100) * 0.85) * 0.92), 6)::DOUBLE AS at_confidence, 'a' || k || ' / b (approach)' AS name FROM seg")
+def slash_pairs(spark, sf):
+    """Middle and approach of successive places of a user."""
+    place = lambda name, lat, lng, c: F.struct(name.alias("canonical_name"), F.col(lat).alias("lat"), F.col(lng).alias("lng"), F.lit(None).cast("string").alias("parent"), c.alias("confidence"))
+    left, right = place(F.concat(F.lit("a"), F.col("k").cast("string")), "lat0", "lng0", F.col("k") / 100), place(F.lit("b"), "lat", "lng", F.lit(0.5))
+    s = _segments(spark, sf).select("event_id", parse.pair_place(F.lit("x"), left, right).alias("m"), parse.approach_place(F.lit("x"), left, right).alias("a"))
+    of = lambda c, n, digits=6: F.round(c, digits).alias(n)
+    return s.select("event_id", of("m.lat", "mid_lat"), of("m.lng", "mid_lng"), of("a.lat", "at_lat", 5), of("a.lng", "at_lng", 5), of("m.confidence", "mid_confidence"), of("a.confidence", "at_confidence"), F.col("a.canonical_name").alias("name"))
+
+
+@query("partial_update", f"WITH {EV}, u AS (SELECT k, arg_max(user_id, event_id) FILTER (user_id % 4 > 0) AS a, arg_max(event_type, event_id) FILTER (value > 480) AS b FROM ev GROUP BY 1) SELECT p_partkey, coalesce(a, p_size)::BIGINT AS n, coalesce(b, p_brand) AS label FROM part LEFT JOIN u ON k = p_partkey")
+def partial_update(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("n"), F.col("p_brand").alias("label"))
+    updates = events(spark, sf).select(F.col("k").alias("id"), F.when(F.col("user_id") % 4 > 0, F.col("user_id")).alias("n"), F.when(F.col("value") > 480, F.col("event_type")).alias("label"), F.col("event_id").alias("at"))
+    return serve.patched(rows, updates, "id", "at").withColumnRenamed("id", "p_partkey")
+
+
+@query("point_update", f"WITH {EV} SELECT event_id, CASE WHEN k < 50 THEN 'i' || (k % 9) WHEN user_id % 2 = 0 THEN 'old' END AS incident_id, CASE WHEN k < 20 THEN 2 WHEN k < 50 THEN 1 ELSE 0 END AS processed FROM ev")
+def point_update(spark, sf):
+    e = events(spark, sf)
+    held = e.select("event_id", F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "old").alias("incident_id"), F.lit(0).alias("processed"))
+    done = e.where("k < 50").select(F.col("event_id").alias("id"), F.when(F.col("k") < 20, 2).otherwise(1).alias("processed"))
+    given = e.where("k < 50").select("event_id", F.concat(F.lit("i"), (F.col("k") % 9).cast("string")).alias("incident_id"))
+    return serve.marked(serve.assigned(held, given), done).select("event_id", "incident_id", "processed")
+
+
+@query("counter_upsert", "SELECT name, sum(n)::BIGINT AS occurrence_count FROM (SELECT p_name AS name, p_size AS n FROM part UNION ALL SELECT substr(p_name, 1, 5), 1 FROM part) GROUP BY 1")
+def counter_upsert(spark, sf):
+    p = table(spark, sf, "part")
+    held = p.groupBy(F.col("p_name").alias("name")).agg(F.sum("p_size").alias("occurrence_count"))
+    new = jobs.counted(p.select(F.substring("p_name", 1, 5).alias("name")))
+    return serve.merged_counts(held, new)
+
+
+@query("context_left_join", f"WITH {EV}, m AS (SELECT event_id, sec FROM ev WHERE event_type = 'view' AND sec >= {NOW} - 86400 * 20 AND event_id <> 77 ORDER BY sec DESC, event_id DESC LIMIT 6) SELECT m.event_id, CASE WHEN e.event_id IS NOT NULL THEN 'tracking u' || user_id || ' inc:' || k END AS summary FROM m LEFT JOIN ev e ON e.event_id = m.event_id AND NOT value >= 30")
+def context_left_join(spark, sf):
+    e = events(spark, sf)
+    messages = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("channel"), "sec")
+    none = F.lit(None).cast("string")
+    of = e.select(F.col("event_id").alias("message_id"), F.lit("tracking").alias("event_type"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("weapon"), none.alias("location"), none.alias("heading"), F.col("k").cast("string").alias("incident_id"), (F.col("value") >= 30).alias("filtered_out"))
+    return serve.context_rows(messages, of, "view", NOW - 86400 * 20, exclude=77).select(F.col("id").alias("event_id"), "summary")
+
+
+@query("unprocessed_oldest", f"WITH {EV} SELECT event_id, sec FROM ev WHERE k % 3 = 0 ORDER BY sec, event_id LIMIT 50")
+def unprocessed_oldest(spark, sf):
+    m = events(spark, sf).select(F.col("event_id").alias("id"), F.col("sec").alias("timestamp"), (F.col("k") % 3).alias("processed"))
+    return serve.unprocessed(m).select(F.col("id").alias("event_id"), F.col("timestamp").alias("sec"))
+
+
+@query("push_poll_union", f"WITH {EV} SELECT event_type AS channel_id, event_id AS telegram_id, min(t) AS received_at FROM (SELECT event_type, event_id, sec + 2 AS t FROM ev WHERE k < 60 UNION ALL SELECT event_type, event_id, sec + k % 5 FROM ev WHERE k > 40) GROUP BY 1, 2")
+def push_poll_union(spark, sf):
+    e = events(spark, sf)
+    of = lambda t: [F.col("event_type").alias("channel_id"), F.col("event_id").alias("telegram_id"), t.alias("received_at"), F.col("k").alias("text")]
+    pushed, polled = e.where("k < 60").select(*of(F.col("sec") + 2)), e.where("k > 40").select(*of(F.col("sec") + F.col("k") % 5))
+    return readers.united(pushed, polled).select("channel_id", "telegram_id", "received_at")
+
+
+@query("mismatch_groups", "WITH g AS (SELECT p_brand AS canonical, count(*) AS size FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10), a AS (SELECT p_brand, p_name || p_partkey AS alias, row_number() OVER (PARTITION BY p_brand ORDER BY p_name || p_partkey) AS k FROM part) SELECT (row_number() OVER (ORDER BY size DESC, canonical))::INT AS rank, canonical, size, (SELECT string_agg(alias, ',' ORDER BY alias) FROM a WHERE p_brand = canonical AND k <= 5) AS aliases FROM g")
+def mismatch_groups(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("canonical"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("alias"))
+    return lexicon.mismatch_groups(p, 10, 5).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query("lexicon_problems", """WITH p AS (SELECT p_partkey AS ordinal, p_brand, p_size, p_name FROM part)
+SELECT 'location_dictionary' AS list, ordinal, 'confidence is not from 0 to 1' AS problem FROM p WHERE p_size > 40 UNION ALL SELECT 'location_dictionary', ordinal, 'canonical is empty' FROM p WHERE ordinal % 7 = 0 UNION ALL SELECT 'location_dictionary', ordinal, 'an alias is empty' FROM p WHERE ordinal % 11 = 0
+UNION ALL SELECT 'weapon_dictionary', ordinal, 'canonical is no weapon' FROM p WHERE ordinal % 5 > 0 UNION ALL SELECT 'top_ambiguous_terms', ordinal, 'priority is none' FROM p WHERE ordinal % 4 > 2 UNION ALL SELECT 'priority_hotspots', ordinal, 'priority_rank is no positive integer' FROM p WHERE p_size % 2 = 1""")
+def lexicon_problems(spark, sf):
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    ordinal, one, words = k.alias("ordinal"), F.lit(1.0).alias("confidence"), F.array(F.lit("x"))
+    return lexicon.problems({
+        "location_dictionary": p.select(ordinal, F.when(k % 7 > 0, F.col("p_brand")).otherwise("").alias("canonical"), F.when(k % 11 == 0, F.array(F.lit("a"), F.lit(""))).otherwise(words).alias("aliases"), (F.col("p_size") / 40).alias("confidence")),
+        "weapon_dictionary": p.select(ordinal, F.when(k % 5 == 0, "kab").otherwise("other").alias("canonical"), words.alias("aliases"), one),
+        "phrase_patterns": p.select(ordinal, F.lit("i").alias("intent"), F.lit("r").alias("regex")),
+        "top_ambiguous_terms": p.select(ordinal, F.lit("t").alias("term"), words.alias("possible_mappings"), F.element_at(F.array(F.lit("HIGH"), F.lit("MEDIUM"), F.lit("LOW"), F.lit("?")), (k % 4 + 1).cast("int")).alias("priority")),
+        "priority_hotspots": p.select(ordinal, F.lit("c").alias("canonical"), (F.col("p_size") / 2).alias("priority_rank")),
+    })
+
+
+@query("stored_rows", f"WITH {EV} SELECT event_id, 'p' || k AS location_name, lat AS location_lat, lng AS location_lng, NULL::VARCHAR AS heading_name, 'v' AS via_name FROM ev")
+def stored_rows(spark, sf):
+    of = lambda name, lat, lng: F.struct(name.alias("raw_name"), lat.alias("lat"), lng.alias("lng"))
+    e = events(spark, sf).select("event_id", of(F.concat(F.lit("p"), F.col("k").cast("string")), F.col("lat"), F.col("lng")).alias("location"), F.lit(None).cast("struct<raw_name: string, lat: double, lng: double>").alias("heading"), of(F.lit("v"), F.lit(0.0), F.lit(0.0)).alias("via"))
+    return serve.flattened(e, ("event_id",)).select("event_id", "location_name", "location_lat", "location_lng", "heading_name", "via_name")
+
+
+@query("recent_expanded", f"WITH {EV}, {INC} SELECT id, event_type AS channels, last_event::DOUBLE AS last_lat, CASE WHEN n % 2 = 0 THEN 1.5 END::DOUBLE AS anchor_lat FROM inc WHERE last_updated_at > {NOW} - 24 * 3600")
+def recent_expanded(spark, sf):
+    """Incidents stored with JSON columns, some broken, of the last day, as clients see them."""
+    point = lambda lat: F.struct(lat.cast("double").alias("lat"), F.lit(36.0).alias("lng"), F.col("last_updated_at").alias("timestamp"), F.lit("x").alias("name"))
+    i = incidents(spark, sf).withColumns({"weapon_type": F.lit("shahed"), "confidence": F.lit(0.9), "source_channels": F.array("event_type"), "trajectory": F.array(point(F.lit(1)), point(F.col("last_event"))), "projection_anchor": point(F.lit(1.5))})
+    rows = serve.to_json_rows(i).withColumn("projection_anchor", F.when(F.col("n") % 2 == 0, F.col("projection_anchor")).otherwise("{broken"))
+    return serve.recent_live(rows, NOW).select("id", F.array_join("source_channels", ",").alias("channels"), F.col("lat").alias("last_lat"), F.col("projection_anchor.lat").alias("anchor_lat"))
+
+
+@query("snapshot_levels", f"WITH {EV}, {INC} SELECT 9::BIGINT AS seq, 'snapshot' AS op, id FROM inc WHERE status <> 'expired' UNION ALL SELECT DISTINCT 9::BIGINT, 'risk', event_type FROM ev")
+def snapshot_levels(spark, sf):
+    levels = events(spark, sf).select(F.col("event_type").alias("id")).distinct().withColumn("level", F.lit("red"))
+    return readers.snapshot(serve.active(incidents(spark, sf)), levels, 9).select("seq", "op", "id")
+
+
+@query("compact_incidents", f"WITH {EV}, {INC} SELECT id, event_type AS weapon_type, last_event::DOUBLE AS lat, last_updated_at FROM inc")
+def compact_incidents(spark, sf):
+    point = F.struct(F.col("last_event").cast("double").alias("lat"), F.lit(36.0).alias("lng"), F.lit("x").alias("name"))
+    i = incidents(spark, sf).select("id", F.col("event_type").alias("weapon_type"), F.array(point).alias("trajectory"), point.alias("heading"), "last_updated_at")
+    return parse.compact(i).select("id", "weapon_type", F.col("last.lat").alias("lat"), "last_updated_at")
+
+
+@query("accepted_messages", "SELECT doc_id FROM documents WHERE source IN (SELECT min(source) FROM documents) AND text <> ''")
+def accepted_messages(spark, sf):
+    d = table(spark, sf, "documents").withColumnRenamed("source", "channel_name")
+    first = d.agg(F.min("channel_name")).first()[0]  # one value
+    return readers.accepted(d, [first]).select("doc_id")

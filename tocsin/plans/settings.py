@@ -49,6 +49,13 @@ PHRASE_INTENTS = (
 )
 #: Intents that bear on correlation.
 HINTS = ("heading_change", "continuation", "additional_unit", "correction")
+#: Districts by the names that places and maps have for them.
+DISTRICT_NAMES = {
+    "Салтівський район": "saltivskyi", "Київський район": "kyivskyi", "Шевченківський район": "shevchenkivskyi", "Холодногірський район": "kholodnohirskyi", "Новобаварський район": "novobavarskyi",
+    "Основ'янський район": "osnovianskyi", "Слобідський район": "slobidskyi", "Немишлянський район": "nemyshlianskyi", "Індустріальний район": "industrialnyi",
+    "Салтівський": "saltivskyi", "Київський": "kyivskyi", "Шевченківський": "shevchenkivskyi", "Холодногірський": "kholodnohirskyi", "Новобаварський": "novobavarskyi",
+    "Основ'янський": "osnovianskyi", "Слобідський": "slobidskyi", "Немишлянський": "nemyshlianskyi", "Індустріальний": "industrialnyi",
+}
 AMBIGUITY_WEIGHTS = {"HIGH": 0.22, "MEDIUM": 0.12, "LOW": 0.06}
 # End of the fixed values.
 
@@ -63,6 +70,8 @@ class Settings:
     community: str = "громада"
     nearby_km: float = 90.0
     link_confidence: float = 0.6
+    fallback_link: float = 0.35
+    approach_anchor: tuple[float, float] = (50.42, 36.75)
     attach_geo: float = 0.5
     attach_no_geo: float = 0.35
     channel_window: int = 180

@@ -8,7 +8,12 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 MESSAGES = "id bigint, telegram_id bigint, reply_to_telegram_id bigint, grouped_id bigint, channel_id bigint, channel_name string, text string, timestamp bigint, received_at bigint, processed int"
 CHANGELOG = "seq bigint, op string, id string, payload string"
-LEXICON = "locations array<struct<canonical: string, aliases: array<string>, confidence: double, notes: string>>, weapons array<struct<canonical: string, aliases: array<string>, confidence: double>>, phrase_patterns array<struct<intent: string, regex: string>>, ambiguous_terms array<struct<term: string, possible_mappings: array<string>, priority: string>>, hotspots array<struct<canonical: string, priority_rank: int>>"
+#: A lexicon file: five lists.
+LEXICON = {
+    "location_dictionary": "canonical string, aliases array<string>, confidence double, notes string", "weapon_dictionary": "canonical string, aliases array<string>, confidence double",
+    "phrase_patterns": "intent string, regex string", "top_ambiguous_terms": "term string, possible_mappings array<string>, priority string", "priority_hotspots": "canonical string, priority_rank double",
+}
+GAZETTEER = "canonical string, lat double, lng double, type string, parent string, aliases array<string>"
 
 
 def messages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -72,6 +77,42 @@ class _Poller(SimpleDataSourceStreamReader):
         return iter([r for r in self._rows() if int(start.get(r[0], -1)) < r[1] <= int(end.get(r[0], -1))])
 
 
+def lexicon(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The five lists of a lexicon file (JSON), with ``ordinal``; a missing list is empty, missing aliases and mappings too, a missing confidence 1."""
+    raw = spark.read.schema(", ".join(f"{k} array<struct<{', '.join(f'{a}: {b}' for a, b in (x.split(' ', 1) for x in t.split(', ')))}>>" for k, t in LEXICON.items())).option("multiLine", True).json(path)
+    none = F.array().cast("array<string>")
+    defaults = {"aliases": none, "possible_mappings": none, "confidence": F.lit(1.0)}
+    out = {}
+    for k in LEXICON:
+        rows = raw.select(F.posexplode(k).alias("ordinal", "e")).select("ordinal", "e.*")
+        out[k] = rows.withColumns({c: F.coalesce(c, d) for c, d in defaults.items() if c in rows.columns})
+    return out
+
+
+def gazetteer(spark: SparkSession, path: str, generated: DataFrame | None = None) -> DataFrame:
+    """Places of a file of JSON lines, numbered in their order, with the aliases that a lexicon (canonical, aliases) adds."""
+    rows = spark.read.schema(GAZETTEER).json(path).coalesce(1).withColumn("id", F.monotonically_increasing_id() + 1)  # one small file
+    out = rows.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    if generated is not None:
+        more = generated.groupBy("canonical").agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("_more"))
+        out = out.join(more, "canonical", "left").withColumn("aliases", F.array_union("aliases", F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")
+    return out.select("id", "canonical", "lat", "lng", "type", "parent", "aliases")
+
+
+def united(pushed: DataFrame, polled: DataFrame, keys: tuple[str, ...] = ("channel_id", "telegram_id")) -> DataFrame:
+    """Messages of both ways in, each once: that of the earlier arrival."""
+    both = pushed.unionByName(polled, allowMissingColumns=True)
+    rest = [c for c in both.columns if c not in keys]
+    first = both.groupBy(*keys).agg(F.min(F.struct(*sorted(rest, key=lambda c: c != "received_at"))).alias("m"))
+    return first.select(*keys, *(F.col(f"m.{c}").alias(c) for c in rest))
+
+
+def snapshot(incidents: DataFrame, levels: DataFrame, seq: int) -> DataFrame:
+    """What a client gets first: all live incidents, then the districts' levels (id, level), as changes of one seq."""
+    shown = changelog(incidents.withColumn("_seq", F.lit(seq)), "snapshot", "_seq", "id")
+    return shown.unionByName(levels.select(F.lit(seq).cast("bigint").alias("seq"), F.lit("risk").alias("op"), "id", F.to_json(F.struct("level")).alias("payload")))
+
+
 def rings(spark: SparkSession, path: str, ids: dict[str, str]) -> DataFrame:
     """Named polygons of a GeoJSON file: id, ordinal, ring of struct(lng, lat). Other geometries and names go."""
     kind = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
@@ -107,7 +148,7 @@ def ways_to_rings(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> Data
 
 def changelog(df: DataFrame, op: str, seq: str, key: str) -> DataFrame:
     """Rows as changes (seq, op, id, payload)."""
-    return df.select(F.col(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), F.col(key).cast("string").alias("id"), F.to_json(F.struct(*df.columns)).alias("payload"))
+    return df.select(F.col(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), F.col(key).cast("string").alias("id"), F.to_json(F.struct(*(c for c in df.columns if c[0] != "_"))).alias("payload"))
 
 
 def applied(changes: DataFrame) -> DataFrame:
