@@ -425,3 +425,28 @@ def test_lexicon_file(spark, tmp_path):
     (tmp_path / "g.json").write_text("".join(json.dumps({"canonical": c, "lat": 50.0, "lng": 36.0, "type": "village", "aliases": ["q"]}) + "\n" for c in "AC"))
     places = readers.gazetteer(spark, f"{tmp_path}/g.json", good["location_dictionary"])
     assert [(r.id, r.canonical, r.aliases) for r in places.orderBy("id").collect()] == [(1, "A", ["q"]), (2, "C", ["q", "c"])]
+
+
+PHRASES = """через взрыв взрывы 💥 упали отбой чисто відбій Уточнение Предварительно далее дальше далі уже возле вже біля еще ещё ще +1 +12 3 БпЛА 2 Ударных Шахед ракет 4 дрона 5 залетают 6 берут Іскандер искандер С-300 с300 КАБ КР кр. крылатая ракета ракеты баллистика РСЗО ланцет FPV молния
+довернули на развернулся на взял курс на повернул на разогнулся на над кружит в районе локационно через вдоль окружной на летит курсом летит ближе к снова опять на повторные пуски КАБ на заходят на повторные ещё 2 шаболды следом ещё 3 новая шаболда на Upd: это отбой, это предварительно сбили приземлили
+задавили не наблюдается больше не фиксируется вылетела из города без угрозы для акустически по шаболдам по области петухи заходят на пуски по активность пусковых запуски РСЗО по угроза РСЗО для тревога по баллистике с между и в районе в район курсом сейчас на направление на свернула сменили курс подлетают к летят к
+двигается к берёт курс к к на верхнее / лозовое верхнее/нижнее верхнее, лозовое - ставки ⚠ Молния ударный""".split()
+
+
+def test_guards(spark, monkeypatch):
+    """What is looked for before a pattern is tried changes nothing that patterns find."""
+    rng = random.Random(11)
+    whole = [
+        "через лес на реку", "между лесом и рекой", "взрывы в районе леса", "в районе леса - реки", "курсом сейчас на лес", "направление на лес", "летит дальше на лес", "подлетают к лесу", "к лесу", "залетают на лес, реку", "лес/река", "на лес",
+        "довернули на лес", "над лесом", "летит ближе к лесу", "снова взял курс на лес", "ещё 2 молния", "Upd: лес", "упали в районе", "больше не фиксируется", "акустически лес", "по шаболдам лес", "запуски РСЗО по лес", "3 Ударных БпЛА", "уже возле леса", "+1",
+    ]
+    some = [*PHRASES, *whole * 4]
+    said = ["", "ВЗРЫВ ", " к лесу", "На север", *some, *(" ".join(rng.choice(some) for _ in range(rng.randrange(1, 7))) for _ in range(2000))]
+    df = spark.createDataFrame([(k, rng.choice([t, t.upper(), t.lower(), t.replace(" ", "  \n")])) for k, t in enumerate(said)], "id bigint, text string")
+    df = df.withColumn("clean", text.plain_spaces(F.col("text"))).withColumn("_low", parse.lowered(F.col("clean")))
+    of = lambda: parse.with_flags(df, F.col("clean"), F.col("_low")).withColumns({f"_{k}": c for k, c in parse.captures(parse._SLOTS).items()}).drop("_low").orderBy("id").collect()
+    guarded = of()
+    monkeypatch.setattr(parse, "NEEDS", dict.fromkeys(parse.NEEDS, ("",)))
+    plain = of()
+    assert guarded == plain and all(any(r[f"_{k}"] for r in plain) for k in parse._SLOTS)
+    assert {i for r in plain for i in r.phrase_intents} == {k for k, _ in parse.PHRASE_INTENTS} and len({r.weapon_type for r in plain}) > 9

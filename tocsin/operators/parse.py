@@ -49,17 +49,53 @@ HINTED = (
 )
 SYNTHETIC = "Incident last point"
 # End of the fixed values.
+#: What a text in lower case, with a space before it, can't lack if a pattern is found in it: one of these. A search for
+#: them is far cheaper than the pattern, and most texts have none.
+NEEDS = {
+    "via": ("через",), "between": ("между",), "blast": ("взрыв",), "range": ("район",), "area": ("район",), "course": ("курс",), "direction": ("направлени",),
+    "onward": ("дальше", "далее", "далі", "свернул", "сменил"), "toward": (" к ",), "to": (" к ",), "enter": ("залетают",), "slash": ("/",), "on": (" на ",),
+    "followup": ("далее", "дальше", "далі", "уже возле", "вже біля", "еще", "ещё", "ще"), "one_more": ("+1",), "count0": ("бпла", "шахед", "ракет", "дрон"), "count1": ("залетают",), "count2": ("берут",), "explosion": ("взрыв", "💥"),
+    "iskander": ("скандер",), "s300": ("300",), "kab": ("каб",), "missile": ("ракет",), "ballistic": ("баллист",), "rszo": ("рсзо",), "lancet": ("ланцет",), "fpv": ("fpv",), "molniya": ("молни",), "bpla": ("бпла", "дрон", "ударн"),
+    "heading_change": ("довернул", "развернул", "взял", "повернул", "разогнулся"), "current_location": ("над", "кружит", "локационно"), "via_location": ("далее", "через", "вдоль окружной", "летит"),
+    "continuation": ("снова", "опять на", "повторные пуски", "заходят на повторные"), "additional_unit": ("ещ", "новая шаболда"), "correction": ("upd", "это ", "предварительно "), "impact": ("упал", "сбили", "приземлили", "задавили"),
+    "clear_status": ("не наблюдается", "фиксируется", "отбой", "чисто", "без угрозы", "вылетел"), "acoustic_observation": ("акустически",), "situational_summary": ("локационно", "по шаболдам", "по области"),
+    "launch_alert": ("пуски по", "пусковых", "рсзо", "баллистике"),
+}
+
+
+def lowered(clean: Column) -> Column:
+    """What NEEDS are looked for in."""
+    return F.concat(F.lit(" "), F.lower(clean))
+
+
+def has(low: Column, *words: str) -> Column:
+    out = low.contains(words[0])
+    for w in words[1:]:
+        out = out | low.contains(w)
+    return out
+
+
+def guarded(low: Column | None, name: str, found: Column) -> Column:
+    """``found``, a boolean, where it can be true at all."""
+    return found if low is None else F.when(has(low, *NEEDS[name]), found).otherwise(F.lit(False))
 
 
 def longest_alias(texts: Column, aliases: dict[str, tuple[str, ...]], short: int = 3) -> Column:
     """The key whose longest alias occurs in the text (the earlier key on ties); short aliases must stand alone."""
-    low, found = F.lower(texts), []
+    return alias_in(F.lower(texts), aliases, short)
+
+
+def alias_in(low: Column, aliases: dict[str, tuple[str, ...]], short: int = 3) -> Column:
+    """The same, of a text in lower case."""
+    found = []
     order = 0
     for key, names in aliases.items():
         for a in dict.fromkeys(n.lower() for n in names):
             if len(a) < 2:
                 continue
-            hit = low.rlike(f"{_I}(?:^|[^\\p{{L}}\\p{{N}}])\\Q{a}\\E(?:$|[^\\p{{L}}\\p{{N}}])") if len(a) <= short else low.contains(a)
+            hit = low.contains(a)
+            if len(a) <= short:
+                hit = F.when(hit, low.rlike(f"{_I}(?:^|[^\\p{{L}}\\p{{N}}])\\Q{a}\\E(?:$|[^\\p{{L}}\\p{{N}}])")).otherwise(F.lit(False))
             found.append((len(a), -order, key, hit))
             order += 1
     out = F
@@ -68,17 +104,17 @@ def longest_alias(texts: Column, aliases: dict[str, tuple[str, ...]], short: int
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def weapon(texts: Column) -> Column:
+def weapon(texts: Column, low: Column) -> Column:
     """Weapon type by alias, else by pattern, else unknown."""
     out = F
     for key, p in WEAPON_PATTERNS:
-        out = out.when(texts.rlike(_I + p), key)
-    return F.coalesce(longest_alias(texts, WEAPON_ALIASES), out.otherwise("unknown"))
+        out = out.when(guarded(low, key, texts.rlike(_I + p)), key)
+    return F.coalesce(alias_in(low, WEAPON_ALIASES), out.otherwise("unknown"))
 
 
-def intents(texts: Column, patterns: tuple[tuple[str, str], ...] = PHRASE_INTENTS) -> Column:
+def intents(texts: Column, patterns: tuple[tuple[str, str], ...] = PHRASE_INTENTS, low: Column | None = None) -> Column:
     """All intents whose pattern is found, in the order of the patterns."""
-    return F.array_compact(F.array(*(F.when(texts.rlike(_I + p), F.lit(k)) for k, p in patterns)))
+    return F.array_compact(F.array(*(F.when(guarded(low, k, texts.rlike(_I + p)), F.lit(k)) for k, p in patterns)))
 
 
 def hints(phrase_intents: Column, correction: Column, followup: Column, delta: Column) -> Column:
@@ -88,30 +124,24 @@ def hints(phrase_intents: Column, correction: Column, followup: Column, delta: C
     return F.array_union(own, flags)
 
 
-def flags(clean: Column) -> dict[str, Column]:
+def with_flags(df: DataFrame, clean: Column, low: Column) -> DataFrame:
     """Flags, event type, weapon, count and count delta of a text with plain spaces."""
-    correction = clean.rlike(_I + "^Уточнение")
+    correction = low.startswith(" уточнение")
     kind = (
-        F.when(clean.rlike(_I + "взрыв[ыа]?\\s|💥") | clean.rlike(_I + "упал[иа]?"), "impact")
-        .when(clean.rlike(_I + "отбой|чисто|відбій"), "all_clear").when(correction, "correction").otherwise("tracking")
+        F.when(guarded(low, "explosion", clean.rlike(_I + "взрыв[ыа]?\\s|💥")) | has(low, "упал"), "impact")
+        .when(has(low, "отбой", "чисто", "відбій"), "all_clear").when(correction, "correction").otherwise("tracking")
     )
-    detected = weapon(clean)
-    number = F.coalesce(*(F.regexp_extract(clean, _I + p, 1).try_cast("int") for p in COUNTS), F.lit(1))
-    return {
-        "event_type": kind,
-        "weapon_type": F.when((detected == "unknown") & clean.rlike(_I + "залетают"), "bpla").otherwise(detected),
-        "weapon_count": number,
-        "is_preliminary": clean.rlike(_I + "^Предварительно"),
-        "is_correction": correction,
-        "is_followup": clean.rlike(_I + FOLLOW_UP),
-        "count_delta": F.when(clean.rlike(_I + ONE_MORE), 1).otherwise(0),
-        "phrase_intents": intents(clean),
-    }
+    number = F.coalesce(*(F.when(has(low, *NEEDS[f"count{k}"]), F.regexp_extract(clean, _I + p, 1)).try_cast("int") for k, p in enumerate(COUNTS)), F.lit(1))
+    out = df.withColumns({
+        "event_type": kind, "_detected": weapon(clean, low), "weapon_count": number, "is_preliminary": low.startswith(" предварительно"), "is_correction": correction,
+        "is_followup": guarded(low, "followup", clean.rlike(_I + FOLLOW_UP)), "count_delta": F.when(guarded(low, "one_more", clean.rlike(_I + ONE_MORE)), 1).otherwise(0), "phrase_intents": intents(clean, low=low),
+    })
+    return out.withColumn("weapon_type", F.when((F.col("_detected") == "unknown") & has(low, "залетают"), "bpla").otherwise(F.col("_detected"))).drop("_detected")
 
 
 def captures(slots: dict[str, tuple[str, int]]) -> dict[str, Column]:
-    """Captures of ``clean`` by slot, trimmed, empty where the pattern isn't found."""
-    return {k: F.trim(F.regexp_extract("clean", _I + PATTERNS[p][0], g)) for k, (p, g) in slots.items()}
+    """Captures of ``clean`` by slot, trimmed, empty where the pattern isn't found; ``_low`` says where it may be."""
+    return {k: F.when(has(F.col("_low"), *NEEDS[p]), F.trim(F.regexp_extract("clean", _I + PATTERNS[p][0], g))).otherwise("") for k, (p, g) in slots.items()}
 
 
 def with_places(base: DataFrame, asked: dict[str, Column], gazetteer: DataFrame, ambiguous: dict[str, str] | None, settings: Settings, loose: tuple[str, ...] = ()) -> DataFrame:
@@ -143,8 +173,9 @@ def parse(messages: DataFrame, gazetteer: DataFrame, ambiguous: dict[str, str] |
     text itself isn't carried along. Messages are read once: what the patterns find in them
     goes into a table, from which distinct names are resolved.
     """
-    base = messages.where("id > 0 AND text IS NOT NULL AND trim(text) <> ''").withColumn("clean", text.plain_spaces(F.col("text")))
-    base = base.withColumns({"filtered_out": text.contains_any(F.col("text"), settings.keywords), **flags(F.col("clean")), **{f"_{k}": c for k, c in captures(_SLOTS).items()}}).drop("text")
+    base = messages.where("id > 0 AND text IS NOT NULL AND trim(text) <> ''").withColumn("clean", text.plain_spaces(F.col("text"))).withColumn("_low", lowered(F.col("clean")))
+    base = with_flags(base.withColumn("filtered_out", text.contains_any(F.col("text"), settings.keywords)), F.col("clean"), F.col("_low"))
+    base = base.withColumns({f"_{k}": c for k, c in captures(_SLOTS).items()}).drop("text")
     s = lambda k: F.col(f"_{k}")
     course, enter = F.split(s("course"), ",\\s*"), F.split(s("enter"), ",\\s*")
     bare = F.trim(F.regexp_replace("clean", "[⚠💥!.,;:]+", ""))
