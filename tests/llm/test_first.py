@@ -44,6 +44,37 @@ def test_pii_base_spans(spark, sf):
             assert all(a < b for a, b in s) and all(x[1] <= y[0] for x, y in zip(s, s[1:], strict=False))
 
 
+def added_spans(text):
+    """The added kinds by plain patterns over the whole text."""
+    take = lambda spans: [s for k, s in enumerate(spans) if not any(a < s[1] and s[0] < b for a, b in spans[:k])]
+    street = []
+    for cue in re.finditer("|".join(map(re.escape, pii.STREET_CUES)), text):
+        left = re.search(r"[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'-]* ){0,3}$", text[: cue.start()])
+        if left:
+            street.append((left.start(), cue.end()))
+    iban = []
+    for m in re.finditer(r"(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))", text):
+        start, end = m.span(1)
+        while end - start >= 15:
+            code = text[start:end].replace(" ", "")
+            if 15 <= len(code) <= 34 and text[end - 1] != " " and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                iban.append((start, end))
+                break
+            end -= 1
+    return {"address": street, "iban": take(iban)}
+
+
+def test_pii_added_spans():
+    rng = np.random.default_rng(6)
+    words = ["12", "7B", "123456", "Elm", "Tree", "O'Neil-Smith", "street", "Street", "Street,", "of", "É", "A" * 90, "Lane", "Road", "_x", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432x", "at", "5C", "\n"]
+    for _ in range(4000):
+        t = rng.choice([" ", " ", " ", "  ", ""]).join(rng.choice(words, rng.integers(1, 9)))
+        got, want = pii.find(t), added_spans(t)
+        assert [got["address"], got["iban"]] == [want["address"], want["iban"]], t
+    long = f"at 12 {'B' * 5000} {'C' * 5000} Street"
+    assert pii.find(long)["address"] == [(3, len(long))]
+
+
 def test_pii_rows(spark):
     got = {r.doc_id: r for r in pii.spans(odd(spark)).collect()}
     assert len(got) == len(ROWS) - 1 and pii.spans(none(spark)).count() == 0

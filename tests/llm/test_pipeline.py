@@ -1,7 +1,9 @@
 """The pipeline against its operators' plain versions, stage by stage."""
 
+from collections import Counter
+
 import corpus_pipeline
-from tests.llm.odd import none, odd
+from tests.llm.odd import ROWS, none, odd
 from tests.llm.test_first import base_spans, check_packed, library
 from tests.llm.test_jaccard import plain
 from tocsin.llm import jaccard, pii, quality, toxicity
@@ -34,9 +36,27 @@ def test_stages(spark, sf, tmp_path):
 
 
 def test_empty_and_odd(spark, sf):
-    for _, stage in corpus_pipeline.STAGES:
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    had = Counter((r.doc_id, r.text, r.sequence_id) for r in odd(spark).collect())
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, none(spark), sf).count() == 0
-        stage(spark, odd(spark), sf).collect()
+        out = stage(spark, odd(spark), sf)
+        rows = out.collect()
+        if k == 4:
+            pieces = Counter(r.doc_id for r in rows)
+            assert all(pieces[i] >= 1 for i, _, _ in had) and pieces[3] == 2 and {r.piece for r in rows if r.doc_id == 11} == set(range(pieces[11]))
+            continue
+        assert out.columns == odd(spark).columns
+        got = Counter((r.doc_id, r.text, r.sequence_id) for r in rows)
+        if k == 0:
+            bad = {t for _, t, _ in had if t is None or len(t.split()) < 10}
+            assert not bad & {t for _, t, _ in got} and got <= had and len(got) >= 1
+        elif k == 1:
+            toxic = Counter(r.doc_id for r in toxicity.score(odd(spark), labels).collect() if r.predicted)
+            assert got <= had and sum(got.values()) == len(ROWS) - sum(toxic.values()) and {None, "", " "} <= {t for _, t, _ in got}
+        elif k == 3:
+            assert Counter(i for i, _, _ in got.elements()) == Counter(i for i, _, _ in had.elements())
+            assert got == Counter((i, t if t is None else pii.redacted(t, pii.find(t)), s) for i, t, s in had.elements())
 
 
 def test_near_duplicates_by_row(spark, sf):

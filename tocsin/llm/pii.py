@@ -38,9 +38,8 @@ _DIAL = re.compile(r"[ ().0-9-]*")
 _URL = re.compile(r"[^\s\"'<>`|\\^{}]+")
 _ASSIGN = re.compile(r"[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_./+=-]{8,})")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_STREET_LEFT = re.compile(r"[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'-]* ){0,3}$")
-#: Code points that a house number and a street name before their cue may take.
-_STREET_REACH = 80
+#: Capitalised words that a street's name may have before its cue.
+_STREET_WORDS = 3
 
 _AUTOMATON = None
 
@@ -93,9 +92,9 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                     _numbers(text, at, digits_end, found)
             if at >= iban_end and at >= 2 and text[at - 1].isupper() and text[at - 2].isupper() and (m := _IBAN.match(text, at - 2)):
                 start, end = m.span()
-                while end - start >= 15 and not _iban_ok(text[start:end]):  # the account may end before the run does
+                while end - start >= 15 and (text[end - 1] == " " or not _iban_ok(text[start:end])):  # the account may end before the run does
                     end -= 1
-                if end - start >= 15 and text[end - 1] != " ":
+                if end - start >= 15:
                     found["iban"].append((start, end))
                     iban_end = end
         elif what == "@":
@@ -125,11 +124,37 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
             if at >= secret_end and (m := _ASSIGN.match(text, last + 1)):
                 secret_end = m.end(1)
                 found["secret"].append(m.span(1))
-        elif m := _STREET_LEFT.search(text[max(0, at - _STREET_REACH) : at]):
-            found["address"].append((max(0, at - _STREET_REACH) + m.start(), last + 1))
+        elif (start := _street(text, at)) is not None:
+            found["address"].append((start, last + 1))
     return found
 
 
+def _street(text: str, cue: int) -> int | None:
+    """Where the house number of an address begins whose cue ("Street", say) is at ``cue``; None: there is none.
+
+    Backwards from the cue: capitalised words, three at most and of any length, before
+    them a number of up to five digits that may have a letter. With the most words that fit.
+    """
+    start, at = None, cue
+    for _ in range(_STREET_WORDS + 1):
+        end = at - 1
+        if end < 1 or text[end] != " ":
+            break
+        digits_end = end - (text[end - 1].isascii() and text[end - 1].isalpha())
+        first = digits_end
+        while first > 0 and digits_end - first < 5 and text[first - 1] in _DIGIT:
+            first -= 1
+        if first < digits_end:
+            start = first
+        word = end
+        while word > 0 and (text[word - 1].isalnum() or text[word - 1] in "_'-"):
+            word -= 1
+        if word == end or not "A" <= text[word] <= "Z":
+            break
+        at = word
+    return start
+
+
 def _numbers(text: str, start: int, end: int, found: dict[str, list[tuple[int, int]]]) -> None:
     """Network addresses and cards in a cluster of digits with single separators."""
     for m in _DOTTED.finditer(text, start, end):
@@ -189,7 +214,11 @@ def redact_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, with personal data in ``text`` replaced by its kind; null stays null."""
+    """The same rows and columns, with personal data in ``text`` replaced by its kind; ``n_chars``, if there, follows the text.
+
+    A null text stays null, an empty one empty. Repeated rows, equal or null doc_ids and an
+    empty table go through as they are; other columns, whatever their names, aren't touched.
+    """
     tune(docs.sparkSession)
     out = docs.mapInArrow(redact_text, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

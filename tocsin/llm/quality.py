@@ -85,7 +85,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of each whole text; null: all 0."""
+    """doc_id and COUNTS of each whole text; null or empty: all 0. Rows stay one to one, whatever their doc_id; other columns aren't read."""
     tune(docs.sparkSession)
     return id_and_text(docs).mapInArrow(_stats, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
@@ -183,11 +183,11 @@ def learn(x: np.ndarray, rejected: np.ndarray, max_rules: int = 12, max_conditio
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """A list learned from at most ``sample`` labelled documents; without labels, an empty one."""
+    """A list learned from at most ``sample`` labelled documents; without labels, an empty one. Of a repeated doc_id the row of the least counts is learned."""
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
     some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = id_and_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text")
-    got = statistics(known).join(F.broadcast(some), "doc_id").select("doc_id", "quality", *COUNTS).dropDuplicates(["doc_id"]).orderBy(hash_mod("doc_id", 1 << 30), "doc_id").toPandas()
+    got = statistics(known).join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "quality", "c.*").orderBy(hash_mod("doc_id", 1 << 30), "doc_id").toPandas()
     return learn(rates_of(got[list(COUNTS)].to_numpy()), got["quality"].to_numpy() == 0) if len(got) else []
 
 
@@ -213,7 +213,11 @@ def _struct(values: list[str]) -> pa.Array:
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, whole, that the base test and the learned list keep; nothing is shuffled."""
+    """The rows of ``docs``, whole, that the base test and the learned list keep; nothing is shuffled.
+
+    Judged as by ``judge``: a null or empty text goes, repeated rows and equal or null doc_ids are
+    judged row by row. Columns other than text, whatever their names, go through as they are.
+    """
     tune(docs.sparkSession)
     rules, name = train(docs, labels, sample), unused(docs, "counts")
     inside = lambda c: F.col(f"{name}.{c}")

@@ -187,12 +187,13 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) ->
     """Encodes the documents and writes their ids in ascending doc_id order; returns one row per file.
 
     Files follow each other by ``part``, and so do the doc_ids within them (null first;
-    equal doc_ids by text). A null or empty text is the end id alone. ``start`` is the
+    equal doc_ids by a hash of the text, so that even one id's rows are dealt over files). A null or empty text is the end id alone. ``start`` is the
     number of ids in the files before. An empty table gives files without documents.
     """
     spark = docs.sparkSession
     tune(spark)
-    dealt = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    dealt = id_and_text(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     files, start = [], 0
     for r in sorted(dealt.mapInArrow(_write(folder, tokenizer, end_id), "part int, file string, n_docs bigint, n_ids bigint, n_bytes bigint").collect()):
         files.append((*r, start))
@@ -215,7 +216,10 @@ def _digest(folder: str):
 
 
 def read_digests(files: DataFrame, folder: str) -> DataFrame:
-    """Reads the files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
+    """Reads the files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
+
+    One row per document as it was written: a null doc_id stays null, equal ones are rows of their own, a file without documents gives none.
+    """
     n = max(1, files.count())
     return files.repartition(n).mapInArrow(_digest(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
