@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions import geo
-from tocsin.plans.settings import COLORS, LABELS, SPEED_KMH, Settings
+from tocsin.plans.settings import COLORS, LABELS, OTHER_NOTE, SPEED_KMH, STATUS_LABELS, THREAT_NOTES, Settings
 
 
 def active(incidents: DataFrame) -> DataFrame:
@@ -211,3 +211,11 @@ def shows_arrow() -> Column:
 def level_map(levels: DataFrame) -> DataFrame:
     """One row: levels by district, as a payload has them; nulls are left out by its JSON."""
     return levels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "level")))).alias("levels"))
+
+
+def panel(incidents: DataFrame) -> DataFrame:
+    """Live incidents, the newest first, with what a list says of each: status, its label, the last named place or the heading's, and a note."""
+    status = F.when(F.col("status").isin("impact", "expired"), F.col("status")).otherwise("active")
+    last = F.try_element_at(F.col("trajectory"), F.lit(-1))["name"]
+    place = F.coalesce(F.when(last != "", last), F.when(F.col("heading.name") != "", F.col("heading.name")), F.lit("—"))
+    return newest(incidents.withColumns({"status_class": status, "status_label": lookup(status, STATUS_LABELS, ""), "place_name": place, "threat_note": lookup(F.col("weapon_type"), THREAT_NOTES, OTHER_NOTE)}))

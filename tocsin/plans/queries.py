@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions import geo, text
 from tocsin.operators import correlate, lexicon, parse, resolve, risk, serve
-from tocsin.plans.settings import SPEED_KMH, TRACKED
+from tocsin.plans.settings import OTHER_NOTE, SPEED_KMH, THREAT_NOTES, TRACKED
 from tocsin.sources import readers
 from tocsin.sources.shared import shared_folder
 from tocsin.streaming import jobs
@@ -775,3 +775,15 @@ def accepted_messages(spark, sf):
     d = table(spark, sf, "documents").withColumnRenamed("source", "channel_name")
     first = d.agg(F.min("channel_name")).first()[0]  # one value
     return readers.accepted(d, [first]).select("doc_id")
+
+
+_NOTES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in THREAT_NOTES.items())
+
+
+@query("target_panel", f"WITH {EV}, {INC} SELECT id, CASE status WHEN 'active' THEN 'Активна' WHEN 'impact' THEN 'Влучання' ELSE 'Завершено' END AS status_label, CASE WHEN n % 3 = 0 THEN 'last' || n WHEN n % 3 = 1 THEN 'ahead' ELSE '—' END AS place_name, CASE CASE n % 4 WHEN 0 THEN 'shahed' WHEN 1 THEN 'kab' WHEN 2 THEN 'fpv' ELSE 'x' END {_NOTES} ELSE '{OTHER_NOTE}' END AS threat_note FROM inc")
+def target_panel(spark, sf):
+    point = lambda name: F.struct(F.lit(50.0).alias("lat"), F.lit(36.0).alias("lng"), name.alias("name"))
+    i, n = incidents(spark, sf), F.col("n")
+    weapons = F.when(n % 4 == 0, "shahed").when(n % 4 == 1, "kab").when(n % 4 == 2, "fpv").otherwise("x")
+    shown = i.withColumns({"weapon_type": weapons, "trajectory": F.array(point(F.when(n % 3 == 0, F.concat(F.lit("last"), n.cast("string"))).otherwise(""))), "heading": F.when(n % 3 < 2, point(F.lit("ahead")))})
+    return serve.panel(shown).select("id", "status_label", "place_name", "threat_note")

@@ -10,6 +10,15 @@ from dataclasses import dataclass, field
 SPEED_KMH = {"shahed": 180, "bpla": 150, "s300": 2000, "kab": 900, "iskander": 2100, "missile": 900, "fpv": 120, "molniya": 220, "lancet": 300, "ballistic": 2500, "rszo": 700, "unknown": 200}
 LABELS = {"shahed": "Шахед-136", "bpla": "Ударний БпЛА", "s300": "С-300", "kab": "КАБ", "iskander": "Іскандер", "missile": "Ракета", "fpv": "FPV-дрон", "molniya": "Молнія", "lancet": "Ланцет", "ballistic": "Балістика", "rszo": "РСЗВ", "unknown": "Невідомо"}
 COLORS = {"shahed": "#aa66ff", "bpla": "#ff8800", "s300": "#ff4444", "kab": "#ff8800", "iskander": "#ff2266", "missile": "#ff4444", "fpv": "#ffb020", "molniya": "#ffa000", "lancet": "#cc5500", "ballistic": "#ff0033", "rszo": "#ff6644", "unknown": "#888888"}
+#: What is said of a target beside it, by weapon, and of one of another kind.
+THREAT_NOTES = {
+    "shahed": "Повільна, але тривала загроза; можливі маневри над містом.", "bpla": "Ймовірний дорозвід/удар, маршрут може швидко змінюватись.", "fpv": "Низька висота і коротке плече, критично важлива швидка реакція.",
+    "molniya": "Швидший БпЛА з ризиком раптової зміни напряму.", "lancet": "Баражуючий боєприпас, небезпечний для відкритої місцевості.", "ballistic": "Балістична загроза з мінімальним підльотним часом.",
+    "rszo": "Залпові ураження, можливі серії з короткими інтервалами.", "missile": "Ракетна загроза, слідкуйте за оновленнями напрямку польоту.", "iskander": "Висока швидкість ураження, рекомендоване негайне укриття.",
+    "s300": "Високошвидкісна загроза, не ігноруйте навіть короткі попередження.", "kab": "Керована авіабомба, ризик ураження поблизу лінії заходу.",
+}
+OTHER_NOTE = "Тип цілі уточнюється, дотримуйтесь базових правил укриття."
+STATUS_LABELS = {"impact": "Влучання", "expired": "Завершено", "active": "Активна"}
 #: Weapons that are tracked as incidents; others mark districts.
 TRACKED = ("bpla", "shahed", "molniya", "fpv", "lancet", "unknown")
 DRONES = ("bpla", "shahed")
