@@ -165,8 +165,8 @@ def levels_over(versions: DataFrame, contributions: DataFrame) -> DataFrame:
 def risk_changes(changes: DataFrame, districts: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Ticks (id, seq, rank) out of a changelog (seq, op, id, payload) of incidents: risk as a consumer of every change."""
     kind = "status string, lat double, lng double, bearing_deg double, speed_kmh double, eta_seconds double, heading_lat double, heading_lng double"
-    of = changes.where("op IN ('new', 'update', 'expire')").select(F.col("id").alias("incident_id"), "seq", "op", F.from_json("payload", kind).alias("p"))
-    live = of.where("op <> 'expire'").select("incident_id", "seq", "p.*")
+    of = changes.where("op IN ('new', 'update', 'expire')").select(F.col("id").alias("incident_id"), "seq", "op", "payload")
+    live = of.where("op <> 'expire'").select("incident_id", "seq", F.inline(F.array(F.from_json("payload", kind))))  # parsed once, not for each use of a field
     return levels_over(of.select("incident_id", "seq"), _hits(live, districts, s))
 
 
