@@ -79,6 +79,21 @@ def test_odd(spark):
     assert jaccard.near_duplicates(none(spark)).count() == 0
 
 
+def test_large_group(spark, monkeypatch):
+    """A group that is longer than a list becomes one component in the first wave: its second wave has no pairs."""
+    monkeypatch.setattr(jaccard, "LIST", 8)
+    rng, base = random.Random(9), [f"w{k}" for k in range(120)]
+    docs = []
+    for k in range(150):
+        new = list(base)
+        new[rng.randrange(len(new))] = f"x{k}"
+        docs.append(" ".join(new))
+    seen, own = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: seen.append(pairs.count()) or own(pairs, *a))
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 150 and seen[1] == 0 < seen[0] < 150 * 149 / 2
+
+
 def test_half_digests(tmp_path, monkeypatch):
     """Classes that agree in half a digest stay apart: every copy of them stands for its class."""
     monkeypatch.setattr(jaccard, "signature", lambda s: b"samehalf" + int(s[0]).to_bytes(8, "big"))

@@ -39,8 +39,9 @@ FRAGMENTS = 4
 NEIGHBOURS = 3
 #: Parts of the hash range by which a set's shared n-grams are counted, to bound overlaps.
 CELLS = 32
-#: Entries of one n-gram's list that one task orders, and those of it that one task of the second wave holds.
-LIST, CROSS = 4096, 512
+#: Entries of one n-gram's list that the first wave orders together, and those of it that one task of the second wave holds. A
+#: longer list is cut otherwise for every n-gram, so that the parts of a group meet on another one.
+LIST, CROSS = 1024, 512
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -285,7 +286,7 @@ def _across(lists: DataFrame, differ: str, percent: int) -> DataFrame:
 def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, cls) with each document's class, and components (v, c) of linked classes."""
     sets, segments, lists = _listed(docs, size, percent)
-    by = Window.partitionBy("gram", F.pmod(F.xxhash64("cls"), F.floor(F.col("df") / LIST) + 1)).orderBy(F.xxhash64("cls", "gram"), "cls")
+    by = Window.partitionBy("gram", F.pmod(F.xxhash64("gram", "cls"), F.floor(F.col("df") / LIST) + 1)).orderBy(F.xxhash64("cls", "gram"), "cls")
     near = None
     for k in range(1, NEIGHBOURS + 1):
         some = lists.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("cells").alias("kx"), F.lag("cls", k).over(by).alias("y"), F.lag("n", k).over(by).alias("ny"), F.lag("cells", k).over(by).alias("ky"))
