@@ -86,6 +86,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -97,8 +103,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_media": op9_media,
     "op10_ngram_join": op10_ngram_join,
+    "op12_decontamination": op12_decontamination,
 }
-#: The join alone can be said in SQL; the others need a tokenizer, a learned model or a file format.
+#: Those that SQL can say; the others need a tokenizer, a learned model, a file format or a search.
 ORACLE_SQL: dict[str, str] = {
     "op10_ngram_join": r"""
 WITH RECURSIVE d AS (
@@ -111,5 +118,20 @@ l AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id
 r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a)
 SELECT documents.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.c) AS component_id
 FROM documents JOIN r ON r.v = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id GROUP BY 1
+""",
+    "op12_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+s AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0),
+k AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS win FROM s),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d),
+g AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS win FROM p JOIN (SELECT DISTINCT n FROM k) ON p + n - 1 <= len(w)),
+h AS (SELECT doc_id, p, n, item_id FROM g JOIN k USING (n, win)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(p, p + n - 1)) AS q FROM h) GROUP BY 1),
+o AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items, coalesce(o.items_sha256, sha256('')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """,
 }
