@@ -79,6 +79,19 @@ def test_sentences():
     assert toxicity.sentences("x y z and i d i o t now") == [["xyz", "and", "idiot", "now"]]
 
 
+def test_sample_bounds(spark):
+    """Long texts are learned from: by all their sentences, or by so many of them."""
+    long = ". ".join(f"a garden of {k} green plants" for k in range(4000))
+    assert len(long) > 100_000 and toxicity.shortened(long, 4000) == long
+    some = toxicity.sentences(toxicity.shortened(long, 50))
+    assert len(some) == 50 and all(s in toxicity.sentences(long) for s in some) and toxicity.shortened(long, 50) == toxicity.shortened(long, 50)
+    rows = [(k, f"{long}. you idiot {k}." if k % 2 else f"{long}. you there {k}.", k % 2) for k in range(1, 13)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    machine = toxicity.train(docs, labels, parts=1000)
+    assert any("idiot" in w for w in machine.landmarks)
+    assert toxicity.train(docs, labels, parts=1000, clean_rows=0) == toxicity.NOTHING
+
+
 def test_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()

@@ -23,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ TOXIC_LANDMARKS, OTHER_LANDMARKS = 56, 20
 WINDOW = 20
 #: Words of a sentence at most; a longer one is read as several sentences of this size, so that all its words count.
 RUN = 40
-#: Labelled documents that a model is fitted on at most, toxic and clean, and the longest texts (code points) among them.
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2_000, 3_000, 20_000
+#: Labelled documents that a model is fitted on at most, toxic and clean, and sentences of each of them at most.
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_SENTENCES = 2_000, 3_000, 5_000
 #: Words, or sentences, that are worked on at once in fitting.
 CHUNK = 8_192
 #: Words, and subsequences of each, that the kernel lays out at once.
@@ -383,16 +384,37 @@ def fit(docs: list[str], toxic: list[bool], share: float | None = None) -> Machi
     return Machine(machine.landmarks, machine.own, machine.weights, machine.bias, tuple(out.tolist()))
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> Machine:
-    """A machine from labelled rows whose crc32(doc_id) mod ``parts`` is not ``held``: those of the smallest hashes, bounded per label."""
+def shortened(text: str, most: int) -> str:
+    """The text, or, of one with more sentences than ``most``, those with the smallest hashes, in their order."""
+    found = sentences(text)
+    if len(found) <= most:
+        return text
+    lines = [" ".join(s) for s in found]
+    order = sorted(range(len(lines)), key=lambda k: (xxhash.xxh64_intdigest(lines[k], seed=k), k))[:most]
+    return "\n".join(lines[k] for k in sorted(order))
+
+
+def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, toxic_rows: int = TOXIC_SAMPLE, clean_rows: int = CLEAN_SAMPLE, row_sentences: int = SAMPLE_SENTENCES) -> Machine:
+    """A machine from labelled rows whose crc32(doc_id) mod ``parts`` is not ``held``.
+
+    The sample is bounded by ``toxic_rows`` and ``clean_rows``, those of the smallest hashes of their ids, and by
+    ``row_sentences`` of each; texts of any length are in it.
+    """
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(hash_mod("doc_id", parts) != held)
     pick = lambda t, n: marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    some = pick(1, TOXIC_SAMPLE).unionByName(pick(0, CLEAN_SAMPLE))
-    known = id_and_text(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toPandas()
+    some = pick(1, toxic_rows).unionByName(pick(0, clean_rows))
+    known = id_and_text(docs).where("text IS NOT NULL").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield rows(_SAMPLE, b.column("doc_id"), b.column("toxic").cast(pa.int64()), [shortened(t, row_sentences) for t in texts(b)])
+
+    sample = known.mapInArrow(short, "doc_id bigint, toxic bigint, text string").orderBy("doc_id").toPandas()
     share = marked.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("share")).first()["share"]
-    return fit(known["text"].tolist(), (known["toxic"] == 1).tolist(), share)
+    return fit(sample["text"].tolist(), (sample["toxic"] == 1).tolist(), share)
 
 
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int64()), ("text", pa.string())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -404,26 +426,26 @@ def _score(machine: Machine):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, **sample: int) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted.
 
     A null or empty text is scored as one without sentences. A null doc_id is not held
     out. Equal doc_ids are scored row by row; of a labelled one the least text is learned. Without labels of both kinds every score
-    is near 0. Columns besides doc_id and text are not read.
+    is near 0. Columns besides doc_id and text are not read. ``sample`` are the bounds of ``train``.
     """
     tune(docs.sparkSession)
-    machine = train(docs, labels, parts, held)
+    machine = train(docs, labels, parts, held, **sample)
     out = id_and_text(docs).mapInArrow(_score(machine), "doc_id bigint, score double")
     return out.select("doc_id", F.coalesce(hash_mod("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, **sample: int) -> DataFrame:
     """The rows of ``docs``, whole, that are not predicted toxic; nothing is shuffled.
 
     Judged as by ``score``: a null or empty text as one without sentences, repeated rows and
     equal doc_ids row by row. Columns other than text, whatever their names, go through as they are.
     """
     tune(docs.sparkSession)
-    machine, name = train(docs, labels, parts, held), unused(docs, "score")
+    machine, name = train(docs, labels, parts, held, **sample), unused(docs, "score")
     scored = widened(docs, name, "double", lambda t: pa.array(scorer(machine).scores(t), pa.float64()))
     return scored.where(F.col(name) < 0.5).select(docs.columns)
