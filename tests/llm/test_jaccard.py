@@ -122,7 +122,7 @@ def test_half_digests(tmp_path, monkeypatch):
 
 
 def test_spread_join(spark):
-    """A join whose keys are partly dealt by salt is the plain join."""
+    """A join whose largest keys are joined apart is the plain join."""
     left = spark.range(3000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), F.col("id").alias("v"))
     right = left.groupBy("k").agg(F.count("*").alias("m")).where("k <> 3").withColumn("w", F.col("k") * 10)
     for hot in (10, 400, 10**9):
@@ -130,6 +130,22 @@ def test_spread_join(spark):
         assert got == sorted((k, v, 10 * k) for k, v in left.collect() if k != 3)
 
 
+def test_spread_join_of_a_hot_key(spark):
+    """With three quarters of all rows on one key, no partition has much more than the others."""
+    left = spark.range(200_000, numPartitions=8).select(F.when(F.col("id") % 4 < 3, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.count("*").alias("m")).withColumn("w", F.col("k") + 1)
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(c, v)
+        out = common.spread_join(left, right, "k", "m")
+        sizes = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 200_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
 def test_components(spark):
     chain = spark.range(1, 40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     star = spark.range(101, 120).select(F.lit(100).cast("bigint").alias("a"), F.col("id").alias("b"))

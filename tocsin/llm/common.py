@@ -102,20 +102,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
-#: Rows of one key that a join leaves in one task, and into how many tasks it deals the rows of a key with more.
-HOT, SALTS = 20_000, 256
+#: Rows of one key that a join may shuffle to one task, and the most keys with more that are joined apart.
+HOT, HOT_KEYS = 20_000, 4_096
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, size: str, hot: int = HOT) -> DataFrame:
     """The inner join of ``left`` with ``right``, which has each key once and in ``size`` how many rows of ``left`` have it.
 
-    Rows of keys with more than ``hot`` rows are dealt by key and salt; of ``right``, only the
-    rows of such keys, of which there are few, are repeated. Both sides are read twice.
+    Rows of keys with more than ``hot`` rows, the ``HOT_KEYS`` largest of them, never enter the shuffle: their rows of
+    ``right`` are broadcast, and their rows of ``left`` stay where they are. A key beyond those has less than a
+    ``HOT_KEYS``-th of all rows. ``right`` is read once more to find them.
     """
-    plain = left.join(right.where(F.col(size) <= hot).drop(size), key)
-    dealt = right.where(F.col(size) > hot).drop(size).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.lit(SALTS)).cast("int")).join(dealt, [key, "_salt"]).drop("_salt")
-    return plain.unionByName(salted)
+    largest = [r[0] for r in right.where((F.col(size) > hot) & F.col(key).isNotNull()).select(key, size).orderBy(F.desc(size), key).limit(HOT_KEYS).collect()]
+    right = right.drop(size)
+    if not largest:
+        return left.join(right, key)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in largest], T.StructType([T.StructField(key, right.schema[key].dataType)])))
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    return left.join(keys, key, "left_anti").join(right, key).unionByName(left.join(few, key))
 
 
 def id_and_text(df: DataFrame) -> DataFrame:
