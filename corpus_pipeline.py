@@ -18,31 +18,42 @@ NEAR_WORDS, NEAR_PERCENT = 4, 85
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test and the learned decision list keep."""
+    """Documents that the base test and the learned decision list keep.
+
+    A null or empty text has no words and goes; repeated rows and rows of one doc_id, or of none, are judged row by row.
+    """
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic.
+
+    A null or empty text is no sentence and stays; rows are judged one by one, whatever their doc_id.
+    """
     return toxicity.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates: that of the smallest doc_id, a null one last; rows like no other stay."""
-    keyed = common.stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    found = jaccard.near_duplicates(keyed.select(F.col("row_key").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias("row_key"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    stays = found.join(keyed.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(first.alias("first")).select("first.row_key")
-    return keyed.join(stays, "row_key", "left_semi").select(docs.columns)
+    """One row of each component of near-duplicates: that of the smallest doc_id, a null one last; rows like no other stay.
+
+    Rows are told apart by a key of their own, in a column that ``docs`` doesn't have, so repeated rows are copies of one
+    another. Null, empty and blank texts are like no other.
+    """
+    key = common.unused(docs, "row_key")
+    keyed = common.stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT).select(F.col("doc_id").alias("key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    stays = found.join(keyed.select(F.col(key).alias("key"), "doc_id"), "key").groupBy("component_id").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(stays, key, "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null and empty texts, and repeated rows, as they are."""
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens."""
+    """Pieces of the documents in sequences of at most 4096 tokens; null and empty texts are one end id, repeated rows are packed each."""
     return packing.pack(docs, tokenizer(WORD_BPE), end_id=1, capacity=4096)
 
 
