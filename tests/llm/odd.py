@@ -8,12 +8,12 @@ TEXTS = [
     "Ünïcödé ﬁ ſ İstanbul ΑΣ é  nbsp em 𝔘 12½ ²³ <|endoftext|>x <|startoftext|> it's WE'LL 'S\u0085next \x1c\x00 ‍ 中文字符 ½",
     "x" * 5000, LONG, "a  b   c ", " lead and trail ", "tab\tsep\x0bvt\x0cff\rcr", "▁piece▁ ▁", "you id.iot and m-o-r-o-n , i d i o t",
 ]
-ROWS = [(k, t, "en", "s", len(t or ""), 7) for k, t in enumerate(TEXTS)] + [(3, "again three", None, None, None, 8), (None, "no id here at all", "en", "s", 3, 9)]
+ROWS = [(k, t, "en", "s", len(t or ""), 7, 90 - k) for k, t in enumerate(TEXTS)] + [(3, "again three", None, None, None, 8, None), (None, "no id here at all", "en", "s", 3, 9, 5)]
 
 
 def odd(spark):
     """With an extra column, a null id and a repeated id."""
-    return spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, source string, n_chars bigint, sequence_id int")
+    return spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string, source string, n_chars bigint, sequence_id int, row_key bigint")
 
 
 def none(spark):

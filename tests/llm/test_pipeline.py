@@ -72,6 +72,13 @@ def test_near_duplicates_by_row(spark, sf):
     assert (None, "no id here at all") in kept and len(had) - len(kept) == 1 and sum(i == 3 for i, _ in kept) == 2
 
 
+def test_near_duplicates_keep_clashing_columns(spark, sf):
+    """Columns named like the stage's own keys come out as they went in."""
+    rows = [(k, f"text {k} that is like no other {k} at all {k}", 70 + k, f"k{k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_key bigint, key string")
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, sf).select(docs.columns).collect())) == rows
+
+
 def test_near_duplicates_definition(spark, sf, monkeypatch):
     """The stage names its own size and percent; the operator's defaults don't bear on it."""
     seen, own = [], jaccard.near_duplicates
