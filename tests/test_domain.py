@@ -14,7 +14,7 @@ from tocsin.operators import correlate, lexicon, parse, resolve, risk, serve
 from tocsin.plans.queries import QUERIES, correlator_events, districts
 from tocsin.plans.settings import Settings
 from tocsin.sources import readers
-from tocsin.streaming import jobs
+from tocsin.streaming import jobs, timers
 
 PLACES = [
     (1, "Верхнє", 50.10, 36.20, "village", "Харківська область", ["верхнее", "верхнего"]),
@@ -130,8 +130,9 @@ def test_stream_equals_batch(spark, tmp_path, cuts):
     for k, (_, f) in enumerate(times):
         spark.read.parquet(f).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ordered/k={k}")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/ordered/*")
-    got = {(r.scope, r.seq): (r.event_id, r.action, r.incident.id) for r in jobs.drained(jobs.correlated(stream), str(tmp_path / "run")).collect()}
-    assert got == batch and len(batch) > 20
+    got = {(r.scope, r.seq): (r.event_id, r.action, r.incident.id) for r in jobs.drained(timers.correlated(stream), str(tmp_path / "run")).collect()}
+    assert batch.items() <= got.items() and len(batch) > 20
+    assert all(got[k][1] == "expire" for k in got.keys() - batch.keys())  # ends that no later event shows
 
 
 def test_geometry(spark):
@@ -401,7 +402,7 @@ def test_publish(spark, tmp_path):
     e = correlator_events(spark, "/root/testdata/sf0.001").where("scope = '1'")
     e.write.parquet(f"{tmp_path}/in")
     seen = []
-    q = jobs.publish(jobs.correlated(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")), lambda batch, n: seen.extend((n, r.op, r.id, r.payload) for r in batch.collect()), f"{tmp_path}/c")
+    q = jobs.publish(timers.correlated(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")), lambda batch, n: seen.extend((n, r.op, r.id, r.payload) for r in batch.collect()), f"{tmp_path}/c")
     q.processAllAvailable()
     q.stop()
     assert {op for _, op, _, _ in seen} <= {"new", "update", "expire"} and len(seen) > 10 and all(json.loads(p)["id"] == i for _, _, i, p in seen)

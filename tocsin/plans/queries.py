@@ -12,7 +12,7 @@ from tocsin.operators import correlate, lexicon, parse, resolve, risk, serve
 from tocsin.plans.settings import OTHER_NOTE, SPEED_KMH, THREAT_NOTES, TRACKED
 from tocsin.sources import readers
 from tocsin.sources.shared import shared_folder
-from tocsin.streaming import jobs
+from tocsin.streaming import jobs, live, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -485,8 +485,7 @@ def override_levels(spark, sf):
 def stream_levels(spark, sf):
     """The same with state per district, as a stream."""
     rows = _district_ticks(spark, sf).withColumn("kind", F.lit("tick")).unionByName(_marks(spark, sf).select("id", "at_ms", F.when(F.col("is_impact"), 2).otherwise(1).alias("rank"), F.lit("mark").alias("kind")))
-    stream, folder = _streamed(rows, "stream-levels", "at_ms")
-    return jobs.drained(jobs.district_levels(stream), folder)
+    return _in_parts(rows, "at_ms", "stream-levels", jobs.district_levels)
 
 
 _CHANGES = f"""v AS (SELECT event_id AS seq, event_type || '-' || (k % 3) AS iid, event_id % 3 = 0 AS gone, lat + 0.0003 AS lat, lng + 0.0003 AS lng, lead(event_id) OVER (PARTITION BY event_type, k % 3 ORDER BY event_id) AS nxt FROM ev),
@@ -597,24 +596,64 @@ def poll_high_water_mark(spark, sf):
     return readers.beyond(rows, marks, 20).select(F.col("channel_id").alias("event_type"), F.col("telegram_id").alias("event_id"))
 
 
-def _streamed(df: DataFrame, tag: str, order: str) -> tuple[DataFrame, str]:
-    """A table as a file stream, below the folder that the cluster shares."""
+def _in_parts(df: DataFrame, order: str, tag: str, job: Callable[[DataFrame], DataFrame], last: DataFrame | None = None, parts: int = 4) -> DataFrame:
+    """A table as a file stream that comes in parts, in the order of a column, ``last`` after them.
+
+    After each part the stream is run to its end, and for the next it goes on from its checkpoint; so state is read back.
+    """
     spark, folder = df.sparkSession, shared_folder(df.sparkSession, tag)
-    df.repartitionByRange(3, order).write.parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).parquet(f"{folder}/in"), folder
+    low, high = df.agg(F.min(order), F.max(order)).first()  # one row
+    number = F.floor((F.col(order) - low) * parts / (high - low + 1))
+    for k, part in enumerate([*(df.where(number == k) for k in range(parts)), *([] if last is None else [last])]):
+        part.write.parquet(f"{folder}/in/{k}")
+        out = jobs.drained(job(spark.readStream.schema(df.schema).parquet(f"{folder}/in/*")), folder)
+    return out
 
 
 @query("stream_dedup", "SELECT event_type, user_id, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY ALL")
 def stream_dedup(spark, sf):
-    e = table(spark, sf, "events").select("event_type", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    stream, folder = _streamed(e, "stream-dedup", "ts")
-    return serve.first_seen(jobs.drained(jobs.deduplicated(stream, ["event_type", "user_id"], "ts", "60 days"), folder), ["event_type", "user_id"], ["ts"]).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    """How often each key comes out of the stream: once, though its rows come in several parts."""
+    e = table(spark, sf, "events").select("event_type", "user_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("at", F.unix_seconds("ts"))
+    out = _in_parts(e, "at", "stream-dedup", lambda s: jobs.deduplicated(s, ["event_type", "user_id"], "ts", "60 days"))
+    return out.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
 @query("stream_correlate")
 def stream_correlate(spark, sf):
-    stream, folder = _streamed(correlator_events(spark, sf), "stream-correlate", "timestamp")
-    return _flat(jobs.drained(jobs.correlated(stream), folder))
+    """Decisions over four parts, with state read back, and the ends of incidents that no event follows."""
+    e = correlator_events(spark, sf)
+    return _flat(_in_parts(e, "timestamp", "stream-correlate", timers.correlated, _clock(e)))
+
+
+def _clock(e: DataFrame) -> DataFrame:
+    """A message without any place, long after all events: only time passes."""
+    end = e.agg(F.max("timestamp").alias("timestamp")).withColumn("timestamp", F.col("timestamp") + 86400)
+    given = {"scope": F.lit("clock"), "event_id": F.lit("clock"), "channel": F.lit("clock"), "timestamp": F.col("timestamp"), "event_type": F.lit("tracking"), "weapon_type": F.lit("unknown"), "weapon_count": F.lit(1), "confidence": F.lit(0.0), "is_correction": F.lit(False), "is_followup": F.lit(False), "count_delta": F.lit(0)}
+    return end.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in e.schema.fields))
+
+
+_STALE = f"SELECT 'expiry' AS what, event_type || '-' || k AS id, (sec + 1801) * 1000 AS at_ms, NULL::INT AS rank, NULL::VARCHAR AS level FROM (SELECT *, lead(sec) OVER (PARTITION BY event_type, k ORDER BY sec) AS nxt FROM ev) WHERE nxt IS NULL OR nxt - sec > 1800"
+_BY_CLOCK = """pt AS (SELECT id, at_ms FROM tk UNION SELECT id, from_ms FROM rn UNION SELECT id, expires_at FROM rn),
+  pr AS (SELECT pt.id, pt.at_ms, last_value(tk.rank IGNORE NULLS) OVER (PARTITION BY pt.id ORDER BY pt.at_ms ROWS UNBOUNDED PRECEDING) AS raw FROM pt LEFT JOIN tk ON tk.id = pt.id AND tk.at_ms = pt.at_ms),
+  po AS (SELECT pr.id, pr.at_ms, greatest(coalesce(raw, 0), coalesce(max(rn.rank), 0)) AS rank FROM pr LEFT JOIN rn ON rn.id = pr.id AND rn.from_ms <= pr.at_ms AND rn.expires_at > pr.at_ms GROUP BY pr.id, pr.at_ms, raw),
+  pe AS (SELECT *, CASE WHEN rank = 0 AND lag(rank) OVER w > 0 THEN at_ms END AS e, min(CASE WHEN rank > 0 THEN at_ms END) OVER (PARTITION BY id ORDER BY at_ms ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS again FROM po WINDOW w AS (PARTITION BY id ORDER BY at_ms)),
+  pl AS (SELECT id, at_ms, rank, last_value(e IGNORE NULLS) OVER (PARTITION BY id ORDER BY at_ms ROWS UNBOUNDED PRECEDING) AS s FROM pe),
+  pa AS (SELECT id, at_ms, rank, CASE WHEN rank = 2 THEN 'red' WHEN rank = 1 THEN 'orange' WHEN s IS NOT NULL AND at_ms - s < 300000 THEN 'green' END AS level FROM pl
+    UNION SELECT id, e + 300000, 0, NULL FROM pe WHERE e IS NOT NULL AND (again IS NULL OR again > e + 300000)),
+  pc AS (SELECT *, lag(rank, 1, 0) OVER w AS r, lag(level) OVER w AS l FROM pa WINDOW w AS (PARTITION BY id ORDER BY at_ms))
+SELECT 'level' AS what, id, at_ms, rank::INT AS rank, level FROM pc WHERE rank <> r OR level IS DISTINCT FROM l"""
+
+
+@query("stream_expiry", f"WITH {EV}, {BOXES}, {_ALERTS}, {_RUNS}, {_TICKS9}, {_BY_CLOCK} UNION ALL {_STALE}")
+def stream_expiry(spark, sf):
+    """Every end of an incident's news, and every change of a district's level, at its time, by timers where no row comes."""
+    updates = events(spark, sf).select(F.concat_ws("-", "event_type", "k").alias("id"), F.col("sec").alias("at"))
+    end = updates.agg((F.max("at") + 86400).alias("at"))
+    gone = _in_parts(updates, "at", "stream-expiry", timers.expiries, end.select(F.lit("clock").alias("id"), "at"))
+    rows = _district_ticks(spark, sf).withColumn("kind", F.lit("tick")).unionByName(_marks(spark, sf).select("id", "at_ms", F.when(F.col("is_impact"), 2).otherwise(1).alias("rank"), F.lit("mark").alias("kind")))
+    clock = end.select(F.lit("clock").alias("id"), (F.col("at") * 1000).alias("at_ms"), F.lit(0).alias("rank"), F.lit("tick").alias("kind"))
+    changed = _in_parts(rows, "at_ms", "stream-changes", timers.level_changes, clock)
+    return changed.select(F.lit("level").alias("what"), "id", "at_ms", "rank", "level").unionByName(gone.select(F.lit("expiry").alias("what"), "id", "at_ms", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("level")))
 
 
 @query("parse_messages")
@@ -625,10 +664,10 @@ def parse_messages(spark, sf):
     return out.select("id", "event_type", "weapon_type", "weapon_count", "filtered_out", "is_followup", "count_delta", F.round("confidence", 6).alias("confidence"), F.col("location.canonical_name").alias("location"), F.col("heading.canonical_name").alias("heading"))
 
 
-@query("parse_templates", """WITH e AS (SELECT event_id, event_id % 5 AS t, p.p_name AS p, q.p_name AS q FROM events JOIN part p ON p.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 97 JOIN part q ON q.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 89)
-SELECT event_id + 1 AS id, CASE t WHEN 2 THEN 'impact' WHEN 4 THEN NULL ELSE 'tracking' END AS event_type, CASE t WHEN 0 THEN 'shahed' WHEN 1 THEN 'bpla' WHEN 3 THEN 'bpla' ELSE 'unknown' END AS weapon_type, CASE t WHEN 1 THEN 2 ELSE 1 END AS weapon_count,
-  CASE t WHEN 2 THEN p WHEN 3 THEN p END AS location, CASE t WHEN 0 THEN p WHEN 1 THEN p WHEN 3 THEN q END AS heading, CASE t WHEN 1 THEN q END AS via, CASE t WHEN 0 THEN 0.6 WHEN 1 THEN 0.6 WHEN 2 THEN 0.4 WHEN 3 THEN 0.8 ELSE 0 END::DOUBLE AS confidence FROM e""")
-def parse_templates(spark, sf):
+_SAID = """e AS (SELECT event_id, event_id % 5 AS t, p.p_name AS p, q.p_name AS q FROM events JOIN part p ON p.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 97 JOIN part q ON q.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 89)"""
+
+
+def _said(spark, sf):
     """Messages of known form about every event, whose places are names of parts."""
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     least = part.agg(F.min("p_partkey").alias("least"))  # one row
@@ -636,22 +675,50 @@ def parse_templates(spark, sf):
     e = e.join(part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("p")), "a").join(part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("q")), "b")
     t, say = F.col("event_id") % 5, lambda *x: F.concat(*(F.col(c) if c in ("p", "q") else F.lit(c) for c in x))
     said = F.when(t == 0, say("Шахед курсом на ", "p")).when(t == 1, say("2 БпЛА через ", "q", " на ", "p")).when(t == 2, say("Взрывы в районе ", "p")).when(t == 3, say("Залетают на ", "p", ", ", "q")).otherwise(F.lit("что-то непонятное совсем без места тут"))
-    m = e.select((F.col("event_id") + 1).alias("id"), F.lit("c").alias("channel_name"), said.alias("text"), F.col("event_id").alias("timestamp"))
-    out = parse.parse(m, _gazetteer(spark, sf))
+    return e.select((F.col("event_id") + 1).alias("id"), F.lit("c").alias("channel_name"), said.alias("text"), F.col("event_id").alias("timestamp"))
+
+
+@query("parse_templates", f"""WITH {_SAID}
+SELECT event_id + 1 AS id, CASE t WHEN 2 THEN 'impact' WHEN 4 THEN NULL ELSE 'tracking' END AS event_type, CASE t WHEN 0 THEN 'shahed' WHEN 1 THEN 'bpla' WHEN 3 THEN 'bpla' ELSE 'unknown' END AS weapon_type, CASE t WHEN 1 THEN 2 ELSE 1 END AS weapon_count,
+  CASE t WHEN 2 THEN p WHEN 3 THEN p END AS location, CASE t WHEN 0 THEN p WHEN 1 THEN p WHEN 3 THEN q END AS heading, CASE t WHEN 1 THEN q END AS via, CASE t WHEN 0 THEN 0.6 WHEN 1 THEN 0.6 WHEN 2 THEN 0.4 WHEN 3 THEN 0.8 ELSE 0 END::DOUBLE AS confidence FROM e""")
+def parse_templates(spark, sf):
+    """Messages of known form, parsed."""
+    out = parse.parse(_said(spark, sf), _gazetteer(spark, sf))
     place = lambda c: F.col(f"{c}.canonical_name").alias(c)
     return out.select("id", "event_type", "weapon_type", "weapon_count", place("location"), place("heading"), place("via"), F.round("confidence", 6).alias("confidence"))
 
 
+_NEW = "CASE WHEN h AND {0} LIKE '%e%' THEN {0} || ' (moved)' ELSE {0} END"
+
+
+@query("stream_messages", f"""WITH {_SAID}, h AS (SELECT *, (event_id - min(event_id) OVER ()) * 4 // (max(event_id) OVER () - min(event_id) OVER () + 1) >= 2 AS h FROM e), n AS (SELECT event_id, t, h, {_NEW.format('p')} AS p, {_NEW.format('q')} AS q FROM h)
+SELECT event_id + 1 AS id, CASE WHEN h THEN 2 ELSE 1 END::BIGINT AS gazetteer_version, CASE t WHEN 2 THEN 'impact' WHEN 4 THEN NULL ELSE 'tracking' END AS event_type, CASE t WHEN 0 THEN 'shahed' WHEN 1 THEN 'bpla' WHEN 3 THEN 'bpla' ELSE 'unknown' END AS weapon_type,
+  CASE t WHEN 2 THEN p WHEN 3 THEN p END AS location, CASE t WHEN 0 THEN p WHEN 1 THEN p WHEN 3 THEN q END AS heading, CASE t WHEN 1 THEN q END AS via FROM n""")
+def stream_messages(spark, sf):
+    """Messages parsed as a stream of four parts; between the second and the third a new gazetteer renames some places."""
+    said, places, folder = _said(spark, sf), _gazetteer(spark, sf), shared_folder(spark, "stream-messages")
+    moved = places.withColumns({"aliases": F.array_append("aliases", F.col("canonical")), "canonical": F.when(F.contains("canonical", F.lit("e")), F.concat("canonical", F.lit(" (moved)"))).otherwise(F.col("canonical"))})
+    low, high = said.agg(F.min("timestamp"), F.max("timestamp")).first()  # one row
+    for k in range(4):
+        if k in (0, 2):
+            live.publish_gazetteer(moved if k else places, f"{folder}/gazetteer")
+        said.where(F.floor((F.col("timestamp") - low) * 4 / (high - low + 1)) == k).write.parquet(f"{folder}/in/{k}")
+        events = live.parse_stream(spark.readStream.schema(said.schema).parquet(f"{folder}/in/*"), f"{folder}/gazetteer", folder)
+    place = lambda c: F.col(f"{c}.canonical_name").alias(c)
+    return events.select("id", "gazetteer_version", "event_type", "weapon_type", place("location"), place("heading"), place("via"))
+
+
 _FALL = f"""ac AS (SELECT id, event_type, last_updated_at FROM inc WHERE status <> 'expired'), nw AS (SELECT event_type, arg_min(id, struct_pack(a := -last_updated_at, i := id)) AS id, max(last_updated_at) AS t FROM ac GROUP BY 1)
-SELECT event_id, coalesce(CASE WHEN value / 100 >= 0.35 THEN ac.id END, CASE WHEN sec - t <= 1200 THEN nw.id END) AS fallback FROM ev LEFT JOIN ac ON ac.id = ev.event_type || '-' || (ev.k % 7) LEFT JOIN nw ON nw.event_type = ev.event_type WHERE ev.k % 3 <> 0"""
+SELECT event_id, CASE WHEN ev.k % 3 > 0 THEN coalesce(CASE WHEN value / 100 >= 0.35 THEN ac.id END, CASE WHEN sec - t <= 1200 THEN nw.id END) END AS fallback FROM ev LEFT JOIN ac ON ac.id = ev.event_type || '-' || (ev.k % 7) LEFT JOIN nw ON nw.event_type = ev.event_type"""
 
 
 @query("incident_fallback", f"WITH {EV}, {INC}, {_FALL}")
 def incident_fallback(spark, sf):
-    """Events without a place take an incident's: the one that they continue, or the newest of their channel."""
+    """Events without a place take an incident's: the one that they continue, or the newest of their channel; a third have a place."""
     none = F.lit(None).cast("struct<lat: double, lng: double>")
-    e = events(spark, sf).where("k % 3 <> 0").select(
-        "event_id", F.col("event_type").alias("channel_name"), F.lit("tracking").alias("event_type"), F.col("sec").alias("timestamp"), none.alias("location"), none.alias("heading"), none.alias("via"),
+    own = F.when(F.col("k") % 3 == 0, F.struct("lat", "lng"))
+    e = events(spark, sf).select(
+        "event_id", F.col("event_type").alias("channel_name"), F.lit("tracking").alias("event_type"), F.col("sec").alias("timestamp"), own.alias("location"), none.alias("heading"), none.alias("via"),
         F.concat_ws("-", "event_type", (F.col("k") % 7).cast("string")).alias("continues_incident_id"), (F.col("value") / 100).alias("continuation_confidence"),
     )
     point = F.struct(F.lit(50.0).alias("lat"), F.lit(36.0).alias("lng"), F.lit("").alias("name"))
