@@ -62,7 +62,32 @@ def test_osa(a, b):
             d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
-    assert text.osa(a, b) == d[-1][-1] == text.osa(b, a)
+    assert text.osa(a, b) == d[-1][-1] == text.osa(b, a) == text.osa_bits(a, b) == text.osa_all([a, "x"], [b, "xy"])[0]
+
+
+def test_osa_of_long_words():
+    """In the bits of numbers, words of any length have the same distance, in batches too."""
+    rng = random.Random(2)
+    pairs = []
+    for n in [0, 1, 2, 20, 62, 63, 64, 65, 66, 130, 300] * 12:
+        a = [rng.choice("abщ\U0001f600") for _ in range(n)]
+        b = a[:]
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(3)] = rng.choice([[], ["a"], b[k : k + 2][::-1]])
+        pairs += [("".join(a), "".join(b)), ("".join(b), "".join(a))]
+    pairs += [("a\0", "a"), ("\0", ""), ("", "\0b")]
+    assert text.osa_all(*map(list, zip(*pairs, strict=True))).tolist() == [text.osa(*p) for p in pairs] == [text.osa_bits(*p) for p in pairs]
+
+
+def test_near_spellings_of_short_names(spark):
+    """Every pair of a name and an alias with at most two edits is found, short ones too."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(90)})
+    left = spark.createDataFrame([(w, w) for w in words[::2]], "raw string, norm string")
+    index = spark.createDataFrame([(w, w) for w in words[1::2]], "alias string, canonical string")
+    got = {(r.norm, r.alias, r.d) for r in resolve.near_spellings(left, index).collect()}
+    assert got == {(x, y, d) for x in words[::2] for y in words[1::2] if (d := text.osa(x, y)) <= 2}
 
 
 def test_parse(spark, gazetteer):

@@ -1,5 +1,6 @@
 """Streams against their batch forms: over several parts, with state read back, and ends by timers."""
 
+import hashlib
 import random
 from pathlib import Path
 
@@ -120,3 +121,49 @@ def test_messages_to_incidents(spark):
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events/*")
     by_stream = jobs.drained(timers.correlated(live.correlator_rows(stream)), f"{folder}/incidents").collect()
     assert {(d.seq, d.action, d.incident.id) for d in by_stream} == {(d.seq, d.action, d.incident.id) for d in decided}
+
+
+def whole_fold(rows, settings=None):
+    """Decisions of one fold over each scope's whole history."""
+    out = {}
+    for scope in {r["scope"] for r in rows}:
+        c = correlate.Correlator(settings or Settings())
+        some = sorted((r for r in rows if r["scope"] == scope), key=lambda r: (r["timestamp"], r["event_id"]))
+        out[scope] = [(k, d["event_id"], d["action"], d["reason"], d["incident"]["id"], d["incident"]["status"], len(d["incident"]["trajectory"]), d["best"]) for k, d in enumerate(c.run(some))]
+    return out
+
+
+@pytest.mark.parametrize("ttl", [None, 3000])
+def test_histories_cut_at_gaps(spark, ttl):
+    """Cut at gaps, folded apart and numbered, decisions are those of one fold; replies and links over cuts hold."""
+    rng, rows, settings = random.Random(5), [], Settings(impact_ttl=ttl) if ttl else Settings()
+    for scope in ("a", "b"):
+        t = 1_700_000_000
+        for k in range(220):
+            t += rng.choice([20, 90, 400, 1000, 1700, 1801, 2300, 6000, 40_000] if rng.random() < 0.5 else [10, 60])
+            of = f"{scope}{k}"
+            more = {"reply_to": rng.randrange(k)} if k and rng.random() < 0.15 else {}
+            if k > 5 and rng.random() < 0.1:
+                more |= {"continues_incident_id": hashlib.sha256(f"incident:{scope}{rng.randrange(k)}".encode()).hexdigest()[:32], "continuation_confidence": 0.9}
+            kind = {"event_type": "impact"} if rng.random() < 0.4 else {}
+            rows.append({"scope": scope, **event(k, t, location=at(49 + rng.random(), 36 + rng.random()), channel=rng.choice("xy"), **kind, **more), "event_id": of})
+    df = spark.createDataFrame(rows, correlate.EVENT).repartition(5)
+    got = {}
+    for r in correlate.correlate(df, settings).orderBy("scope", "seq").collect():
+        got.setdefault(r.scope, []).append((r.seq, r.event_id, r.action, r.reason, r.incident.id, r.incident.status, len(r.incident.trajectory), r.best))
+    want = whole_fold(rows, settings)
+    assert got == want
+    reasons = {(r[3]) for rows_ in want.values() for r in rows_}
+    assert {"reply_link", "llm_link", "stale"} <= reasons
+    cut = correlate.segmented(df, settings)
+    assert cut.select("scope", "segment").distinct().count() > 20 and cut.count() == len(rows)
+
+
+def test_cuts_are_silent(spark):
+    """Between two segments of a scope there is at least the reach of silence, and each scope has one last segment."""
+    cut = correlate.segmented(queries.correlator_events(spark, SF)).select("scope", "segment", "final", "timestamp").collect()
+    for scope in {r.scope for r in cut}:
+        rows = sorted((r.timestamp, r.segment, r.final) for r in cut if r.scope == scope)
+        for (t, s, _), (u, z, _) in zip(rows, rows[1:], strict=False):
+            assert s == z or (z == s + 1 and u - t > correlate.reach(Settings()))
+        assert all(f == (s == rows[-1][1]) for _, s, f in rows)

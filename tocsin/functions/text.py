@@ -107,16 +107,68 @@ def osa(a: str, b: str) -> int:
     return last[-1]
 
 
+def osa_bits(a: str, b: str) -> int:
+    """osa with a column of the table in the bits of one number."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, diagonal, before, out = full, 0, 0, 0, len(a)
+    for y in b:
+        here = where.get(y, 0)
+        swap = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & more) + more) ^ more) | here | less | swap) & full
+        right, left = less | (full & ~(diagonal | more)), diagonal & more
+        out += bool(right & top) - bool(left & top)
+        right, left = (right << 1 | 1) & full, (left << 1) & full
+        more, less, before = left | (full & ~(diagonal | right)), right & diagonal, here
+    return out
+
+
+def _letters(words: list[str], size: int) -> np.ndarray:
+    """Code points (word, letter), zero beyond a word's end."""
+    return np.array(words, f"<U{size}").view("<u4").reshape(len(words), size)
+
+
+def osa_all(a: list[str], b: list[str]) -> np.ndarray:
+    """osa of pairs: all of a batch at once by 64-bit numbers, where the shorter word fits into one; the others by ``osa_bits``."""
+    out = np.zeros(len(a), np.int32)
+    na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    swapped = na > nb
+    short = [y if s else x for x, y, s in zip(a, b, swapped.tolist(), strict=True)]
+    long = [x if s else y for x, y, s in zip(a, b, swapped.tolist(), strict=True)]
+    ns, nl = np.minimum(na, nb), np.maximum(na, nb)
+    fits = (ns > 0) & (ns <= 64) & (nl <= 256) & np.array(["\0" not in x and "\0" not in y for x, y in zip(a, b, strict=True)], bool)
+    for k in np.flatnonzero(~fits).tolist():
+        out[k] = osa_bits(short[k], long[k])
+    rows = np.flatnonzero(fits)
+    if not len(rows):
+        return out
+    ns, nl = ns[rows], nl[rows]
+    x, y = _letters([short[k] for k in rows.tolist()], int(ns.max())), _letters([long[k] for k in rows.tolist()], int(nl.max()))
+    one = np.uint64(1)
+    top = one << (ns - 1).astype(np.uint64)
+    full = top | (top - one)
+    more, less, diagonal, before, found = full.copy(), *(np.zeros(len(rows), np.uint64) for _ in range(3)), ns.copy()
+    for j in range(y.shape[1]):
+        here = np.zeros(len(rows), np.uint64)
+        for i in range(x.shape[1]):
+            here |= (x[:, i] == y[:, j]).astype(np.uint64) << np.uint64(i)
+        here &= full
+        swap = ((~diagonal & here) << one) & before
+        diagonal = ((((here & more) + more) ^ more) | here | less | swap) & full
+        right, left = less | (full & ~(diagonal | more)), diagonal & more
+        found += np.where(j < nl, ((right & top) != 0).astype(np.int64) - ((left & top) != 0), 0)
+        right, left = (right << one | one) & full, (left << one) & full
+        more, less, before = left | (full & ~(diagonal | right)), right & diagonal, here
+    out[rows] = found
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
 def osa_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """osa over columns; equal pairs are computed once."""
-    known: dict[tuple[str, str], int] = {}
+    """osa over columns, a batch at once."""
     for a, b in pairs:
-        out = np.zeros(len(a), np.int32)
-        for k, p in enumerate(zip(a, b, strict=True)):
-            if p not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[p] = osa(*p)
-            out[k] = known[p]
-        yield pd.Series(out)
+        yield pd.Series(osa_all(a.tolist(), b.tolist()))

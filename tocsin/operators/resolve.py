@@ -54,12 +54,16 @@ def _piece(x: Column, size: Column, k: Column, shift: Column) -> Column:
 def near_spellings(left: DataFrame, index: DataFrame) -> DataFrame:
     """Pairs of names (norm) and entries (alias) with at most EDITS edits between them, and their number ``d``.
 
-    An edit is in one piece of the alias or at the border of two, so one of five pieces
-    is whole and is found in the name, moved by two letters at most.
+    An edit is in one piece of the alias or at the border of two, so one of five pieces is whole and is found in the
+    name, moved by two letters at most. An alias of fewer letters than pieces is found by a letter that it shares, as two
+    edits leave one unless both words have two letters at most; such pairs are all near.
     """
     alias, norm = F.col("alias"), F.col("norm")
-    keys = lambda size, shifts, x: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.transform(shifts, lambda s: F.struct(size.alias("size"), k.alias("k"), _piece(x, size, k, s).alias("piece")))))
-    own = index.select("*", F.explode(keys(F.length(alias), F.array(F.lit(0)), alias)).alias("key"))
+    key = lambda size, k, piece: F.struct(size.cast("int").alias("size"), k.cast("bigint").alias("k"), piece.alias("piece"))
+    pieces = lambda size, shifts, x: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.transform(shifts, lambda s: key(size, k, _piece(x, size, k, s)))))
+    shared = lambda size, x: F.concat(F.transform(F.array_distinct(F.split(x, "")), lambda c: key(size, F.lit(-1), c)), F.when((F.length(x) <= EDITS) & (size <= EDITS), F.array(key(size, F.lit(-2), F.lit("")))).otherwise(F.slice(F.array(key(size, F.lit(-2), F.lit(""))), 1, 0)))
+    keys = lambda size, shifts, x: F.when(size >= PIECES, pieces(size, shifts, x)).otherwise(shared(size, x))
+    own = index.where(F.length(alias) > 0).select("*", F.explode(keys(F.length(alias), F.array(F.lit(0)), alias)).alias("key"))
     sizes = F.sequence(F.greatest(F.length(norm) - EDITS, F.lit(1)), F.length(norm) + EDITS)
     asked = F.filter(F.array_distinct(F.flatten(F.transform(sizes, lambda size: keys(size, F.sequence(F.lit(-EDITS), F.lit(EDITS)), norm)))), lambda x: x["piece"].isNotNull())
     met = left.select("*", F.explode(asked).alias("key")).join(own, "key").drop("key").where(F.levenshtein("norm", "alias", 2 * EDITS) >= 0)
