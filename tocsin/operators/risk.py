@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions import geo
+from tocsin.operators.scan import last_before, running_sums
 from tocsin.plans.settings import DISTRICT_NAMES, Settings
 
 LEVELS = {2: "red", 1: "orange"}
+#: Milliseconds, and changes, of a district's history that are one task's work.
+SLOT_MS, SLOT_CHANGES = 3_600_000, 1 << 16
 
 
 def level_name(rank: Column) -> Column:
@@ -123,9 +126,9 @@ def override_runs(marks: DataFrame, s: Settings = Settings()) -> DataFrame:
     A mark that comes before the last one's end goes on with its run, which ends a lifetime
     after its last mark; later marks begin anew. Red in a run stays to its end.
     """
-    w = Window.partitionBy("id").orderBy("at_ms")
-    begins = F.coalesce(F.col("at_ms") - F.lag("at_ms").over(w) >= s.override_ms, F.lit(True))
-    runs = marks.groupBy("id", "at_ms").agg(F.max(F.when(F.col("is_impact"), 2).otherwise(1)).alias("mark")).withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(w))
+    marked = marks.groupBy("id", "at_ms").agg(F.max(F.when(F.col("is_impact"), 2).otherwise(1)).alias("mark"))
+    begins = F.coalesce(F.col("at_ms") - F.col("before") >= s.override_ms, F.lit(True))
+    runs = running_sums(last_before(marked, "id", "at_ms", F.col("at_ms"), "before", SLOT_MS).withColumn("run", begins.cast("int")), "id", "at_ms", ("run",), SLOT_MS)
     # orange before the first red of a run isn't red yet, so a run with both is two rows
     red_at = F.min(F.when(F.col("mark") == 2, F.col("at_ms")))
     per = runs.groupBy("id", "run").agg(F.min("at_ms").alias("from_ms"), (F.max("at_ms") + s.override_ms).alias("end_ms"), red_at.alias("red_ms"))
@@ -136,8 +139,7 @@ def override_runs(marks: DataFrame, s: Settings = Settings()) -> DataFrame:
 def overridden(ticks: DataFrame, runs: DataFrame) -> DataFrame:
     """Ticks (id, at_ms, rank) with the override that holds at their time: the last one begun, if it hasn't ended."""
     both = ticks.select("id", "at_ms", "rank", F.lit(None).cast("struct<rank: int, expires_at: bigint>").alias("o")).unionByName(runs.select("id", F.col("from_ms").alias("at_ms"), F.lit(None).cast("int").alias("rank"), F.struct("rank", "expires_at").alias("o")))
-    last = F.last("o", True).over(Window.partitionBy("id").orderBy("at_ms", F.col("rank").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
-    held = both.withColumn("o", last).where("rank IS NOT NULL")
+    held = last_before(both, "id", "at_ms", F.col("o"), "o", SLOT_MS, (F.col("rank").isNotNull(),), inclusive=True).where("rank IS NOT NULL")
     return held.select("id", "at_ms", F.greatest("rank", F.when(F.col("o.expires_at") > F.col("at_ms"), F.col("o.rank"))).alias("rank"))
 
 
@@ -157,9 +159,9 @@ def levels_over(versions: DataFrame, contributions: DataFrame) -> DataFrame:
     of = contributions.where("rank > 0").join(until, ["incident_id", "seq"])
     step = lambda at, sign: of.select("id", F.col(at).alias("seq"), F.when(F.col("rank") == 2, sign).otherwise(0).alias("red"), F.when(F.col("rank") == 1, sign).otherwise(0).alias("orange"))
     steps = step("seq", 1).unionByName(step("until", -1).where("seq IS NOT NULL")).groupBy("id", "seq").agg(F.sum("red").alias("red"), F.sum("orange").alias("orange"))
-    w = Window.partitionBy("id").orderBy("seq")
-    ranked = steps.select("id", "seq", F.when(F.sum("red").over(w) > 0, 2).when(F.sum("orange").over(w) > 0, 1).otherwise(0).alias("rank"))
-    return ranked.withColumn("before", F.coalesce(F.lag("rank").over(w), F.lit(0))).where("rank <> before").drop("before")
+    sums = running_sums(steps, "id", "seq", ("red", "orange"), SLOT_CHANGES)
+    ranked = sums.select("id", "seq", F.when(F.col("red") > 0, 2).when(F.col("orange") > 0, 1).otherwise(0).alias("rank"))
+    return last_before(ranked, "id", "seq", F.col("rank"), "before", SLOT_CHANGES).where(F.col("rank") != F.coalesce("before", F.lit(0))).drop("before")
 
 
 def risk_changes(changes: DataFrame, districts: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -173,16 +175,14 @@ def risk_changes(changes: DataFrame, districts: DataFrame, s: Settings = Setting
 def cooled(ticks: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Levels over ticks (id, at_ms, rank): red, orange, green for a while after a threat ends, else null.
 
-    Needs only each district's own history: the last tick with a threat, and the first
-    one after it, which is when the threat ended.
+    A district's history is scanned by slots: the last tick with a threat, and the first one after it, which is when the
+    threat ended.
     """
-    w = Window.partitionBy("id").orderBy("at_ms")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.lag("rank").over(w)
-    marked = ticks.withColumn("ended", F.when((F.col("rank") == 0) & (prev > 0), F.col("at_ms")))
-    ended = F.coalesce(F.col("ended"), F.last("ended", True).over(before))
+    ranked = last_before(ticks, "id", "at_ms", F.col("rank"), "prev", SLOT_MS)
+    marked = ranked.withColumn("ended", F.when((F.col("rank") == 0) & (F.col("prev") > 0), F.col("at_ms")))
+    since = last_before(marked, "id", "at_ms", F.col("ended"), "since", SLOT_MS, inclusive=True)
     green = (F.col("rank") == 0) & F.col("since").isNotNull() & (F.col("at_ms") - F.col("since") < s.cooldown_ms)
-    return marked.withColumn("since", ended).select("id", "at_ms", "rank", F.coalesce(level_name(F.col("rank")), F.when(green, "green")).alias("level"))
+    return since.select("id", "at_ms", "rank", F.coalesce(level_name(F.col("rank")), F.when(green, "green")).alias("level"))
 
 
 def displayed(levels: DataFrame, static: DataFrame) -> DataFrame:
