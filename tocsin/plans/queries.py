@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tocsin.functions import geo, text
 from tocsin.operators import correlate, lexicon, parse, resolve, risk, serve
 from tocsin.plans.settings import OTHER_NOTE, SPEED_KMH, THREAT_NOTES, TRACKED
-from tocsin.sources import readers
+from tocsin.sources import channels, readers
 from tocsin.sources.shared import shared_folder
 from tocsin.streaming import jobs, live, timers
 
@@ -524,9 +524,12 @@ def displayed_levels(spark, sf):
 
 @query("changelog_to_snapshot", f"WITH {EV}, c AS (SELECT event_id AS seq, event_type || '-' || k AS id, CASE WHEN event_id % 5 = 0 THEN 'expire' ELSE 'update' END AS op FROM ev), l AS (SELECT id, max(seq) AS seq, arg_max(op, seq) AS op FROM c GROUP BY 1) SELECT id, seq FROM l WHERE op <> 'expire'")
 def changelog_to_snapshot(spark, sf):
+    return readers.applied(_changes(spark, sf)).select("id", "seq")
+
+
+def _changes(spark, sf):
     e = events(spark, sf)
-    changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "expire").otherwise("update").alias("op"), F.concat_ws("-", "event_type", "k").alias("id"), F.to_json(F.struct("lat", "lng")).alias("payload"))
-    return readers.applied(changes).select("id", "seq")
+    return e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "expire").otherwise("update").alias("op"), F.concat_ws("-", "event_type", "k").alias("id"), F.to_json(F.struct("lat", "lng")).alias("payload"))
 
 
 @query("set_difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
@@ -656,6 +659,60 @@ def stream_expiry(spark, sf):
     return changed.select(F.lit("level").alias("what"), "id", "at_ms", "rank", "level").unionByName(gone.select(F.lit("expiry").alias("what"), "id", "at_ms", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("level")))
 
 
+@query("late_rows", f"WITH {EV}, p AS (SELECT *, event_id % 4 AS part FROM ev), m AS (SELECT part, max(sec) AS newest FROM p GROUP BY 1), w AS (SELECT a.part, max(b.newest) - 864000 AS mark FROM m a LEFT JOIN m b ON b.part < a.part GROUP BY 1) SELECT event_id, sec, CASE WHEN sec < mark THEN mark - sec END AS lateness FROM p JOIN w USING (part)")
+def late_rows(spark, sf):
+    """Events that come in four parts, each from all times: those ten days and more behind the newest are put aside with their lateness."""
+    rows, folder = events(spark, sf).select("event_id", "sec"), shared_folder(spark, "late-rows")
+    for k in range(4):
+        rows.where(F.col("event_id") % 4 == k).write.parquet(f"{folder}/in/{k}")
+        in_time, late = live.split_late(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*"), "sec", 864_000, folder)
+    return in_time.withColumn("lateness", F.lit(None).cast("bigint")).unionByName(late)
+
+
+@query("poll_channels", f"WITH {EV} SELECT event_type AS channel_name, event_id AS telegram_id, 'value ' || k AS text, sec AS timestamp FROM ev")
+def poll_channels(spark, sf):
+    """Messages of channels, two blocks of each in a batch, by a query that is stopped, and goes on when there is more."""
+    spark.dataSource.register(channels.ChannelMessages)
+    folder = shared_folder(spark, "poll-channels")
+    e = events(spark, sf).select(F.col("event_type").alias("channel_name"), F.col("event_id").alias("telegram_id"), F.concat(F.lit("value "), F.col("k").cast("string")).alias("text"), F.col("sec").alias("timestamp"))
+    low, high = e.agg(F.min("telegram_id"), F.max("telegram_id")).first()  # one row
+    size = (high - low) // 12 + 1
+    middle = (low // size + 7) * size
+    for part in (e.where(F.col("telegram_id") < middle), e.where(F.col("telegram_id") >= middle)):
+        channels.write_blocks(part, f"{folder}/in", size)
+        stream = spark.readStream.format("channel_messages").option("path", f"{folder}/in").option("progress", f"{folder}/progress").option("limit", 2).load()
+        q = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@query("publish_changes", ORACLE_SQL["changelog_to_snapshot"].replace("SELECT id, seq FROM l", "SELECT id, seq, 1::BIGINT AS copies FROM l"))
+def publish_changes(spark, sf):
+    """What a published changelog leaves, with one batch published again after it was undone, and a snapshot in between."""
+    changes = _changes(spark, sf).select(F.col("seq"), "op", "id", "payload")
+    folder = shared_folder(spark, "publish-changes")
+    low, high = changes.agg(F.min("seq"), F.max("seq")).first()  # one row
+    number = F.floor((F.col("seq") - low) * 3 / (high - low + 1))
+    for k in range(3):
+        changes.where(number == k).write.parquet(f"{folder}/in/{k}")
+        for again in (False, True):  # as if the query had been killed after it published, before it was known
+            if again:
+                channels.forget_commit(f"{folder}/checkpoint")
+            q = channels.publishing(spark.readStream.schema(changes.schema).parquet(f"{folder}/in/*"), f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            try:
+                q.awaitTermination(300)
+            finally:
+                q.stop()
+        if k == 1:
+            channels.compacted(spark, f"{folder}/out")
+    out = channels.published(spark, f"{folder}/out")
+    copies = out.groupBy("seq").agg(F.count("*").alias("copies"))
+    return readers.applied(out).select("id", "seq").join(copies, "seq").select("id", "seq", "copies")
+
+
 @query("parse_messages")
 def parse_messages(spark, sf):
     """Whole texts of documents as messages, with names of parts as places."""

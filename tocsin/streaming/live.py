@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tocsin.operators import parse
 from tocsin.plans.settings import TRACKED, Settings
@@ -90,3 +91,35 @@ def correlator_rows(events: DataFrame, scope: Column | None = None) -> DataFrame
         (F.lit("all") if scope is None else scope).alias("scope"), "event_id", F.col("id").alias("message_id"), optional("reply_to", "bigint"), F.col("channel_name").alias("channel"), "timestamp", "event_type", "weapon_type", "weapon_count",
         "confidence", place("location"), place("via"), place("heading"), "is_correction", "is_followup", "count_delta", "phrase_intents", optional("continues_incident_id", "string"), optional("continuation_confidence", "double"),
     )
+
+
+LATENESS = "batch bigint, newest bigint"
+
+
+def split_late(rows: DataFrame, at: str, late: int, folder: str, timeout: int = 600) -> tuple[DataFrame, DataFrame]:
+    """What a stream has now, as rows in time and rows too late, by batch; a later call goes on. Gives all of both so far.
+
+    A batch's watermark is the newest time (column ``at``, seconds) of all batches before it, less ``late``. Rows behind it,
+    which an operator with state would drop, get ``lateness``, by how many seconds they are. Each batch's newest time is
+    written down once it is split, so a batch that is tried again is split in the same way.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+
+    def each(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        newest_before = _known(session, f"{folder}/newest", LATENESS).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        mark = F.lit(None).cast("bigint") if newest_before is None else F.lit(newest_before - late)
+        behind = F.coalesce(F.col(at) < mark, F.lit(False))
+        batch.where(~behind).write.mode("overwrite").parquet(f"{folder}/in-time/{number}")
+        batch.where(behind).withColumn("lateness", mark - F.col(at)).write.mode("overwrite").parquet(f"{folder}/late/{number}")
+        latest = batch.agg(F.max(at)).first()[0]
+        if latest is not None and not _known(session, f"{folder}/newest", LATENESS).where(F.col("batch") == number).count():
+            session.createDataFrame([(number, int(latest))], LATENESS).coalesce(1).write.mode("append").parquet(f"{folder}/newest")
+
+    q = rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        if not q.awaitTermination(timeout):
+            raise TimeoutError("the stream didn't end")
+    finally:
+        q.stop()
+    return spark.read.schema(schema).parquet(f"{folder}/in-time/*"), spark.read.schema(T.StructType([*schema.fields, T.StructField("lateness", T.LongType())])).parquet(f"{folder}/late/*")
