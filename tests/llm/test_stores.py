@@ -43,6 +43,30 @@ def test_store(tmp_path):
         store.find(keys)
 
 
+def test_more_buckets_than_are_mapped(tmp_path, monkeypatch):
+    """Of a store with more buckets than a worker maps, a batch opens only those beyond; other stores give way."""
+    opens = []
+    monkeypatch.setattr(hashstore, "MAPPED", 96)
+    monkeypatch.setattr(hashstore, "fetched", lambda uri: opens.append(uri) or uri)
+    monkeypatch.setattr(hashstore, "_MAPPED", {})
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64, 5000, np.uint64))
+    stores = []
+    for name in "ab":
+        (tmp_path / name).mkdir()
+        store = hashstore.Store(str(tmp_path / name), 7)
+        bucket = (keys >> np.uint64(57)).astype(np.int64)
+        for b in range(128):
+            store.write(b, keys[bucket == b], [np.flatnonzero(bucket == b).astype(np.uint64)])
+        stores.append(store.sealed(range(128)))
+    for store in (*stores, stores[0]):
+        for want in (128, 32, 32):
+            opens.clear()
+            place, (value,), _ = store.find(keys)
+            assert len(opens) == want and (value == np.arange(len(keys))).all() and (place >= 0).all()
+    assert len(hashstore._MAPPED) == 96
+
+
 @pytest.mark.parametrize("bits", [6, 9, 16])
 def test_pairs(bits):
     """Pairs of ids, also of more than 32 bits, are one to one with bucket and key."""

@@ -24,8 +24,8 @@ from .common import fetched, own_memory, put_file
 MEMO = 500_000
 #: Bits that tell buckets apart: at least, and at most, so that runs don't grow with the square of the input.
 LEAST_BITS, MOST_BITS = 6, 16
-#: Buckets that a worker keeps mapped.
-MAPPED = 4096
+#: Buckets that a worker keeps mapped; those of a store beyond that are mapped for one look-up.
+MAPPED = 16_384
 RUNS = "bucket int, kind int, run binary"
 _RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("run", pa.binary())])
 
@@ -178,15 +178,17 @@ class Store:
     def read(self, bucket: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """A bucket's mapped arrays; a bucket that wasn't written has empty ones, one whose file is gone is an error."""
         key = (self.folder, bucket)
-        if key not in _MAPPED:
-            if len(_MAPPED) > MAPPED:
-                _MAPPED.pop(next(iter(_MAPPED)))
-            if not self.full[bucket >> 3] >> (7 - bucket % 8) & 1:
-                _MAPPED[key] = np.empty(0, np.uint64), [np.empty(0, np.uint64)] * self.columns
-            else:
-                keys, *columns = unpacked(np.memmap(fetched(self._uri(bucket)), np.uint8, "r").view(np.ndarray))
-                _MAPPED[key] = keys, columns
-        return _MAPPED[key]
+        if (found := _MAPPED.get(key)) is not None:
+            return found
+        if not self.full[bucket >> 3] >> (7 - bucket % 8) & 1:
+            return np.empty(0, np.uint64), [np.empty(0, np.uint64)] * self.columns
+        keys, *columns = unpacked(np.memmap(fetched(self._uri(bucket)), np.uint8, "r").view(np.ndarray))
+        if len(_MAPPED) >= MAPPED:
+            for other in [k for k in _MAPPED if k[0] != self.folder]:  # other stores give way
+                del _MAPPED[other]
+        if len(_MAPPED) < MAPPED:  # look-ups go over all buckets again and again, so what is mapped stays: to drop any would be to drop what comes next
+            _MAPPED[key] = keys, columns
+        return keys, columns
 
     def find(self, keys: np.ndarray, buckets: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """For each key: where it stands in its bucket (-1: nowhere), its values (0), and its bucket.
