@@ -249,11 +249,14 @@ class Model:
 
     def _read(self, bucket: int) -> list[np.ndarray]:
         uri = _array_uri(self.folder, bucket)
-        if uri not in _ARRAYS:
-            if len(_ARRAYS) > MAPPED:
-                _ARRAYS.pop(next(iter(_ARRAYS)))
-            _ARRAYS[uri] = unpacked(np.memmap(fetched(uri), np.uint8, "r").view(np.ndarray))
-        return _ARRAYS[uri]
+        if (found := _ARRAYS.get(uri)) is None:
+            found = unpacked(np.memmap(fetched(uri), np.uint8, "r").view(np.ndarray))
+            if len(_ARRAYS) >= MAPPED:
+                for other in [u for u in _ARRAYS if not u.startswith(f"{self.folder}/")]:  # other models give way; what is mapped stays, as in a store
+                    del _ARRAYS[other]
+            if len(_ARRAYS) < MAPPED:
+                _ARRAYS[uri] = found
+        return found
 
     def _by_id(self, ids: np.ndarray, columns: slice) -> list[np.ndarray]:
         """Values of distinct ascending ids; unknown: 0."""
