@@ -225,18 +225,25 @@ MODEL_SCHEMA = "event_type string, weapon_type string, weapon_count int, locatio
 def model_events(answers: DataFrame, active: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Events out of a model's JSON ``answer``: fences stripped, values checked, links kept only to active incidents.
 
-    ``reason`` names what is wrong with an answer that can't be used.
+    ``reason`` names what is wrong with an answer that can't be used: empty, invalid_json, or invalid_schema, which is JSON
+    with a field of another type, without its event type or weapon, or with a value out of its range. A missing
+    value, or null, is the default: a confidence of 0.5, one weapon, no change.
     """
     body = F.regexp_replace(F.trim("answer"), "^```(?:json)?\\s*|\\s*```$", "")
-    e = answers.withColumn("e", F.from_json(body, MODEL_SCHEMA))
-    weapons = F.col("e.weapon_type").isin(*WEAPON_ALIASES, "iskander", "unknown")
-    reason = F.when(F.col("answer").isNull() | (F.trim("answer") == ""), "empty").when(F.col("e").isNull() | F.col("e.event_type").isNull(), "invalid_json").when(~F.col("e.event_type").isin("tracking", "impact", "correction", "all_clear") | ~weapons | ~F.col("e.confidence").between(0, 1), "invalid_schema")
+    read = F.from_json(body, f"{MODEL_SCHEMA}, _other string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_other"})
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")  # a parser stops at the end of a value; within brackets nothing may follow it
+    e = answers.withColumns({"e": read, "_json": F.coalesce(F.size(alone) == 1, F.lit(False))})
+    of = lambda c: F.col(f"e.{c}")
+    within = lambda c, low, high: F.coalesce(of(c).between(low, high), F.lit(True))
+    fits = of("_other").isNull() & of("event_type").isin("tracking", "impact", "correction", "all_clear") & of("weapon_type").isin(*WEAPON_ALIASES, "iskander", "unknown")
+    fits = fits & within("confidence", 0, 1) & within("continuation_confidence", 0, 1) & within("weapon_count", 0, 1 << 30) & within("count_delta", 0, 1 << 30)
+    reason = F.when(F.col("answer").isNull() | (F.trim("answer") == ""), "empty").when(~F.col("_json"), "invalid_json").when(~F.coalesce(fits, F.lit(False)), "invalid_schema")
     ids = active.select(F.col("id").alias("continues_incident_id"), F.lit(True).alias("live")).distinct()
-    out = e.withColumn("reason", reason).select(*[c for c in answers.columns if c != "answer"], "reason", "e.*").join(ids, "continues_incident_id", "left")
+    out = e.withColumn("reason", reason).select(*[c for c in answers.columns if c != "answer"], "reason", "e.*").drop("_other").join(ids, "continues_incident_id", "left")
     linked = F.coalesce("live", F.lit(False))
     return out.withColumns({
         "continues_incident_id": F.when(linked, F.col("continues_incident_id")), "continuation_confidence": F.when(linked, F.coalesce("continuation_confidence", F.lit(0.0))).otherwise(0.0),
-        "weapon_count": F.greatest(F.coalesce("weapon_count", F.lit(1)), F.lit(1)), "count_delta": F.coalesce("count_delta", F.lit(0)), "confidence": F.col("confidence") * 0.9,
+        "weapon_count": F.greatest(F.coalesce("weapon_count", F.lit(1)), F.lit(1)), "count_delta": F.coalesce("count_delta", F.lit(0)), "confidence": F.coalesce("confidence", F.lit(0.5)) * 0.9,
         **{f: F.coalesce(f, F.lit(False)) for f in ("is_preliminary", "is_correction", "is_followup")},
     }).drop("live")
 

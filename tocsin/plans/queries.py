@@ -724,7 +724,7 @@ def parse_messages(spark, sf):
 _SAID = """e AS (SELECT event_id, event_id % 5 AS t, p.p_name AS p, q.p_name AS q FROM events JOIN part p ON p.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 97 JOIN part q ON q.p_partkey = (SELECT min(p_partkey) FROM part) + event_id % 89)"""
 
 
-def _said(spark, sf):
+def _said(spark, sf, pairs=False):
     """Messages of known form about every event, whose places are names of parts."""
     part = table(spark, sf, "part").select("p_partkey", "p_name")
     least = part.agg(F.min("p_partkey").alias("least"))  # one row
@@ -732,7 +732,7 @@ def _said(spark, sf):
     e = e.join(part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("p")), "a").join(part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("q")), "b")
     t, say = F.col("event_id") % 5, lambda *x: F.concat(*(F.col(c) if c in ("p", "q") else F.lit(c) for c in x))
     said = F.when(t == 0, say("Шахед курсом на ", "p")).when(t == 1, say("2 БпЛА через ", "q", " на ", "p")).when(t == 2, say("Взрывы в районе ", "p")).when(t == 3, say("Залетают на ", "p", ", ", "q")).otherwise(F.lit("что-то непонятное совсем без места тут"))
-    return e.select((F.col("event_id") + 1).alias("id"), F.lit("c").alias("channel_name"), said.alias("text"), F.col("event_id").alias("timestamp"))
+    return e.select((F.col("event_id") + 1).alias("id"), F.lit("c").alias("channel_name"), said.alias("text"), F.col("event_id").alias("timestamp"), *(["p", "q"] if pairs else []))
 
 
 @query("parse_templates", f"""WITH {_SAID}
@@ -783,6 +783,46 @@ def incident_fallback(spark, sf):
     return parse.incident_fallback(e, i).select("event_id", F.col("fallback.id").alias("fallback"))
 
 
+_ANSWERS = f"""WITH {EV}, {INC}, a AS (SELECT event_id, event_id % 11 AS t, event_type || '-' || (k % 7) AS link, CASE WHEN value / 500 > 1 THEN 1.0 ELSE value / 500 END AS c FROM ev),
+  r AS (SELECT *, CASE WHEN t IN (2, 3) THEN 'empty' WHEN t = 4 THEN 'invalid_json' WHEN t IN (5, 6, 7, 10) THEN 'invalid_schema' END AS reason FROM a)
+SELECT event_id, reason, CASE WHEN reason IS NULL THEN 'impact' END AS event_type, CASE WHEN reason IS NULL THEN CASE WHEN t = 8 THEN 1 ELSE 3 END END AS weapon_count, CASE WHEN reason IS NULL THEN round(CASE WHEN t = 9 THEN 0.5 ELSE c END * 0.9, 6) END AS confidence,
+  CASE WHEN reason IS NULL THEN inc.id END AS link, CASE WHEN reason IS NULL THEN CASE WHEN inc.id IS NULL THEN 0 ELSE 0.75 END END::DOUBLE AS link_confidence FROM r LEFT JOIN inc ON inc.id = r.link AND inc.status <> 'expired'"""
+
+
+@query("model_answers", _ANSWERS)
+def model_answers(spark, sf):
+    """A model's answers about all events: right ones, fenced ones, empty ones, broken JSON, other types, values out of range, missing values."""
+    t, e = F.col("event_id") % 11, events(spark, sf)
+    link, c = F.concat_ws("-", "event_type", (F.col("k") % 7).cast("string")), F.least(F.col("value") / 500, F.lit(1.0))
+    given = lambda count=F.lit(3), kind=F.lit("impact"), c=c: F.to_json(F.struct(kind.alias("event_type"), F.lit("bpla").alias("weapon_type"), count.alias("weapon_count"), c.alias("confidence"), link.alias("continues_incident_id"), F.lit(0.75).alias("continuation_confidence")))
+    none = F.lit(None)
+    answer = (
+        F.when(t == 0, given()).when(t == 1, F.concat(F.lit("```json\n"), given(), F.lit("\n```"))).when(t == 2, none.cast("string")).when(t == 3, "  ").when(t == 4, F.concat(given(), F.lit(", and so on")))
+        .when(t == 5, given(F.lit("many"))).when(t == 6, given(kind=F.lit("x"))).when(t == 7, given(c=F.lit(1.5))).when(t == 8, given(none.cast("int"))).when(t == 9, given(c=none.cast("double"))).otherwise(F.lit("[1, 2]"))
+    )
+    active = serve.active(incidents(spark, sf)).select("id")
+    out, good = parse.model_events(e.select("event_id", answer.alias("answer")), active), F.col("reason").isNull()
+    of = lambda c, name: F.when(good, c).alias(name)
+    return out.select("event_id", "reason", of(F.col("event_type"), "event_type"), of(F.col("weapon_count"), "weapon_count"), of(F.round("confidence", 6), "confidence"), of(F.col("continues_incident_id"), "link"), of(F.col("continuation_confidence"), "link_confidence"))
+
+
+@query("placed_answers", f"WITH {_SAID} SELECT event_id, CASE t WHEN 0 THEN p WHEN 2 THEN 'spot' WHEN 4 THEN p || ' / ' || q || ' (approach)' END AS location, CASE t WHEN 1 THEN p WHEN 4 THEN p || ' / ' || q END AS heading, CASE t WHEN 1 THEN q END AS via, CASE t WHEN 3 THEN 'tracking_without_geo' END AS reason FROM e WHERE p <> q")
+def placed_answers(spark, sf):
+    """A model's events with places by name, from an incident, of a pair in the text, and without any."""
+    m = _said(spark, sf, pairs=True).where("p <> q")
+    t, none = (F.col("id") - 1) % 5, F.lit(None).cast("string")
+    texts = F.when(t == 4, F.concat(F.lit("БпЛА на "), "p", F.lit("/"), "q")).otherwise(F.lit("нет"))
+    given = F.to_json(F.struct(
+        F.lit("tracking").alias("event_type"), F.lit("bpla").alias("weapon_type"), F.when(t == 0, F.col("p")).alias("location"), F.when(t == 1, F.col("p")).alias("heading"), F.when(t == 1, F.col("q")).alias("via"),
+        F.when(t == 2, "i1").otherwise(none).alias("continues_incident_id"), F.lit(0.9).alias("continuation_confidence"),
+    ))
+    point = F.struct(F.lit(50.0).alias("lat"), F.lit(36.0).alias("lng"), F.lit("spot").alias("name"))
+    active = spark.range(1).select(F.lit("i1").alias("id"), F.array(F.lit("elsewhere")).alias("source_channels"), F.lit(0).cast("bigint").alias("last_updated_at"), F.array(point).alias("trajectory"), F.when(F.lit(False), point).alias("heading"))
+    answers = parse.model_events(m.select("id", "channel_name", "timestamp", texts.alias("text"), given.alias("answer")), active.select("id"))
+    place = lambda c: F.col(f"{c}.canonical_name").alias(c)
+    return parse.placed_events(answers, _gazetteer(spark, sf), active).select((F.col("id") - 1).alias("event_id"), place("location"), place("heading"), place("via"), "reason")
+
+
 _MID = ("((lat0 + lat) / 2)", "((lng0 + lng) / 2)")
 _AP = _dest(*_MID, brg(*_MID, "50.42", "36.75"), f"least(14.0, greatest(6.0, {hav('lat0', 'lng0', 'lat', 'lng')} * 1.1))")
 
