@@ -233,7 +233,7 @@ def test_sources(spark, tmp_path):
     members = spark.createDataFrame([(1, 0, 10), (1, 1, 11)], "relation bigint, pos int, way bigint")
     ways = spark.createDataFrame([(10, 0, 1), (10, 1, 2), (11, 0, 1), (11, 1, 3), (11, 2, 2)], "way bigint, pos int, node bigint")
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0)], "node bigint, lng double, lat double")
-    assert [(p.lng, p.lat) for p in readers.ways_to_rings(members, ways, nodes).first().ring] == [(0, 0), (1, 0), (0, 1), (0, 0)]
+    assert [(p.lng, p.lat) for p in readers.ways_to_rings(members, ways, nodes).first().points] == [(0, 0), (1, 0), (0, 1), (0, 0)]
     c = spark.createDataFrame([(1, "new", "a", "1"), (2, "snapshot", "b", "2"), (3, "new", "c", "3"), (4, "expire", "c", ""), (5, "update", "b", "5")], readers.CHANGELOG)
     assert [tuple(r) for r in readers.applied(c).collect()] == [("b", 5, "5")]
     (tmp_path / "poll").mkdir()

@@ -659,6 +659,41 @@ def stream_expiry(spark, sf):
     return changed.select(F.lit("level").alias("what"), "id", "at_ms", "rank", "level").unionByName(gone.select(F.lit("expiry").alias("what"), "id", "at_ms", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("level")))
 
 
+# A part is a relation of one ring, or of a ring and a hole: of n ways each between two corners, with a node between; every other way runs backwards, and members are out of order.
+_WAYS = """r AS (SELECT p_partkey AS rel, h AS hole, (3 + p_partkey % 9 + h)::BIGINT AS n FROM part, (VALUES (0), (1)) t(h) WHERE h = 0 OR p_partkey % 2 = 0),
+  c AS (SELECT rel, hole, n, unnest(generate_series(0, 2 * n)) AS j FROM r), g AS (SELECT rel, hole, n, j, rel + 0.5 * (j % (2 * n)) + 100 * hole AS lng, (j % (2 * n)) * (j % 7 + 1) * 0.25 AS lat FROM c WHERE j < 2 * n)"""
+
+
+def _ways(spark, sf):
+    """Members, ways and nodes derived from parts."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("rel"))
+    r = p.withColumn("hole", F.explode(F.when(F.col("rel") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("n", (3 + F.col("rel") % 9 + F.col("hole")).cast("bigint"))
+    way = r.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    name = lambda x: (F.col("rel") * 1000 + F.col("hole") * 100 + x).cast("bigint")
+    pos = F.col("hole") * 50 + F.when(F.col("i") == 0, F.lit(0)).otherwise(F.col("n") - F.col("i"))
+    members = way.select(F.col("rel").alias("relation"), pos.alias("pos"), name(F.col("i")).alias("way"))
+    back = (F.col("i") > 0) & ((F.col("i") + F.col("rel")) % 2 == 1)
+    steps = way.withColumn("s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("j", (2 * F.col("i") + F.col("s")) % (2 * F.col("n")))
+    ways = steps.select(name(F.col("i")).alias("way"), F.when(back, 2 - F.col("s")).otherwise(F.col("s")).alias("pos"), name(F.col("j")).alias("node"))
+    j = F.col("j")
+    node = r.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n") - 1)))
+    return members, ways, node.select(name(j).alias("node"), (F.col("rel") + 0.5 * j + 100 * F.col("hole")).cast("double").alias("lng"), (j * (j % 7 + 1) * 0.25).cast("double").alias("lat"))
+
+
+@query("ways_rings", f"WITH {_WAYS} SELECT c.rel AS relation, (50 * c.hole)::BIGINT AS ring, c.n AS ways, string_agg(CAST(CAST(g.lng * 4 AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(g.lat * 4 AS BIGINT) AS VARCHAR), ',' ORDER BY c.j) AS points FROM c JOIN g ON g.rel = c.rel AND g.hole = c.hole AND g.j = c.j % (2 * c.n) GROUP BY 1, 2, 3")
+def ways_rings(spark, sf):
+    """Rings, and holes, out of ways that run in either direction."""
+    four = lambda x: (x * 4).cast("bigint").cast("string")
+    said = F.array_join(F.transform("points", lambda p: F.concat(four(p["lng"]), F.lit(" "), four(p["lat"]))), ",")
+    return readers.ways_to_rings(*_ways(spark, sf)).select("relation", "ring", F.col("ways").cast("bigint").alias("ways"), said.alias("points"))
+
+
+@query("ring_centroids", f"WITH {_WAYS} SELECT rel AS relation, (50 * hole)::BIGINT AS ring, round(avg(lng), 6)::DOUBLE AS lng, round(avg(lat), 6)::DOUBLE AS lat FROM g GROUP BY 1, 2")
+def ring_centroids(spark, sf):
+    c = geo.centroid(F.col("points"))
+    return readers.ways_to_rings(*_ways(spark, sf)).select("relation", "ring", F.round(c["lng"], 6).alias("lng"), F.round(c["lat"], 6).alias("lat"))
+
+
 @query("late_rows", f"WITH {EV}, p AS (SELECT *, event_id % 4 AS part FROM ev), m AS (SELECT part, max(sec) AS newest FROM p GROUP BY 1), w AS (SELECT a.part, max(b.newest) - 864000 AS mark FROM m a LEFT JOIN m b ON b.part < a.part GROUP BY 1) SELECT event_id, sec, CASE WHEN sec < mark THEN mark - sec END AS lateness FROM p JOIN w USING (part)")
 def late_rows(spark, sf):
     """Events that come in four parts, each from all times: those ten days and more behind the newest are put aside with their lateness."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+from tocsin.sources.shared import stored
+
 MESSAGES = "id bigint, telegram_id bigint, reply_to_telegram_id bigint, grouped_id bigint, channel_id bigint, channel_name string, text string, timestamp bigint, received_at bigint, processed int"
 CHANGELOG = "seq bigint, op string, id string, payload string"
 #: A lexicon file: five lists.
@@ -123,27 +125,45 @@ def rings(spark: SparkSession, path: str, ids: dict[str, str]) -> DataFrame:
 
 
 def ways_to_rings(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Closed rings of relations: their ways' nodes, joined end to end in the order of members.
-
-    members (relation, pos, way), ways (way, pos, node), nodes (node, lng, lat). A ring
-    has as many ways as its relation has members; each relation is one group.
+    """Closed rings (relation, ring, ways, points) of relations, by list ranking over the ends of ways.
+
+    members (relation, pos, way), ways (way, pos, node), nodes (node, lng, lat). Ways meet in the nodes at their ends,
+    whatever their direction; where more than two ends meet, they are paired in the order of members. Each way is an arc
+    in either direction, and an arc's successor goes on from the node where it ends; so each ring is two cycles, one a
+    direction. A cycle's smallest arc and each arc's distance to it are found by doubling: pointers go 1, 2, 4, ... arcs
+    on, so a ring of n ways takes as many rounds as n has binary digits, of joins by relation and arc. A ring goes in the
+    direction of its first member and begins there; ``ring`` is that member's pos. A relation may have several rings, holes
+    too; ways that close no ring are in none. A ring's points are one row.
     """
-    points = ways.join(nodes, "node").groupBy("way").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("line"))
-    lines = members.join(points, "way").groupBy("relation").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda m: m["line"]).alias("lines"))
-
-    @F.udf("array<struct<lng: double, lat: double>>")
-    def merge(parts):
-        left = [[tuple(p) for p in x] for x in parts if x]
-        ring = left.pop(0) if left else []
-        while left:
-            k = next((k for k, x in enumerate(left) if ring[-1] in (x[0], x[-1])), None)
-            if k is None:
-                break
-            x = left.pop(k)
-            ring += (x if x[0] == ring[-1] else x[::-1])[1:]
-        return ring
-
-    return lines.select("relation", merge("lines").alias("ring"))
+    line = F.transform(F.sort_array(F.collect_list(F.struct("pos", "node", "lng", "lat"))), lambda p: F.struct(p["node"].alias("node"), p["lng"].alias("lng"), p["lat"].alias("lat")))
+    lines = stored(members.withColumnRenamed("pos", "at").join(ways.join(nodes, "node").groupBy("way").agg(line.alias("line")), "way").where(F.size("line") > 1), "way-lines")
+    ends = F.array(*(F.struct((F.col("at") * 2 + side).cast("bigint").alias("arc"), (F.col("at") * 2 + 1 - side).cast("bigint").alias("back"), F.element_at("line", at)["node"].alias("node")) for side, at in ((0, 1), (1, -1))))
+    each = lines.select("relation", F.explode(ends).alias("e")).select("relation", "e.*")  # an arc, at the node where it begins; its way's other arc ends there
+    by = Window.partitionBy("relation", "node").orderBy("arc")
+    paired = each.withColumn("k", F.row_number().over(by)).withColumn("pair", F.floor((F.col("k") - 1) / 2))
+    two = paired.select("relation", "node", "pair", "k", F.col("arc").alias("begins"), F.col("back").alias("ends"))
+    other = two.select("relation", "node", "pair", F.col("k").alias("k2"), F.col("begins").alias("next"))
+    arcs = two.join(other, ["relation", "node", "pair"]).where("k <> k2").select("relation", F.col("ends").alias("arc"), "next")
+
+    least = stored(arcs.withColumn("least", F.least("arc", "next")), "arcs")
+    while True:  # the smallest arc among the next 2, 4, 8, ... arcs
+        on = least.select("relation", F.col("arc").alias("next"), F.col("next").alias("then"), F.col("least").alias("low"))
+        step = stored(least.join(on, ["relation", "next"], "left").select("relation", "arc", "then", F.least("least", "low").alias("least"), F.col("least").alias("old")), "arcs")
+        least = step.select("relation", "arc", F.col("then").alias("next"), "least")
+        if step.where("least <> old").isEmpty():
+            break
+    cycle = least.where("next IS NOT NULL AND least % 2 = 0").select("relation", "arc", "least")  # of both directions that of the first member
+    left = arcs.join(cycle, ["relation", "arc"]).select("relation", "arc", "least", F.when(F.col("next") != F.col("least"), F.col("next")).alias("next"))
+    left = stored(left.withColumn("left", F.col("next").isNotNull().cast("bigint")), "arcs")
+    while not left.where("next IS NOT NULL").isEmpty():  # how many arcs are left of the ring
+        on = left.select("relation", F.col("arc").alias("next"), F.col("next").alias("then"), F.col("left").alias("more"))
+        left = stored(left.join(on, ["relation", "next"], "left").select("relation", "arc", "least", F.col("then").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "arcs")
+
+    laid = left.join(lines.select("relation", F.col("at"), "line"), (F.floor(left["arc"] / 2) == F.col("at")) & left["relation"].eqNullSafe(lines["relation"])).select(left["relation"], "least", "left", F.when(F.col("arc") % 2 == 0, F.col("line")).otherwise(F.reverse("line")).alias("line"))
+    rest = lambda x: F.slice(x["line"], 2, F.size(x["line"]) - 1)
+    of = laid.groupBy("relation", (F.col("least") / 2).cast("bigint").alias("ring")).agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("rank"), "line"))).alias("parts"))
+    points = F.concat(F.slice(F.element_at("parts", 1)["line"], 1, 1), F.flatten(F.transform("parts", rest)))
+    return of.select("relation", "ring", F.size("parts").alias("ways"), F.transform(points, lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
 
 
 def changelog(df: DataFrame, op: str, seq: str, key: str) -> DataFrame:
