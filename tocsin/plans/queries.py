@@ -417,6 +417,54 @@ def incident_snapshot(spark, sf):
     return correlate.snapshot(correlate.correlate(correlator_events(spark, sf))).select("scope", "id", "weapon_type", "weapon_count", "status", "first_seen_at", "last_updated_at", F.array_join("source_channels", ",").alias("channels"), F.round("confidence", 6).alias("confidence"))
 
 
+# Four events of each scope, one for each row of events, whose decisions follow from its number by the rules' weights: one opens an incident, one
+# may go on with it, one replies to it or is linked to it, and one comes when all has been silent for too long.
+_RULED = """x AS (SELECT event_id AS e, CASE event_id % 4 WHEN 0 THEN 60 WHEN 1 THEN 300 WHEN 2 THEN 800 ELSE 1300 END AS age, event_id // 4 % 2 = 0 AS same, CASE event_id // 8 % 4 WHEN 0 THEN 'shahed' WHEN 1 THEN 'bpla' WHEN 2 THEN 'unknown' ELSE 'kab' END AS w,
+    CASE event_id // 32 % 4 WHEN 0 THEN 2 WHEN 1 THEN 11 WHEN 2 THEN 22 ELSE 55 END AS km, event_id // 128 % 2 = 1 AS headed, event_id // 256 % 2 = 1 AS follows, event_id // 512 % 4 AS i, event_id // 2048 % 2 = 1 AS corrects, event_id // 4096 % 2 = 1 AS more, event_id // 3 % 2 + 1 AS n FROM events),
+  s AS (SELECT *, (CASE WHEN age < 180 THEN 0.35 WHEN age < 420 THEN 0.25 ELSE 0.1 END)::DOUBLE + if(same, 0.2, 0)::DOUBLE + if(w = 'shahed', 0.35, 0)::DOUBLE + if(w = 'bpla', 0.15, 0)::DOUBLE + if(w = 'unknown', 0.1, 0)::DOUBLE + if(km < 5, 0.3, 0)::DOUBLE + if(km >= 5 AND km < 15, 0.15, 0)::DOUBLE
+      + if(km > 30, -0.2, 0)::DOUBLE + if(follows, 0.2, 0)::DOUBLE + if(i = 1 OR follows, 0.15, 0)::DOUBLE + if(more AND same AND age < 720, 0.18, 0)::DOUBLE + if(i = 2 AND headed AND age < 720, 0.1, 0)::DOUBLE + if(i = 3 OR corrects, 0.08, 0)::DOUBLE + if(w = 'unknown' AND same AND age < 420, 0.25, 0)::DOUBLE
+      + if(same AND age <= 180, 0.2, 0)::DOUBLE + if(more AND same AND age < 600, 0.35, 0)::DOUBLE + if(n = 1, 0.05, 0)::DOUBLE + if(corrects, 0.1, 0)::DOUBLE AS score FROM x),
+  b AS (SELECT *, CASE WHEN age > 1200 THEN 0 ELSE greatest(score, 0) END AS best, more AND NOT headed AS split, age <= 1200 AND NOT (more AND NOT headed) AND score >= if(more, 0.3, 0.5)::DOUBLE AS joins FROM s)"""
+
+
+@query("correlate_templates", f"""WITH {_RULED} SELECT e AS scope, 'a' AS event, 'new' AS action, 'new_incident' AS reason, 0::DOUBLE AS best, 'a' AS incident FROM b
+UNION ALL SELECT e, 'b', if(joins, 'update', 'new'), CASE WHEN joins THEN 'implicit_score' WHEN split THEN 'count_delta_explicit_location_new_incident' ELSE 'new_incident' END, round(best, 6), if(joins, 'a', 'b') FROM b
+UNION ALL SELECT e, 'c', 'update', if(e % 2 = 0, 'reply_link', 'llm_link'), if(e % 2 = 0, 1.2, 1)::DOUBLE, 'a' FROM b
+UNION ALL SELECT e, NULL, 'expire', 'stale', NULL, t.o FROM b, (VALUES ('a'), ('b')) t(o) WHERE t.o = 'a' OR NOT joins
+UNION ALL SELECT e, 'd', 'new', 'new_incident', 0, 'd' FROM b""")
+def correlate_templates(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("e"))
+    n = lambda size, of: F.floor(F.col("e") / size) % of
+    age = F.element_at(F.array(*map(F.lit, (60, 300, 800, 1300))), (n(1, 4) + 1).cast("int"))
+    weapons = F.element_at(F.array(*map(F.lit, ("shahed", "bpla", "unknown", "kab"))), (n(8, 4) + 1).cast("int"))
+    north = F.element_at(F.array(*map(F.lit, (0.02, 0.1, 0.2, 0.5))), (n(32, 4) + 1).cast("int"))
+    said = F.element_at(F.array(*map(F.lit, ("", "continuation", "heading_change", "correction"))), (n(512, 4) + 1).cast("int"))
+    none, nowhere = F.lit(None), F.lit(None).cast("struct<lat: double, lng: double, name: string>")
+    at = lambda lat: F.struct(lat.alias("lat"), F.lit(36.0).alias("lng"), F.lit("p").alias("name"))
+    start = F.lit(1_700_000_000).cast("bigint")
+    name = lambda x: F.concat(F.col("e").cast("string"), F.lit(f"-{x}"))
+    incident = lambda x: F.substring(F.sha2(F.concat(F.lit("incident:"), name(x)), 256), 1, 32)
+
+    def one(x, number, time, channel=F.lit("x"), weapon=F.lit("shahed"), location=nowhere, heading=nowhere, count=F.lit(1), corrects=F.lit(False), follows=F.lit(False), more=F.lit(0), intents=F.lit(""), reply=none, link=none):
+        return F.struct(
+            name(x).alias("event_id"), F.lit(number).cast("bigint").alias("message_id"), reply.cast("bigint").alias("reply_to"), channel.alias("channel"), time.cast("bigint").alias("timestamp"), F.lit("tracking").alias("event_type"), weapon.alias("weapon_type"), count.cast("int").alias("weapon_count"),
+            F.lit(0.8).alias("confidence"), location.alias("location"), nowhere.alias("via"), heading.alias("heading"), corrects.alias("is_correction"), follows.alias("is_followup"), more.cast("int").alias("count_delta"), F.filter(F.array(intents), lambda i: i != "").alias("phrase_intents"), link.cast("string").alias("continues_incident_id"), F.lit(0.9).alias("continuation_confidence"),
+        )
+
+    headed, even = n(128, 2) == 1, F.col("e") % 2 == 0
+    there = at(F.lit(50.0) + north)
+    four = F.array(
+        one("a", 1, start, location=at(F.lit(50.0))),
+        one("b", 2, start + age, F.when(n(4, 2) == 0, "x").otherwise("y"), weapons, F.when(~headed, there), F.when(headed, there), n(3, 2) + 1, n(2048, 2) == 1, n(256, 2) == 1, n(4096, 2), said),
+        one("c", 3, start + age + 100, location=at(F.lit(50.0)), reply=F.when(even, 1), link=F.when(~even, incident("a"))),
+        one("d", 4, start + age + 9000, location=at(F.lit(50.0))),
+    )
+    decided = correlate.correlate(e.select(F.col("e").cast("string").alias("scope"), F.explode(four).alias("v")).select("scope", "v.*"))
+    opened = decided.where("action = 'new'").select("scope", F.col("incident.id").alias("id"), F.substring_index("event_id", "-", -1).alias("incident"))
+    out = decided.select("scope", F.col("incident.id").alias("id"), F.substring_index("event_id", "-", -1).alias("event"), "action", "reason", F.round("best", 6).alias("best"))
+    return out.join(opened, ["scope", "id"]).select(F.col("scope").cast("bigint").alias("scope"), "event", "action", "reason", "best", "incident")
+
+
 _TICKS = "t AS (SELECT event_type AS id, sec * 1000 AS at_ms, max(CASE WHEN value > 60 THEN 2 WHEN value > 40 THEN 1 ELSE 0 END) AS rank FROM ev GROUP BY 1, 2)"
 
 
