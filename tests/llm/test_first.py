@@ -182,6 +182,24 @@ def test_quality_rules(spark):
     assert quality.judge(none(spark), labels).count() == 0 and quality.judge(odd(spark), labels.where("false")).count() == len(ROWS)
 
 
+def test_quality_verdict(spark):
+    """Each row's verdict is that of the first rule that holds for its counts, evaluated plainly."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules = quality.train(docs, labels)
+    sides = {name: (up, down) for name, up, down in quality.RATES}
+    rows = quality.judge(docs, labels).collect()
+    for r in rows:
+        def rate(name):
+            up, down = sides[name]
+            return r[up] / (max(r[down], 1) if down else 1)  # noqa: B023
+
+        first = next((k for k, rule in enumerate(rules, 1) if all((rate(c.rate) >= c.at) == c.above for c in rule)), 0)
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        assert (r.rule, r.base_failed, r.kept) == (first, failed, not failed and not first)
+    assert len(rules) > 1 and len({r.rule for r in rows}) == len(rules) + 1
+
+
 def test_simple8b():
     rng = np.random.default_rng(1)
     for v in ([], [0], [2**64 - 1, 2**60, 2**59, 2**59 - 1, 0, 5], np.zeros(1000), rng.integers(0, 49408, 5000), rng.integers(0, 2, 3001), np.exp2(rng.uniform(0, 63, 4000)), np.concatenate([np.zeros(500), np.ones(130), rng.integers(0, 2**40, 9)])):
