@@ -906,6 +906,22 @@ def placed_answers(spark, sf):
     return parse.placed_events(answers, _gazetteer(spark, sf), active).select((F.col("id") - 1).alias("event_id"), place("location"), place("heading"), place("via"), "reason")
 
 
+#: A phrase of each intent, in the order of the fixed patterns.
+_PHRASES = (
+    ("heading_change", "довернул на Место"), ("current_location", "кружит над Местом"), ("via_location", "летит курсом Место"), ("continuation", "повторные пуски на Место"), ("additional_unit", "следом ещё 2 шаболды"), ("correction", "upd: одна цель"),
+    ("impact", "приземлили"), ("clear_status", "больше не фиксируется"), ("acoustic_observation", "акустически слышно"), ("situational_summary", "по шаболдам тихо"), ("launch_alert", "активность пусковых Место"),
+)
+
+
+@query("phrase_intents", "WITH n(k, name) AS (VALUES " + ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(_PHRASES)) + ") SELECT event_id, coalesce(string_agg(name, ',' ORDER BY k), '') AS intents FROM events LEFT JOIN n ON k IN (event_id % 13, event_id // 13 % 13) GROUP BY event_id")
+def phrase_intents(spark, sf):
+    """Texts of two phrases, of one, or of none, by the fixed patterns of all intents."""
+    said = lambda k: F.coalesce(*(F.when(k == j, phrase) for j, (_, phrase) in enumerate(_PHRASES)), F.lit("тут"))
+    e = table(spark, sf, "events").select("event_id")
+    both = F.concat(said(F.col("event_id") % 13), F.lit("\n"), said(F.floor(F.col("event_id") / 13) % 13))
+    return e.select("event_id", F.array_join(parse.intents(both), ",").alias("intents"))
+
+
 _MID = ("((lat0 + lat) / 2)", "((lng0 + lng) / 2)")
 _AP = _dest(*_MID, brg(*_MID, "50.42", "36.75"), f"least(14.0, greatest(6.0, {hav('lat0', 'lng0', 'lat', 'lng')} * 1.1))")
 
