@@ -31,7 +31,7 @@ def accepted(rows: DataFrame, channels: list[str]) -> DataFrame:
 
 def beyond(rows: DataFrame, marks: DataFrame, limit: int = 20) -> DataFrame:
     """A poll: per channel, the first ``limit`` messages beyond its mark (channel_id, last_id), oldest first."""
-    new = rows.join(F.broadcast(marks), "channel_id").where(F.col("telegram_id") > F.col("last_id")).drop("last_id").dropDuplicates(["channel_id", "telegram_id"])
+    new = rows.join(marks, "channel_id").where(F.col("telegram_id") > F.col("last_id")).drop("last_id").dropDuplicates(["channel_id", "telegram_id"])
     return new.withColumn("k", F.row_number().over(Window.partitionBy("channel_id").orderBy("telegram_id"))).where(F.col("k") <= limit).drop("k")
 
 
