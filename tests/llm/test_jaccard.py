@@ -170,3 +170,15 @@ def test_link_counts(spark):
     assert {r.doc_id: (r.n_shingles, r.n_links) for r in got if r.doc_id is not None} == want
     assert [r.n_links for r in got if r.doc_id is None] == [0] and len(got) == len(rows)
     assert max(n for _, n in want.values()) > 10 and jaccard.link_counts(none(spark)).count() == 0
+
+
+def test_components_read_links_once(spark, monkeypatch):
+    """A chain of dense groups takes several rounds, but all of them together join little more than the links."""
+    joined = []
+    monkeypatch.setattr(jaccard, "spread_join", lambda left, right, key, size: joined.append(left.count()) or common.spread_join(left, right, key, size))
+    n = 20
+    dense = [(k * n + i, k * n + j) for k in range(n) for i in range(n) for j in range(i + 1, n)]
+    chain = [(k * n - 1, k * n) for k in range(1, n)]
+    got = jaccard.components(spark.createDataFrame(dense + chain, "a bigint, b bigint")).collect()
+    assert sorted((r.v, r.c) for r in got) == [(v, 0) for v in range(n * n)]
+    assert sum(joined) <= 3 * len(dense)

@@ -220,21 +220,35 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """(v, c): the smallest vertex c that links (a, b) reach from each linked vertex v.
 
-    Each round takes the smallest label among neighbours and then the label's label, so
-    the number of rounds grows with the logarithm of a component's diameter.
+    Each round joins every vertex to the least of itself and its neighbours, by a hash of the round, and goes on with the links
+    between what is left; one in two vertices of a path goes, and nearly all of a dense group. So all rounds together read little
+    more than the links once.
     """
-    both = links.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    edges = stored(both.distinct(), tag)
-    labels = stored(edges.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("degree")).select("v", F.least("v", "m").alias("c"), "degree"), tag)
-    while True:
-        near = spread_join(edges, labels.select(F.col("v").alias("u"), "c", "degree"), "u", "degree").groupBy("v").agg(F.min("c").alias("m"))
-        least = stored(labels.join(near, "v").select("v", F.least("c", "m").alias("c"), F.col("c").alias("old"), "degree"), tag)
-        sizes = least.groupBy("c").agg(F.count("*").alias("size"))
-        jump = sizes.join(least.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c")
-        new = stored(spread_join(least, jump, "c", "size").select("v", F.least("c", "cc").alias("c"), "old", "degree"), tag)
-        labels = new.select("v", "c", "degree")
-        if new.where("c <> old").isEmpty():
-            return labels.select("v", "c")
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tag)
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        by = lambda x, k=len(rounds): F.struct(F.xxhash64(F.col(x), F.lit(k)).alias("h"), F.col(x).alias("x"))
+        least = both.groupBy("v").agg(F.min(by("u")).alias("m"), F.count("*").alias("degree"))
+        to = stored(least.select("v", F.least("m", by("v"))["x"].alias("c"), "degree"), tag)
+        rounds.append(to.select("v", "c"))
+        moved = spread_join(edges, to.select(F.col("v").alias("a"), F.col("c").alias("x"), "degree"), "a", "degree").select("x", "b")
+        moved = spread_join(moved, to.select(F.col("v").alias("b"), F.col("c").alias("y"), "degree"), "b", "degree").where("x <> y")
+        edges = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), tag)
+    if not rounds:
+        return edges.select(F.col("a").alias("v"), F.col("a").alias("c"))
+    labels = rounds.pop()
+    while rounds:
+        labels = stored(relabelled(rounds.pop(), labels), tag)
+    least = labels.groupBy("c").agg(F.min("v").alias("least"), F.count("*").alias("size"))
+    return stored(spread_join(labels, stored(least, tag), "c", "size").select("v", F.col("least").alias("c")), tag)
+
+
+def relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """(v, c) of ``labels``, with c replaced by what ``further`` (v, c) has for it, if it has it."""
+    sizes = labels.groupBy("c").agg(F.count("*").alias("size"))
+    to = sizes.join(further.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("c", F.coalesce("to", "c").alias("to"), "size")
+    return spread_join(labels, to, "c", "size").select("v", F.col("to").alias("c"))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -302,7 +316,10 @@ def links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame,
     block = F.pmod(F.xxhash64("cls"), F.floor(F.col("df") / CROSS) + 1)
     open_lists = mine.withColumn("block", block).join(several, ["gram", "block"], "left_semi")
     second = verified(_pairs(_across(open_lists.drop("block"), "c", percent)), segments, percent)
-    return sets, components(first.unionByName(stored(second, "links")))
+    for end in ("a", "b"):  # links between components, as those of the first wave are done with
+        second = second.join(known.select(F.col("v").alias(end), F.col("c").alias("c")), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    tops = components(second)
+    return sets, relabelled(known, tops).unionByName(tops.join(known.select("v"), "v", "left_anti"))
 
 
 def class_links(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
