@@ -2,7 +2,9 @@
 
 import random
 
-from tocsin.llm import word_bpe
+from tokenizers import Tokenizer
+
+from tocsin.llm import queries, word_bpe
 
 
 def test_encoder_cuts_pieces_at_once():
@@ -17,3 +19,14 @@ def test_encoder_cuts_pieces_at_once():
         plain = word_bpe.parts_of(p.decode())
         assert o == (plain is None or b"'" in p) and (o or [next(parts) for _ in range(n)] == plain)
     assert 500 < other.sum() < len(pieces) - 200
+
+
+def test_encoder_forgets_between_batches():
+    """Ids are the library's when the memory starts afresh with each batch, over texts of plain, odd and no pieces."""
+    path = queries.tokenizer(queries.WORD_BPE)
+    texts = ["Don't, WE'LL 'S x<|endoftext|>y É×Ö 12a", "", " ", "plain words, plain words.", "漢 \x7f a\x01b"]
+    encoder, library = word_bpe.LibraryEncoder(path, memo=1), Tokenizer.from_file(path)
+    for _ in range(2):
+        got = encoder.encode([t.encode() for t in texts])
+        assert [memoryview(x).cast("I").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder._of_piece._length) == len({w for t in texts for w in t.encode().split()})
