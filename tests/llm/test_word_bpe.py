@@ -4,7 +4,7 @@ import random
 
 from tokenizers import Tokenizer
 
-from tocsin.llm import queries, word_bpe
+from tocsin.llm import lexicon, queries, word_bpe
 
 
 def test_encoder_cuts_pieces_at_once():
@@ -30,3 +30,17 @@ def test_encoder_forgets_between_batches():
         got = encoder.encode([t.encode() for t in texts])
         assert [memoryview(x).cast("I").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(encoder._of_piece._length) == len({w for t in texts for w in t.encode().split()})
+
+
+def test_codec_by_arrays(tmp_path, monkeypatch):
+    """Ids and decoded texts are the library's, with special tokens, odd pieces and a memory that starts afresh with each batch."""
+    path, folder = queries.tokenizer(queries.WORD_BPE), f"file://{tmp_path}"
+    lexicon.Lexicon.build([b"plain", b"words"], lexicon.Rules(path)).save(folder)
+    monkeypatch.setattr(lexicon, "MEMO", 1)
+    texts = ["Don't, WE'LL 'S x<|endoftext|>y É×Ö 12a", "", " ", "plain words, plain words.", "漢 \x7f a\x01b"]
+    codec, library = lexicon.Codec(path, folder), Tokenizer.from_file(path)
+    for _ in range(2):
+        ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        got = [(memoryview(i).cast("I").tolist(), t.decode()) for i, t in codec.round_trip([t.encode() for t in texts])]
+        assert got == [(i, library.decode(i, skip_special_tokens=False)) for i in ids]
+        assert len(codec._of_piece._length) == len({w for t in texts for w in t.encode().split()})

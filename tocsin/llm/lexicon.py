@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, fetched, id_and_text, own_memory, put_file, rows, shared_dir, stored, tune
-from .word_bpe import byte_letters, parts_of
+from .word_bpe import Numbers, Sequences, byte_letters, cut_pieces, parts_of
 
 #: Words in a lexicon at most: the most frequent ones; the others are merged.
 WORDS = 1 << 17
@@ -33,7 +34,7 @@ WORDS = 1 << 17
 LONG = 96
 #: Distinct pieces that a counting task holds before it sends them on.
 HELD = 300_000
-#: Pieces whose ids and text a worker remembers; beyond it, the memory starts afresh.
+#: Pieces whose ids a worker remembers; beyond it, the memory starts afresh.
 MEMO = 600_000
 
 _BYTES = {c: b for b, c in enumerate(byte_letters())}
@@ -254,8 +255,14 @@ class Codec:
 
     def __init__(self, path: str, folder: str):
         self.rules, self.lexicon = Rules(path), Lexicon.load(folder)
-        self._ids: dict[bytes, bytes] = {}
-        self._text: dict[bytes, bytes] = {}
+        token = [self.rules.token.get(i, b"") + b" " for i in range(max(self.rules.token) + 1)]
+        self._token = Sequences("u1")
+        self._token.add(np.frombuffer(b"".join(token), np.uint8), np.array([len(t) for t in token], np.int64))
+        self._forget()
+
+    def _forget(self) -> None:
+        self._piece, self._part = Numbers(), Numbers()
+        self._of_piece, self._of_part = Sequences("<u4"), Sequences("<u4")
 
     def _ids_of_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
         a = self.lexicon.arrays
@@ -269,28 +276,46 @@ class Codec:
             out.update(zip(unseen, (x.astype("<u4").tobytes() for x in self.rules.merge(unseen)), strict=True))
         return out
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Encodes and decodes the pieces that aren't known yet."""
-        if len(self._ids) > MEMO:
-            self._ids.clear()
-            self._text.clear()
-        new = {p: self.rules.parts(p.decode()) for p in pieces if p not in self._ids}
-        ids = self._ids_of_parts(list({x for ps in new.values() for x in ps if isinstance(x, bytes)}))
-        for p, ps in new.items():
-            self._ids[p] = got = b"".join([x.to_bytes(4, "little") if isinstance(x, int) else ids[x] for x in ps])
-            self._text[p] = self.decode(got)
+    def _learn(self) -> None:
+        """Encodes the pieces that were numbered, but aren't known yet."""
+        new = self._piece.new
+        if not new:
+            return
+        low, counts, other = cut_pieces(new)
+        parts, order, odd = low.split(b" ")[:-1], np.flatnonzero(~other), np.flatnonzero(other)
+        apart = [self.rules.parts(new[k].decode()) for k in odd.tolist()]
+        which = self._part.of(parts, len(parts))
+        inner = [self._part[x] for ps in apart for x in ps if isinstance(x, bytes)]
+        if self._part.new:
+            found = self._ids_of_parts(self._part.new)
+            raw = [found[p] for p in self._part.new]
+            self._of_part.add(np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64))
+            self._part.new.clear()
+        ids, length = self._of_part.of(which)
+        ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts[~other])]
+        inner = iter(inner)
+        some = [[np.array([x], "<u4") if isinstance(x, int) else self._of_part.of(np.array([next(inner)]))[0] for x in ps] for ps in apart]
+        n = [sum(map(len, xs)) for xs in some]
+        self._of_piece.add(np.concatenate([ids, *chain.from_iterable(some)]), np.concatenate([np.diff(ends, prepend=0), n]).astype(np.int64), np.concatenate([order, odd]))
+        new.clear()
 
     def decode(self, ids: bytes) -> bytes:
         """The tokens of ids, a space between them, as the library joins them without a decoder."""
-        return b" ".join(map(self.rules.token.__getitem__, memoryview(ids).cast("I"))) if ids else b""
+        return self._token.of(np.frombuffer(ids, "<u4"))[0].tobytes()[:-1]
 
     def round_trip(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Ids (little-endian, 32 bits) and decoded text of each text."""
+        if len(self._piece) > MEMO:
+            self._forget()
         cuts = [t.split() for t in texts]
-        self.learn(set().union(*cuts))
-        ids, text = self._ids.__getitem__, self._text.__getitem__
-        for c in cuts:
-            yield b"".join(map(ids, c)), b" ".join(filter(None, map(text, c)))
+        n = np.array([len(c) for c in cuts], np.int64)
+        which = self._piece.of(chain.from_iterable(cuts), int(n.sum()))
+        self._learn()
+        ids, length = self._of_piece.of(which)
+        at = (4 * np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(n)])]).tolist()
+        raw = ids.tobytes()
+        for a, b in zip(at, at[1:], strict=False):
+            yield raw[a:b], self.decode(raw[a:b])
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
