@@ -93,6 +93,27 @@ def test_districts_by_the_clock():
         assert got == want
 
 
+def test_ends_after_ends(spark):
+    """Where no row comes any more, an end that another one brings about is told too: green ends after the override, and each incident at its time."""
+    day = 86_400_000
+    rows = [(f"d{d}", day + 1000 * k + d, 0, "tick") for d in range(40) for k in range(4)] + [(f"d{d}", day + 5000 * (d + 1), 1 + d % 2, "mark") for d in range(40)]
+    given = spark.createDataFrame(rows, "id string, at_ms bigint, rank int, kind string")
+    clock = spark.createDataFrame([("clock", 3 * day, 0, "tick")], given.schema)
+    got = {}
+    for r in queries._in_parts(given, "at_ms", "test-ends", timers.level_changes, clock).orderBy("at_ms").collect():
+        got.setdefault(r.id, []).append((r.at_ms, r.rank, r.level))
+    s = Settings()
+    marks = {d: (day + 5000 * (d + 1), 1 + d % 2) for d in range(40)}
+    assert got == {f"d{d}": [(at_ms, rank, "red" if rank == 2 else "orange"), (at_ms + s.override_ms, 0, "green"), (at_ms + s.override_ms + s.cooldown_ms, 0, None)] for d, (at_ms, rank) in marks.items()}
+
+    some = [event(k, 250 * k, location=at(48.0 + k / 2, 33.0), channel=f"c{k}", weapon_type=("shahed", "kab")[k % 2]) for k in range(12)]
+    e = spark.createDataFrame([{"scope": scope, **x, "timestamp": x["timestamp"] + 1_700_000_000} for scope in "abcdef" for x in some], correlate.EVENT)
+    ends = by_scope(queries._in_parts(e, "timestamp", "test-ends", timers.correlated, queries._clock(e)))
+    for scope in "abcdef":
+        opened = {r[4] for r in ends[scope] if r[2] == "new"}
+        assert len(opened) > 5 and [r[0] for r in ends[scope]] == list(range(len(ends[scope]))) and {r[4] for r in ends[scope] if r[2] == "expire"} == opened
+
+
 def places(spark, names):
     return spark.createDataFrame([(k, n, 50.0 + k, 36.0, "village", None, [n.lower()]) for k, n in enumerate(names, 1)], "id bigint, canonical string, lat double, lng double, type string, parent string, aliases array<string>")
 

@@ -44,6 +44,17 @@ def next_timer(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
         handle.registerTimer(at_ms)
 
 
+def passed(timer_values, expired) -> int:
+    """The time up to which a timer's key has its ends told: the watermark, as an end that follows another one gets no timer before it, and maybe no batch after it."""
+    return max(expired.getExpiryTimeInMs(), timer_values.getCurrentWatermarkInMs())
+
+
+def ends_until(c: Correlator, now: int) -> Iterator[dict]:
+    """The ends up to a second, each at its time."""
+    while (end := c.next_end()) is not None and end <= now:
+        yield from c.ended(end)
+
+
 class Resting:
     """Impacts beyond the active window, which only a reply or a link can reach: fetched when asked for."""
 
@@ -118,8 +129,8 @@ class Correlating(StatefulProcessor):
         yield self._run(key, lambda c: c.run(events), events[-1]["timestamp"])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        yield self._run(key, lambda c: c.ended(now), now)
+        now = passed(timerValues, expiredTimerInfo) // 1000
+        yield self._run(key, lambda c: ends_until(c, now), now)
 
     def close(self) -> None:
         pass
@@ -230,9 +241,11 @@ class Levelling(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.held = handle, handle.getValueState("held", _STATE)
 
-    def _changes(self, key: tuple, times: dict[int, list[tuple[str, int]]]) -> pd.DataFrame:
+    def _changes(self, key: tuple, times: dict[int, list[tuple[str, int]]], now: int = -1) -> pd.DataFrame:
         d = Clocked(self.settings, *(self.held.get() if self.held.exists() else ()))
         out = [(key[0], *change) for at in sorted(times) for change in d.apply(at, times[at])]
+        while (end := d.next_end()) is not None and end <= now:
+            out += ((key[0], *change) for change in d.apply(end, []))
         self.held.update(d.state())
         next_timer(self.handle, d.next_end())
         return pd.DataFrame(out, columns=["id", "at_ms", "rank", "level"]).astype({"at_ms": "int64", "rank": "int32"})
@@ -245,7 +258,7 @@ class Levelling(StatefulProcessor):
         yield self._changes(key, times)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._changes(key, {expiredTimerInfo.getExpiryTimeInMs(): []})
+        yield self._changes(key, {}, passed(timerValues, expiredTimerInfo))
 
     def close(self) -> None:
         pass
