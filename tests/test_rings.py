@@ -50,3 +50,34 @@ def test_rings_of_any_length(spark):
     for r in rows:
         assert r.points[0] == r.points[-1] and len(r.points) == 2 * r.ways + 1 and len({(p.lng, p.lat) for p in r.points}) == 2 * r.ways
         assert [p.lat for p in r.points] == [float(k % 2) for k in range(2 * r.ways + 1)]
+
+
+def test_walking_and_ranking_agree(spark):
+    """Relations that a worker walks and those that are ranked have the same arcs, also where several ends meet and where chains are open."""
+    rng = random.Random(9)
+    rows = [(relation, at, rng.randrange(9) if rng.random() < 0.9 else None, rng.randrange(9)) for relation in range(150) for at in rng.sample(range(40), rng.randrange(1, 18))]
+    ways = spark.createDataFrame(rows, "relation bigint, at int, first bigint, last bigint")
+    walked, ranked = (sorted(map(tuple, f(ways).select("relation", "arc", "at", "least", "left").collect())) for f in (readers._walked, readers._ranked))
+    assert walked == ranked and len({(r[0], r[3]) for r in walked}) > 100
+
+
+def test_rings_of_large_relations(spark, monkeypatch):
+    """Rings of relations with more ways than a worker walks are the same."""
+    monkeypatch.setattr(readers, "WALKED", 40)
+    test_rings_of_any_length(spark)
+
+
+def test_joins_of_ways_are_not_broadcast(spark, monkeypatch):
+    """Exploded tables look small by their files; broadcast, they would fill the driver."""
+    from tocsin.plans import queries
+
+    plans, stored = [], readers.stored
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df, tag)
+
+    monkeypatch.setattr(readers, "stored", seen)
+    plans.append(queries.ways_rings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for p in plans for line in p.split("\n") if "Join" in line]
+    assert len(joins) >= 4 and all("SortMergeJoin" in j or "LeftAnti" in j for j in joins), joins

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import chain, groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tocsin.sources.shared import stored
 
@@ -130,40 +135,99 @@ def ways_to_rings(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> Data
     members (relation, pos, way), ways (way, pos, node), nodes (node, lng, lat). Ways meet in the nodes at their ends,
     whatever their direction; where more than two ends meet, they are paired in the order of members. Each way is an arc
     in either direction, and an arc's successor goes on from the node where it ends; so each ring is two cycles, one a
-    direction. A cycle's smallest arc and each arc's distance to it are found by doubling: pointers go 1, 2, 4, ... arcs
-    on, so a ring of n ways takes as many rounds as n has binary digits, of joins by relation and arc. A ring goes in the
-    direction of its first member and begins there; ``ring`` is that member's pos. A relation may have several rings, holes
-    too; ways that close no ring are in none. A ring's points are one row.
+    direction. A relation of at most ``WALKED`` ways is walked by a worker; in larger ones a cycle's smallest arc and each
+    arc's distance to it are found by doubling: pointers go 1, 2, 4, ... arcs on, so a ring of n ways takes as many rounds as
+    n has binary digits, of joins by relation and arc. A ring goes in the direction of its first member and begins there;
+    ``ring`` is that member's pos. A relation may have several rings, holes too; ways that close no ring are in none. A ring's
+    points are one row. Tables are exploded or read from files far smaller than their rows, so joins are told not to broadcast.
     """
     line = F.transform(F.sort_array(F.collect_list(F.struct("pos", "node", "lng", "lat"))), lambda p: F.struct(p["node"].alias("node"), p["lng"].alias("lng"), p["lat"].alias("lat")))
-    lines = stored(members.withColumnRenamed("pos", "at").join(ways.join(nodes, "node").groupBy("way").agg(line.alias("line")), "way").where(F.size("line") > 1), "way-lines")
-    ends = F.array(*(F.struct((F.col("at") * 2 + side).cast("bigint").alias("arc"), (F.col("at") * 2 + 1 - side).cast("bigint").alias("back"), F.element_at("line", at)["node"].alias("node")) for side, at in ((0, 1), (1, -1))))
-    each = lines.select("relation", F.explode(ends).alias("e")).select("relation", "e.*")  # an arc, at the node where it begins; its way's other arc ends there
+    of = ways.hint("merge").join(nodes, "node").groupBy("way").agg(line.alias("line"))
+    lines = stored(members.withColumnRenamed("pos", "at").hint("merge").join(of, "way").where(F.size("line") > 1), "way-lines")
+    joined = lines.where("relation IS NOT NULL AND at IS NOT NULL").select("relation", "at", F.element_at("line", 1)["node"].alias("first"), F.element_at("line", -1)["node"].alias("last"))
+    large = stored(joined.groupBy("relation").count().where(F.col("count") > WALKED).select("relation"), "large-relations")  # one of so many ways at most
+    left = _walked(joined.join(F.broadcast(large), "relation", "left_anti"))
+    if not large.isEmpty():
+        left = left.unionByName(_ranked(joined.join(F.broadcast(large), "relation", "left_semi")))
+    laid = left.hint("merge").join(lines.select("relation", "at", "line"), ["relation", "at"]).select("relation", "least", "left", F.when(F.col("arc") % 2 == 0, F.col("line")).otherwise(F.reverse("line")).alias("line"))
+    rest = lambda x: F.slice(x["line"], 2, F.size(x["line"]) - 1)
+    of = laid.groupBy("relation", (F.col("least") / 2).cast("bigint").alias("ring")).agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("rank"), "line"))).alias("parts"))
+    points = F.concat(F.slice(F.element_at("parts", 1)["line"], 1, 1), F.flatten(F.transform("parts", rest)))
+    return of.select("relation", "ring", F.size("parts").alias("ways"), F.transform(points, lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
+
+
+#: Ways of a relation that one worker holds to walk along its rings.
+WALKED = 1 << 16
+_RANKS = "arc bigint, at bigint, least bigint, left bigint"
+
+
+def _successors(ways: list[tuple]) -> dict[int, int]:
+    """Each arc's successor, of ways (at, first node, last node): ends that meet in a node are paired in the order of their arcs."""
+    begins: dict = {}
+    for at, first, last in ways:
+        for arc, node in ((2 * at, first), (2 * at + 1, last)):
+            if node is not None:
+                begins.setdefault(node, []).append(arc)
+    after = {}
+    for arcs in begins.values():
+        arcs.sort()
+        for a, b in zip(arcs[::2], arcs[1::2], strict=False):
+            after[a ^ 1], after[b ^ 1] = b, a  # a way's other arc ends where it begins
+    return after
+
+
+def _walked(ways: DataFrame) -> DataFrame:
+    """(relation, arc, at, least, left): arcs on the rings of relations, in the direction of the ring's smallest arc, with how many are left of the ring."""
+    kind = next(f.dataType for f in ways.schema if f.name == "relation").simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(b.column(c).to_pylist() for c in ("relation", "at", "first", "last")), strict=True) for b in batches)
+        out: list[tuple] = []
+        for relation, of in groupby(rows, key=lambda r: r[0]):
+            after, seen = _successors([r[1:] for r in of]), set()
+            for least in sorted(after):
+                cycle, arc = [], least
+                while arc is not None and arc not in seen:
+                    seen.add(arc)
+                    cycle.append(arc)
+                    arc = after.get(arc)
+                if arc == least and cycle and least % 2 == 0:  # of both directions that of the first member
+                    out += ((relation, a, a // 2, least, len(cycle) - 1 - k) for k, a in enumerate(cycle))
+            if len(out) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    names = ["relation", "arc", "at", "least", "left"]
+    types = [to_arrow_type(ways.schema["relation"].dataType), *[pa.int64()] * 4]
+    return ways.repartition("relation").sortWithinPartitions("relation").mapInArrow(run, f"relation {kind}, {_RANKS}")
+
+
+def _ranked(ways: DataFrame) -> DataFrame:
+    """The same by list ranking over all arcs."""
+    ends = F.array(*(F.struct((F.col("at") * 2 + side).cast("bigint").alias("arc"), (F.col("at") * 2 + 1 - side).cast("bigint").alias("back"), F.col(at).alias("node")) for side, at in ((0, "first"), (1, "last"))))
+    each = ways.select("relation", F.explode(ends).alias("e")).select("relation", "e.*")  # an arc, at the node where it begins; its way's other arc ends there
     by = Window.partitionBy("relation", "node").orderBy("arc")
     paired = each.withColumn("k", F.row_number().over(by)).withColumn("pair", F.floor((F.col("k") - 1) / 2))
     two = paired.select("relation", "node", "pair", "k", F.col("arc").alias("begins"), F.col("back").alias("ends"))
     other = two.select("relation", "node", "pair", F.col("k").alias("k2"), F.col("begins").alias("next"))
-    arcs = two.join(other, ["relation", "node", "pair"]).where("k <> k2").select("relation", F.col("ends").alias("arc"), "next")
+    arcs = stored(two.hint("merge").join(other, ["relation", "node", "pair"]).where("k <> k2").select("relation", F.col("ends").alias("arc"), "next"), "arcs")
 
-    least = stored(arcs.withColumn("least", F.least("arc", "next")), "arcs")
+    least = arcs.withColumn("least", F.least("arc", "next"))
     while True:  # the smallest arc among the next 2, 4, 8, ... arcs
         on = least.select("relation", F.col("arc").alias("next"), F.col("next").alias("then"), F.col("least").alias("low"))
-        step = stored(least.join(on, ["relation", "next"], "left").select("relation", "arc", "then", F.least("least", "low").alias("least"), F.col("least").alias("old")), "arcs")
+        step = stored(least.hint("merge").join(on, ["relation", "next"], "left").select("relation", "arc", "then", F.least("least", "low").alias("least"), F.col("least").alias("old")), "arcs")
         least = step.select("relation", "arc", F.col("then").alias("next"), "least")
         if step.where("least <> old").isEmpty():
             break
     cycle = least.where("next IS NOT NULL AND least % 2 = 0").select("relation", "arc", "least")  # of both directions that of the first member
-    left = arcs.join(cycle, ["relation", "arc"]).select("relation", "arc", "least", F.when(F.col("next") != F.col("least"), F.col("next")).alias("next"))
+    left = arcs.hint("merge").join(cycle, ["relation", "arc"]).select("relation", "arc", "least", F.when(F.col("next") != F.col("least"), F.col("next")).alias("next"))
     left = stored(left.withColumn("left", F.col("next").isNotNull().cast("bigint")), "arcs")
     while not left.where("next IS NOT NULL").isEmpty():  # how many arcs are left of the ring
         on = left.select("relation", F.col("arc").alias("next"), F.col("next").alias("then"), F.col("left").alias("more"))
-        left = stored(left.join(on, ["relation", "next"], "left").select("relation", "arc", "least", F.col("then").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "arcs")
-
-    laid = left.join(lines.select("relation", F.col("at"), "line"), (F.floor(left["arc"] / 2) == F.col("at")) & left["relation"].eqNullSafe(lines["relation"])).select(left["relation"], "least", "left", F.when(F.col("arc") % 2 == 0, F.col("line")).otherwise(F.reverse("line")).alias("line"))
-    rest = lambda x: F.slice(x["line"], 2, F.size(x["line"]) - 1)
-    of = laid.groupBy("relation", (F.col("least") / 2).cast("bigint").alias("ring")).agg(F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("rank"), "line"))).alias("parts"))
-    points = F.concat(F.slice(F.element_at("parts", 1)["line"], 1, 1), F.flatten(F.transform("parts", rest)))
-    return of.select("relation", "ring", F.size("parts").alias("ways"), F.transform(points, lambda p: F.struct(p["lng"].alias("lng"), p["lat"].alias("lat"))).alias("points"))
+        left = stored(left.hint("merge").join(on, ["relation", "next"], "left").select("relation", "arc", "least", F.col("then").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "arcs")
+    return left.select("relation", "arc", F.floor(F.col("arc") / 2).alias("at"), "least", "left")
 
 
 def changelog(df: DataFrame, op: str, seq: str, key: str) -> DataFrame:
