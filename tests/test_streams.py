@@ -4,6 +4,7 @@ import hashlib
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,31 @@ def test_ends_after_ends(spark):
         assert len(opened) > 5 and [r[0] for r in ends[scope]] == list(range(len(ends[scope]))) and {r[4] for r in ends[scope] if r[2] == "expire"} == opened
 
 
+def test_events_of_a_batch_are_held_as_columns():
+    """A scope's batch isn't held as plain values, its decisions neither; order and values are those of plain ones."""
+    rng = random.Random(2)
+    rows = [{"scope": "s", **event(k, rng.randrange(30_000), location=at(48.0 + rng.random(), 33.0), heading=at(49.0, 34.0) if k % 3 else None), "event_id": f"{k:06d}"} for k in range(6000)]
+    frames = [pd.DataFrame(rows[k : k + 1500], columns=timers.ARROW_EVENT.names) for k in range(0, 6000, 1500)]
+    held = timers.Ordered(iter(frames))
+    assert list(held) == correlate.events_of(pd.concat(frames, ignore_index=True)) and held.newest == max(r["timestamp"] for r in rows)
+    assert held.rows.nbytes < 300 * len(rows)
+
+    class State:
+        def __init__(self):
+            self.of = {}
+
+        def __getattr__(self, name):
+            return {"iterator": lambda: iter(()), "exists": lambda: False, "listTimers": lambda: iter(())}.get(name, lambda *a: None)
+
+    of, made = timers.Correlating(Settings()), []
+    for name in ("handle", "live", "resting", "replies", "channels", "told"):
+        setattr(of, name, State())
+    for frame in of.handleInputRows(("s",), iter(frames), None):
+        assert len(frame) <= timers.SOME
+        made += frame["seq"].tolist()
+    assert made == list(range(len(made))) and len(made) >= 6000
+
+
 def places(spark, names):
     return spark.createDataFrame([(k, n, 50.0 + k, 36.0, "village", None, [n.lower()]) for k, n in enumerate(names, 1)], "id bigint, canonical string, lat double, lng double, type string, parent string, aliases array<string>")
 
